@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import quality_rules
+from notegraph.llm import lblm, minhash, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.lm_scores(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_min_max_dedup": op8_min_max_dedup,
     "op9_line_rules": op9_line_rules,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 ORACLES: dict[str, str] = {}
