@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import lblm, minhash, quality_rules
+from notegraph.llm import lblm, minhash, pii, quality_rules, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_read(spark, sf_dir, "documents"))
+
+
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_forest": op2_secret_forest,
+    "op4_boosted_pii": op4_boosted_pii,
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_line_rules": op9_line_rules,
     "op10_log_bilinear": op10_log_bilinear,

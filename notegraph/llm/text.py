@@ -72,26 +72,74 @@ def repeated_items(items: Column, k: int) -> Column:
     return let(windows(items, k), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), zero).otherwise(twice(w)))
 
 
-def spans(text: Column, pattern: str) -> Column:
+SPAN = "array<struct<start:int,end:int,hit:string>>"
+
+
+def prefix_sums(values: Column, block: int = 256) -> Column:
+    """Running totals of an int array, each including its own value.
+
+    Totals of blocks come first, so that no fold copies a long array.
+    """
+
+    def fold(xs: Column, first: Column) -> Column:
+        empty = F.array().cast("array<int>")
+        return F.aggregate(xs, F.struct(first.cast("int").alias("t"), empty.alias("o")), lambda a, x: F.struct((a["t"] + x).alias("t"), F.concat(a["o"], F.array(a["t"] + x)).alias("o")), lambda a: a["o"])
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
+
+    return let(
+        values,
+        lambda v: F.when(F.size(v) <= block, fold(v, F.lit(0))).otherwise(
+            let(blocks(v), lambda bs: let(fold(F.transform(bs, total), F.lit(0)), lambda ends: F.flatten(F.transform(bs, lambda b, i: fold(b, F.coalesce(F.get(ends, i - 1), F.lit(0)))))))
+        ),
+    )
+
+
+def spans(text: Column, pattern: str, guard: str | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, hit), code points.
 
     The pieces between matches come from ``split`` and the matches from
-    ``regexp_extract_all``; their lengths add up to the offsets.
+    ``regexp_extract_all``; their lengths add up to the offsets.  Texts
+    without ``guard`` (a cheaper necessary condition) are not scanned.
     """
-    return let(
+    found = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda hits: F.when(F.size(hits) == 0, F.array().cast("array<struct<start:int,end:int,hit:string>>")).otherwise(
+        lambda hits: F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(
             let(
-                F.split(text, pattern),
-                lambda gaps: F.aggregate(
-                    F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))),
-                    F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")),
-                    lambda a, x: F.struct(
-                        (a["at"] + x["g"] + F.length(x["h"])).alias("at"),
-                        F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + F.length(x["h"])).alias("end"), x["h"].alias("hit")))).alias("out"),
+                prefix_sums(F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))),
+                lambda ends: F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"))),
+            )
+        ),
+    )
+    return found if guard is None else F.when(text.rlike(guard), found).otherwise(F.array().cast(SPAN))
+
+
+def joined_spans(items: Column) -> Column:
+    """``kind:start:end`` of structs with these fields, comma-joined."""
+    return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def replaced(text: Column, items: Column, label: Callable[[Column], Column]) -> Column:
+    """``text`` with sorted, disjoint spans replaced by their labels."""
+    return let(
+        items,
+        lambda xs: F.when(F.size(xs) == 0, text).otherwise(
+            F.concat(
+                F.array_join(
+                    F.transform(
+                        xs,
+                        lambda x, i: let(
+                            F.coalesce(F.get(xs, i - 1)["end"], F.lit(0)),
+                            lambda before: F.concat(F.substring(text, before + 1, x["start"] - before), label(x)),
+                        ),
                     ),
-                    lambda a: a["out"],
+                    "",
                 ),
+                F.substring(text, F.element_at(xs, -1)["end"] + 1, F.length(text)),
             )
         ),
     )
