@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import lblm, minhash, pii, quality_rules, secrets
+from notegraph.llm import decontaminate, lblm, minhash, mixing, pii, quality_rules, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(_read(spark, sf_dir, "labels"))
+    return mixing.mix(_read(spark, sf_dir, "documents"), labelled, mixing.TARGETS, carry=["doc_id"])
+
+
 def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
 
@@ -34,7 +43,9 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_secret_forest": op2_secret_forest,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_boosted_pii": op4_boosted_pii,
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_line_rules": op9_line_rules,
