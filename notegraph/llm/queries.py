@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import decontaminate, lblm, minhash, mixing, pii, quality_rules, secrets
+from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, paragraphs, pii, quality_rules, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,18 @@ def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_forest": op2_secret_forest,
     "op3_soft_mixing": op3_soft_mixing,
     "op4_boosted_pii": op4_boosted_pii,
+    "op5_fuzzy_toxicity": op5_fuzzy_toxicity,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
+    "op7_byte_cnn": op7_byte_cnn,
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_line_rules": op9_line_rules,
     "op10_log_bilinear": op10_log_bilinear,
