@@ -61,7 +61,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], m: Mixt
     model = LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial", probabilityCol="__p").setFeaturesCol("features").fit(train)
     train.unpersist()
     scored = model.setFeaturesCol("__features").transform(_vectors(docs, m))
-    return scored.withColumn("n_tokens", F.size("__words").cast("bigint")).withColumn("posterior", vector_to_array("__p"))
+    return scored.withColumn("n_tokens", F.size("__words").cast("bigint")).withColumn("posterior", F.concat(vector_to_array("__p"), F.array_repeat(F.lit(0.0), len(domains) - model.numClasses)))
 
 
 def _rate(posterior: Column, steps: list[list[float]]) -> Column:
@@ -119,7 +119,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], m: M
     names = sorted(targets)
     new = ["mix_tokens", *[f"mix_p_{d}" for d in names], "mix_rate"]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in new]
-    present = {r[0] for r in labelled.where(F.col("domain").isin(*names)).select("domain").distinct().collect()}
+    seen = labelled.where(F.col("domain").isin(*names)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    present = {r[0] for r in seen.select("domain").distinct().collect()}
     domains = [d for d in names if d in present]
     if len(domains) < 2:
         count = F.size(words(F.col("text"))).cast("bigint").alias("mix_tokens")

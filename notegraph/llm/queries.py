@@ -54,7 +54,14 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lblm.lm_scores(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op1_template_decontamination": op1_template_decontamination,
     "op2_secret_forest": op2_secret_forest,
     "op3_soft_mixing": op3_soft_mixing,
