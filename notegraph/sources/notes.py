@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +17,45 @@ from notegraph.functions import parsing as P
 ROOTS = ("知识簇", "_graphify/sources", "_graphify/indexes")
 
 
-def read_files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """``(rel_path, size, modified[, content])`` of every file under ``root``.
+#: Where a vault keeps files.  Spark's readers pass over names that begin
+#: with an underscore, so the folders below ``_graphify`` are named, and
+#: index notes (one or a few for each cluster) are found by pattern.
+FOLDERS = ("raw", *ROOTS)
+HIDDEN = "知识簇/{*,*/*,*/*/*}/_*"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(rel_path, size, modified, content)`` of a vault's files.
 
     The content column is only read where a later step selects it.
     """
-    # binaryFile reads any store that Spark reads, one row per file
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.url_decode(F.replace(F.regexp_replace("path", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))
-    rel = F.when(F.instr(path, base) > 0, F.element_at(F.split(path, F.concat(F.lit(r"\Q"), base, F.lit(r"\E")), 2), -1)).otherwise(path)
-    out = files.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.col("content")] if content else []))
-    return out
+    jvm, root = spark._jvm, root.rstrip("/")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path(root)).toString()
+    folders = [f"{base}/{f}" for f in FOLDERS if fs.exists(path(f"{base}/{f}"))]
+    hidden = [(x.getPath().toString(), x.getModificationTime() / 1000.0, x.getLen()) for x in fs.globStatus(path(f"{base}/{HIDDEN}")) or [] if x.isFile()]
+    files = spark.createDataFrame(hidden, "path string, at double, length bigint")
+    out = files.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length").mapInArrow(_fetch, FILES)
+    if folders:
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        out = out.unionByName(seen.select("path", "modificationTime", "length", "content"))
+    # paths come with or without an authority: what counts follows the root
+    plain = F.lit(base.split(":", 1)[-1].lstrip("/") + "/")
+    rel = F.substring("path", F.instr("path", plain) + F.length(plain), F.length("path"))
+    return out.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads the named files, a batch of names at a time."""
+    for batch in batches:
+        content = []
+        for uri in batch.column(0).to_pylist():
+            store, path = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/"))
+            with store.open_input_stream(path) as f:
+                content.append(f.read())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], names=["path", "modificationTime", "length", "content"])
 
 
 def snapshot(files: DataFrame, hashed: bool = True) -> DataFrame:
