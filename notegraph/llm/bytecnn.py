@@ -107,7 +107,9 @@ def gradients(block: np.ndarray, first: np.ndarray, y: np.ndarray, p: Weights, m
     f = m.filters
     back = (g[:, None] * p.w[1 : f + 1] / n[:, None])[owner]
     top = (values == x[owner, f:]) & (values > 0)
-    back = (back + np.where(top, (g[:, None] * p.w[f + 1 :])[owner], 0)) * (values > 0)
+    # chunks that share a maximum share its gradient
+    ties = np.maximum(np.add.reduceat(top.astype(np.float32), first), 1)
+    back = (back + np.where(top, (g[:, None] * p.w[f + 1 :] / ties)[owner], 0)) * (values > 0)
     rows = np.arange(len(block))[:, None]
     chosen = cols[rows, at]
     g_k = np.einsum("nf,nfd->df", back, chosen)
