@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, paragraphs, pii, quality_rules, secrets, toxicity
+from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, oracles, paragraphs, pii, quality_rules, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9_line_rules,
     "op10_log_bilinear": op10_log_bilinear,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_min_max_dedup": oracles.NEAR_DUPLICATES, "op9_line_rules": oracles.LINE_RULES}
