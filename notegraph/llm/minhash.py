@@ -10,11 +10,10 @@ How it stays linear in hot groups:
 
 * texts with the same shingle set become one node before anything is paired
   (a grouped minimum with map-side combine);
-* a bucket is compared with one pivot, first with the pivot a node shares
-  most bands with, then with the pivot of each bucket it is not yet connected
-  in; only nodes of a bucket that are still in different components after
-  that are paired with each other, which keeps the result the same as that of
-  comparing all pairs of every bucket;
+* a bucket's nodes are compared with its hub, not with each other; only what
+  stays apart in a bucket is compared further, in blocks of nodes whose rows
+  hold two blocks and give links alone, which keeps the result the same as
+  that of comparing all pairs;
 * shingle sets are built only for nodes that share a band with another.
 
 Defined results: null or blank text has no shingles, is empty and linked
@@ -51,6 +50,9 @@ class MinMax:
     permutations: int = 63
     rows: int = 6
     seed: int = 7
+    max_broadcast_ids: int = 1_000_000
+    block_nodes: int = 128
+    block_items: int = 50_000
 
     @property
     def bands(self) -> int:
@@ -141,50 +143,102 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _star(buckets: DataFrame) -> DataFrame:
-    """Each bucket's nodes with its smallest one."""
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "component")).alias("p"))
-    return buckets.join(pivots, "key").where("id <> p.id and component <> p.component").select(F.col("p.id").alias("u"), F.col("id").alias("v"))
+def _paired(left: DataFrame, buckets: DataFrame, p: MinMax) -> DataFrame:
+    """``left(key, u, c, m)`` against the other components of its buckets.
+
+    Sets whose sizes alone rule a link out are not paired.
+    """
+    near = (F.least("m", "n") * 100 >= F.greatest("m", "n") * p.percent) & (F.col("u") != F.col("id")) & (F.col("c") != F.col("component"))
+    return left.join(buckets, "key").where(near).select("key", "u", F.col("id").alias("v"))
+
+
+def _star(buckets: DataFrame, p: MinMax) -> DataFrame:
+    """Each bucket's nodes with its hub, the node with most companions."""
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "component", "n")).alias("h"))
+    return _paired(hubs.select("key", (-F.col("h.minus")).alias("u"), F.col("h.component").alias("c"), F.col("h.n").alias("m")), buckets, p)
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Nodes of one bucket that are in different components."""
-    mixed = buckets.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = buckets.join(mixed, "key")
-    other = rest.select("key", F.col("id").alias("u"), F.col("component").alias("c"))
-    return other.join(rest, "key").where("u < id and c <> component").select("u", F.col("id").alias("v"))
+def _settle(buckets: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
+    """Links between different components of one bucket, ``(u, v)``.
+
+    Buckets with the same hub are one group.  Its nodes outside the hub's
+    component are compared with each other and with the hub's component, in
+    blocks of about ``block_nodes`` nodes and ``block_items`` shingles: a row
+    holds two blocks, and only links leave it, so no row is made for a pair.
+    """
+    h = F.max(F.struct("degree", "id", "component")).alias("h")
+    mixed = buckets.groupBy("key").agg(h, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    nodes = buckets.join(mixed.select("key", "h"), "key").select(F.col("h.id").alias("hub"), (F.col("component") != F.col("h.component")).alias("apart"), "id", "n", "component").distinct()
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / p.block_nodes, F.sum("n") / p.block_items)).cast("int")
+    counts = nodes.groupBy("hub", "apart").agg(n_blocks.alias("blocks"))
+    placed = nodes.join(counts, ["hub", "apart"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    blocks = placed.join(sets, "id").groupBy("hub", "apart", "block").agg(F.collect_list(F.struct("id", "component", "items")).alias("nodes"))
+    own = counts.where("apart").select("hub", F.col("blocks").alias("a"))
+    rest = counts.where("not apart").select("hub", F.col("blocks").alias("b"))
+    tasks = own.join(rest, "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "a", F.coalesce("b", F.lit(0)).alias("b"))
+    among = tasks.select("hub", "i", F.lit(True).alias("apart"), F.explode(F.sequence(F.col("i"), F.col("a") - 1)).alias("block"))
+    across = tasks.where("b > 0").select("hub", "i", F.lit(False).alias("apart"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
+    left = blocks.where("apart").select("hub", F.col("block").alias("i"), F.col("nodes").alias("mine"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for row in range(batch.num_rows):
+                (ids, comps, mine), (other_ids, other_comps, theirs) = (_block(batch.column(c)[row].values) for c in (0, 1))
+                sizes = np.array([len(x) for x in theirs])
+                values = np.concatenate(theirs)
+                owner = np.repeat(np.arange(len(theirs)), sizes)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                for u, c, items in zip(ids, comps, mine, strict=True):
+                    at = np.minimum(np.searchsorted(items, values), len(items) - 1)
+                    both = np.bincount(owner[items[at] == values], minlength=len(theirs))
+                    linked = (100 * both >= p.percent * (len(items) + sizes - both)) & (other_comps != c)
+                    us += [u] * int(linked.sum())
+                    vs += other_ids[linked].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return among.union(across).join(left, ["hub", "i"]).join(blocks, ["hub", "apart", "block"]).select("mine", F.col("nodes").alias("theirs")).mapInArrow(compare, "u bigint, v bigint")
+
+
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, components and sets of one block."""
+    return rows.field("id").to_numpy(), rows.field("component").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("items")]
 
 
 def link_nodes(buckets: DataFrame, sets: DataFrame, p: MinMax, scratch: Scratch) -> DataFrame | None:
-    """``(id, component)`` of linked nodes of ``buckets(key, id)``."""
-    links = tried = labels = None
-    first = _star(_labelled(buckets, None)).groupBy("v", "u").count().groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("u"), "v")
-    for step in ("best", "star", "across"):
-        if step == "best":
-            pairs = first
-        else:
-            pairs = (_star if step == "star" else _across)(_labelled(buckets, labels)).distinct().join(tried, ["u", "v"], "left_anti")
-        pairs = scratch.keep(pairs.select("u", "v"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        if pairs.isEmpty():
-            if step == "best":
-                return None
-            continue
-        found = scratch.keep(confirm(pairs, sets, p), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
-    return labels
+    """``(id, component)`` of linked nodes of ``buckets(key, id, degree, n)``.
+
+    First each node is compared with the hub it shares most buckets with;
+    what stays apart is settled block by block.
+    """
+    best = _star(buckets.withColumn("component", F.col("id")), p).groupBy("u", "v").count().groupBy("v").agg(F.max(F.struct("count", (-F.col("u")).alias("minus"))).alias("m"))
+    pairs = scratch.keep(best.select((-F.col("m.minus")).alias("u"), "v"), "pairs")
+    if pairs.isEmpty():
+        return None
+    links = scratch.keep(confirm(pairs, sets, p), "links")
+    labels = None if links.isEmpty() else scratch.keep(components(links, scratch), "labels")
+    rest = scratch.keep(_settle(_labelled(buckets, labels), sets, p).where("u <> v"), "links")
+    if rest.isEmpty():
+        return labels
+    if labels is not None:
+        # a component is a star around its smallest node
+        rest = rest.union(labels.select(F.col("component").alias("u"), F.col("id").alias("v")))
+    return scratch.keep(components(rest, scratch), "labels")
 
 
 def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(signatures(docs, p), "signed")
-    nodes = scratch.keep(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id")), "nodes")
-    filed = nodes.select("id", F.explode("bands").alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = scratch.keep(filed.join(shared, "key").distinct(), "buckets")
-    wanted = buckets.select("id").distinct()
+    nodes = scratch.keep(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "nodes")
+    filed = nodes.select("id", "n", F.explode("bands").alias("key")).distinct()
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    filed = scratch.keep(filed.join(shared, "key"), "filed")
+    wanted = scratch.keep(filed.groupBy("id").agg(F.sum("size").alias("degree")), "wanted")
+    buckets = scratch.keep(filed.join(wanted, "id").select("key", "id", "degree", "n"), "buckets")
+    if wanted.count() <= p.max_broadcast_ids:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     sets = scratch.keep(shingle_sets(texts.join(wanted, "id", "left_semi"), p), "sets")
     labels = link_nodes(buckets, sets, p, scratch)
@@ -193,3 +247,23 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
+    """The rows of ``docs`` but for all copies save one of each group.
+
+    The row of the smallest id stays.  Rows that share an id are one
+    document only if their texts agree too; rows without words or without an
+    id are linked with nothing and stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = near_duplicates(docs, p).where("n_shingles > 0 and doc_id is not null")
+    gone = found.where("not kept").select("doc_id").distinct()
+    if gone.count() <= p.max_broadcast_ids:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = scratch.keep(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id", "text"]))
