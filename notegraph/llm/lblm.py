@@ -71,7 +71,6 @@ class Lookup:
 
     def __init__(self, items: list[str]):
         # a list of words hashes as one text; END has no bytes and index 0
-        self.names = items
         _, _, h = word_hashes(np.frombuffer(" ".join(items).encode(), np.uint8))
         self.bits = max(4, int(2 * len(h)).bit_length())
         self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in blocks of about this many bytes (bounds the memory).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
