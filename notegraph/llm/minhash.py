@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,16 @@ class MinMax:
         return 2 * self.permutations // self.rows
 
 
+@lru_cache(maxsize=8)
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 2**63, (n, 1), dtype=np.uint64) | np.uint64(1)
+    return a, rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
+
+
 def min_max(items: np.ndarray, p: MinMax) -> np.ndarray:
     """Minima and maxima of the items under each permutation."""
-    rng = np.random.default_rng(p.seed)
-    a = rng.integers(1, 2**63, (p.permutations, 1), dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, (p.permutations, 1), dtype=np.uint64)
+    a, b = _permutations(p.permutations, p.seed)
     low = np.full(p.permutations, 2**64 - 1, np.uint64)
     high = np.zeros(p.permutations, np.uint64)
     for at in range(0, len(items), 4096):

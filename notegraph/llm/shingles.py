@@ -97,6 +97,26 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling_hashes(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
+    """Hash of the ``k`` words from each position, in time that ``k`` doesn't change; none if fewer."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(len(h), base), out=total[1:])
+    m = len(h) - k + 1
+    return mix((total[k:] - total[:m]) * _powers(m, pow(base, -1, 2**64)))
+
+
+def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``op`` (minimum or maximum) over the ``width`` values from each position."""
+    have = 1
+    while have < width and len(x):
+        step = min(have, width - have)
+        x = op(x[:-step], x[step:])
+        have += step
+    return x
+
+
 def document_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) of each text of a column, A-Z lower-cased."""
     for first, raw, at in text_blocks(column):

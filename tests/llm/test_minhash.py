@@ -86,3 +86,67 @@ def test_repeated_paragraphs(docs_of):
     left = {r.doc_id: r.text for r in remove_repeats(docs_of(rows)).collect()}
     assert left[1] == rows[0][1] and left[2] == " ".join(other[0]) + "\nshort" and left[6] == "é" and left[4] is None
     assert repeated_paragraphs(docs_of([])).count() == 0
+
+
+def test_runs_inside_and_across_lines(docs_of):
+    rng = random.Random(11)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    a, b, c, short = prose(57), prose(120), prose(64), prose(49)
+    rows = [
+        (1, " ".join(prose(40) + a + prose(70))),
+        (2, "é " + " ".join(prose(14) + a + prose(9))),
+        (3, wrapped(prose(5) + b + prose(7), 12)),
+        (4, wrapped(prose(8) + b[3:113] + prose(3), 17).upper()),
+        (5, " ".join(prose(30) + c) + "\n" + " ".join(c[:55] + prose(60))),
+        (6, " ".join(prose(60) + short + prose(60))),
+        (7, " ".join(prose(60) + short + prose(60))),
+        (8, "é " * 400),
+        (9, wrapped(c, 20)),
+        (10, wrapped(prose(70), 10)),
+        (None, " ".join(prose(30) + a)),
+        (11, " ".join(a)),
+        (12, " ".join(a)),
+    ]
+    rows += [(13, rows[9][1]), (10, rows[9][1]), (14, None)]
+    docs = docs_of(rows)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in rows]
+    places = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            places.setdefault(tuple(w[j : j + 50]), []).append((rows[i][0] or 10**6, rows[i][1], j))
+    want, gone = {}, {}
+    for at in places.values():
+        first = min(at)
+        for doc, text, j in at:
+            if len(at) > 1:
+                want.setdefault((doc, text), set()).update(range(j, j + 50))
+                if (doc, text) != first[:2]:
+                    gone.setdefault((doc, text), set()).update(range(j, j + 50))
+                elif j != first[2]:
+                    gone.setdefault((doc, text), set()).update(range(max(j, first[2] + 50), j + 50))
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i or 10**6, t)
+    found, removed = {}, {}
+    for r in repeated_paragraphs(docs).collect():
+        key = (r.doc_id or 10**6, texts[r.doc_id or 10**6])
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", key[1])]
+        inside = {k for k, (x, y) in enumerate(spans) if x >= r.start and y <= r.end}
+        assert r.n_words == len(inside) or r.place is not None
+        found.setdefault(key, set()).update(inside)
+        if not r.kept and key[0] != 10:
+            removed.setdefault(key, set()).update(inside)
+    assert found == want
+    assert removed == {k: v for k, v in gone.items() if k[0] != 10}
+    left = {(r.doc_id or 10**6): r.text for r in remove_repeats(docs).collect()}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if i != 10:
+            assert (left[i] or "").split() == [x for k, x in enumerate(w) if k not in gone.get((i, t), set())], i
+    assert left[10] == texts[10] and left[14] is None
