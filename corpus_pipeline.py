@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from notegraph.llm import decontaminate, minhash, mixing, quality_rules, secrets
 from notegraph.llm.scratch import Scratch
 
+#: Near duplicates share 0.8 of their five-word shingles; 25 bands of 5 values
+#: link them with probability 0.99995.
+NEAR = minhash.MinMax(words=5, percent=80, permutations=64, rows=5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the line rules, without their failing lines."""
@@ -26,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

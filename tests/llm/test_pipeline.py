@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from notegraph.llm import decontaminate, minhash, quality_rules
 
@@ -34,3 +36,26 @@ def test_odd_rows_and_empty_tables(spark, docs_of):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).collect()
     assert minhash.keep_one(docs_of(rows)).where("doc_id = 2").count() == 1
+
+
+def test_near_duplicates_against_brute_force_at_080(spark, docs_of):
+    from test_minhash import brute
+
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.random()}" for _ in range(120)]
+        rows.append((100 * g, " ".join(base)))
+        for n, places in enumerate(((20, 70), (50, 90), (10, 40, 80), (5, 30, 55, 100)), 1):
+            own = [f"x{rng.random()}" if i in places else w for i, w in enumerate(base)]
+            rows.append((100 * g + n, " ".join(own)))
+    want = brute(rows, 80)
+    assert any(c != i for i, (_, c) in want.items()) and want != brute(rows)
+    left = corpus_pipeline.near_duplicates(spark, docs_of(rows), SF)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_an_id_of_two_texts_loses_the_copy_alone(spark, docs_of):
+    copy, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    left = corpus_pipeline.near_duplicates(spark, docs_of([(1, copy), (2, copy), (2, other), (3, None), (None, copy)]), SF)
+    assert sorted(((r.doc_id or 9, r.text) for r in left.collect()), key=str) == sorted([(1, copy), (2, other), (3, None), (9, copy)], key=str)
