@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from notegraph.llm.components import components
 from notegraph.llm.scratch import Scratch
-from notegraph.llm.shingles import document_words, mix, shingle_set
+from notegraph.llm.shingles import block_sets, block_shingles, block_words, document_words, mix, shingle_set
 
 
 @dataclass(frozen=True)
@@ -67,27 +67,25 @@ def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 2**63, (n, 1), dtype=np.uint64)
 
 
-def min_max(items: np.ndarray, p: MinMax) -> np.ndarray:
-    """Minima and maxima of the items under each permutation."""
-    a, b = _permutations(p.permutations, p.seed)
-    low = np.full(p.permutations, 2**64 - 1, np.uint64)
-    high = np.zeros(p.permutations, np.uint64)
-    for at in range(0, len(items), 4096):
-        moved = items[None, at : at + 4096] * a + b
-        np.minimum(low, moved.min(axis=1), out=low)
-        np.maximum(high, moved.max(axis=1), out=high)
-    return np.concatenate((low, high))
+def min_max(values: np.ndarray, starts: np.ndarray, p: MinMax) -> np.ndarray:
+    """Minima, then maxima, of each segment of values under each permutation."""
+    out = np.empty((2 * p.permutations, len(starts)), np.uint64)
+    for i, (a, b) in enumerate(zip(*_permutations(p.permutations, p.seed), strict=True)):
+        moved = values * a + b
+        out[i] = np.minimum.reduceat(moved, starts)
+        out[p.permutations + i] = np.maximum.reduceat(moved, starts)
+    return out
 
 
 def band_keys(signature: np.ndarray, p: MinMax) -> np.ndarray:
-    """One 64-bit key for each band; a key tells its band apart."""
+    """64-bit keys, a row for each text; a key tells its band apart."""
     # a stride over the values puts minima and maxima of different
     # permutations into each band
-    grid = signature[: p.bands * p.rows].reshape(p.rows, p.bands)
-    key = mix(np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    grid = signature[: p.bands * p.rows].reshape(p.rows, p.bands, -1)
+    key = mix(np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     for row in grid:
         key = mix(key ^ row)
-    return key
+    return key.T
 
 
 def signatures(docs: DataFrame, p: MinMax) -> DataFrame:
@@ -95,16 +93,20 @@ def signatures(docs: DataFrame, p: MinMax) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, marks, bands = [], [], []
-            for _, h in document_words(batch.column("text")):
-                s = shingle_set(h, p.words)
-                n.append(len(s))
-                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(min_max(s, p), p).astype(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "print", "bands"],
-            )
+            sizes, marks, bands = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for _, h, edges in block_words(batch.column("text")):
+                values, counts = block_shingles(h, edges, p.words)
+                own, n = block_sets(values, counts)
+                sizes.append(n)
+                cut = np.concatenate(([0], np.cumsum(n)))
+                marks += [hashlib.blake2b(own[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                full = counts > 0
+                if full.any():
+                    bands.append(band_keys(min_max(values, (np.cumsum(counts) - counts)[full], p), p).astype(np.int64).ravel())
+            n = np.concatenate(sizes)
+            ends = np.concatenate(([0], np.cumsum((n > 0) * p.bands)))
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), keys], names=["doc_id", "n_shingles", "print", "bands"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>")
 
@@ -233,28 +235,33 @@ def link_nodes(buckets: DataFrame, sets: DataFrame, p: MinMax, scratch: Scratch)
     return scratch.keep(components(rest, scratch), "labels")
 
 
-def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
+def near_duplicates(docs: DataFrame, p: MinMax = MinMax(), scratch: Scratch | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     signed = scratch.keep(signatures(docs, p), "signed")
-    nodes = scratch.keep(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "nodes")
-    filed = nodes.select("id", "n", F.explode("bands").alias("key")).distinct()
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    filed = scratch.keep(filed.join(shared, "key"), "filed")
-    wanted = scratch.keep(filed.groupBy("id").agg(F.sum("size").alias("degree")), "wanted")
+    nodes = scratch.keep(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_rows")), "nodes")
+    # a band's number is part of its keys, so that a node has each key once
+    filed = nodes.select("id", "n", F.explode("bands").alias("key"))
+    shared = scratch.keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    filed = scratch.keep(filed.join(_small(shared, p), "key"), "filed")
+    wanted = _small(scratch.keep(filed.groupBy("id").agg(F.sum("size").alias("degree")), "wanted"), p)
     buckets = scratch.keep(filed.join(wanted, "id").select("key", "id", "degree", "n"), "buckets")
-    if wanted.count() <= p.max_broadcast_ids:
-        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     sets = scratch.keep(shingle_sets(texts.join(wanted, "id", "left_semi"), p), "sets")
     labels = link_nodes(buckets, sets, p, scratch)
-    classes = nodes.select("print", "id") if labels is None else nodes.select("print", "id").join(labels, "id", "left")
-    classes = classes.select("print", F.col("id").alias("component_id") if labels is None else F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    # only rows whose component isn't their own id are looked up
+    many = nodes.where("n_rows > 1") if labels is None else nodes.join(labels, "id", "left").where("n_rows > 1 or component <> id")
+    classes = many.select("print", F.col("id").alias("component_id") if labels is None else F.coalesce("component", "id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "print").join(_small(scratch.keep(classes, "classes"), p), "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _small(table: DataFrame, p: MinMax) -> DataFrame:
+    """The written table, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= p.max_broadcast_ids else table
+
+
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """The rows of ``docs`` but for all copies save one of each group.
 

@@ -84,13 +84,17 @@ def split_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def similar_paragraphs(docs: DataFrame, p: MinMax, min_words: int, scratch: Scratch) -> DataFrame:
     """One row per paragraph that has a repeat, as ``repeated_paragraphs``."""
     paras = scratch.keep(split_paragraphs(docs, min_words), "paras")
-    classes = near_duplicates(paras.select(F.col("para_id").alias("doc_id"), "text"), p)
+    own = Scratch(docs.sparkSession)
+    classes = near_duplicates(paras.select(F.col("para_id").alias("doc_id"), "text"), p, own)
     classes = scratch.keep(classes.where("component_id is not null").select(F.col("doc_id").alias("para_id"), F.col("component_id").alias("group_id")), "classes")
-    placed = scratch.keep(paras.drop("text").join(classes, "para_id"), "placed")
+    own.clear()
+    groups = classes.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+    groups = _small(scratch.keep(groups, "sizes"))
+    placed = scratch.keep(paras.drop("text").join(classes.join(groups, "group_id"), "para_id"), "placed")
     scratch.drop(paras, classes)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "para_id")
-    groups = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("first")).where("n_copies > 1")
-    return placed.join(groups, "group_id").select(
+    firsts = scratch.keep(placed.groupBy("group_id").agg(F.min(first).alias("first")), "firsts")
+    return placed.join(_small(firsts), "group_id").select(
         "doc_id",
         "place",
         "start",
@@ -104,6 +108,11 @@ def similar_paragraphs(docs: DataFrame, p: MinMax, min_words: int, scratch: Scra
     )
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The written table, broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+
+
 def _marks(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece hashes, and the least one in each window of ``size`` words."""
     pieces = rolling_hashes(h, size // 2)
@@ -209,9 +218,7 @@ def repeated_runs(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     nodes = scratch.keep(signed.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(least).alias("first")).select("text_id", "n_rows", "first.*"), "texts")
     filed = signed.select("text_id", F.explode("marks").alias("mark"))
     shared = filed.groupBy("mark").agg(F.min("text_id").alias("x"), F.max("text_id").alias("y")).where("x <> y").select("mark")
-    shared = scratch.keep(shared.union(signed.select(F.explode("twice").alias("mark"))).distinct(), "marks")
-    if shared.count() <= MAX_BROADCAST_ROWS:
-        shared = F.broadcast(shared)
+    shared = _small(scratch.keep(shared.union(signed.select(F.explode("twice").alias("mark"))).distinct(), "marks"))
     spots = filed.join(shared, "mark").groupBy("text_id").agg(F.collect_set("mark").alias("spots"))
     spots = scratch.keep(spots.join(nodes, "text_id").withColumnRenamed("row_key", "chosen"), "spots")
     texts = rows.select("text_id", "row_key", "text").join(spots, "text_id").where("row_key = chosen").dropDuplicates(["text_id"])
@@ -242,7 +249,9 @@ def repeated_paragraphs(docs: DataFrame, p: MinMax = BANDS, min_words: int = MIN
     """
     scratch = Scratch(docs.sparkSession)
     paras = scratch.keep(similar_paragraphs(docs, p, min_words, scratch), "paras")
-    runs = scratch.keep(repeated_runs(docs, min_words, scratch), "runs")
+    own = Scratch(docs.sparkSession)
+    runs = scratch.keep(repeated_runs(docs, min_words, own), "runs")
+    own.clear()
     lines = paras.groupBy("row_key").agg(F.collect_set(F.struct("start", "end", "kept")).alias("lines"))
     said = F.exists("lines", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("end")) & (F.col("kept") | ~x["kept"]))
     runs = runs.join(lines, "row_key", "left").where(~F.coalesce(said, F.lit(False)))

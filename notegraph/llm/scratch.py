@@ -2,7 +2,7 @@
 
 Every intermediate is a Parquet table in the folder that the cluster names
 in ``spark.checkpoint.dir``, so it outlives any executor.  Only where the
-setting is absent (unit tests, a laptop) is a local folder created.
+setting is absent and the master is local is a local folder created.
 """
 
 from __future__ import annotations
@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set to a local one if unset."""
+    """The checkpoint folder of the session.
+
+    Where it is unset, a session whose tasks run in this process gets a local
+    one; on a cluster other executors couldn't see that.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-notegraph-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -40,6 +46,13 @@ class Scratch:
         """Delete tables that no later plan reads."""
         for table in tables:
             for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-                if name.startswith(self.root) or self.root in name:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                if self.root in name:
+                    self._delete(name)
+
+    def clear(self) -> None:
+        """Delete every table of this run."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

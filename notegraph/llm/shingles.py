@@ -117,16 +117,58 @@ def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def document_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of each text of a column, A-Z lower-cased."""
+def block_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, edges) of blocks of texts, A-Z lower-cased.
+
+    The words of the i-th text of a block stand from ``edges[i]`` to
+    ``edges[i + 1]``.
+    """
     for first, raw, at in text_blocks(column):
         start, _, h = word_hashes(_separated(raw, at))
         # one blank was put after each text, so offsets move by the row
-        edges = np.searchsorted(start, at + np.arange(len(at)))
-        for i in range(len(at) - 1):
+        yield first, h, np.searchsorted(start, at + np.arange(len(at)))
+
+
+def document_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of each text of a column, A-Z lower-cased."""
+    for first, h, edges in block_words(column):
+        for i in range(len(edges) - 1):
             yield first + i, h[edges[i] : edges[i + 1]]
 
 
+def block_shingles(h: np.ndarray, edges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes of all texts of a block, and how many each text has.
+
+    They are those of ``window_hashes`` of each text, one after the other.
+    """
+    n = np.diff(edges)
+    counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    out = np.empty(int(counts.sum()), np.uint64)
+    ends = np.cumsum(counts)
+    whole = np.repeat(n >= k, counts)
+    if whole.any():
+        at = np.arange(len(h))
+        out[whole] = window_hashes(h, k)[at[at <= np.repeat(edges[1:] - k, n)]]
+    for i in np.flatnonzero((n > 0) & (n < k)):
+        out[ends[i] - 1] = window_hashes(h[edges[i] : edges[i + 1]], k)[0]
+    return out, counts
+
+
+def block_sets(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sorted distinct values, and how many there are."""
+    if len(counts) == 1:
+        out = np.unique(values)
+        return out, np.array([len(out)])
+    owner = np.repeat(np.arange(len(counts)), counts)
+    bits = np.uint64(max(1, int(len(counts)).bit_length()))
+    # texts in the top bits, so that one sort serves them all
+    order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=len(counts))
+
+
 def _separated(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The lower-cased texts of a block with a blank after each."""
     out = np.full(len(raw) + len(at) - 1, 32, np.uint8)
