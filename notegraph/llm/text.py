@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A run of the six ASCII blanks; everything else belongs to a word.
@@ -21,6 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``table`` has no such column."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-blank characters; none for null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
