@@ -5,9 +5,12 @@ findings scores each by its length, character transitions, dictionary
 coverage, path form and neighbouring words.  Scanning, features, forest and
 redaction are one narrow projection of built-in expressions.
 
-Defined results: null or empty text has no candidates; overlapping
-candidates keep the longer one that starts first; rows are independent, so
-ties and repeated rows are scanned each; other columns pass through.
+Every candidate is scored, however long and wherever it overlaps; those over
+the threshold are united where they overlap, so no part of a secret is left.
+
+Defined results: null or empty text has no candidates; rows are independent,
+so ties and repeated rows are scanned each; other columns pass through,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm.text import joined_spans, let, replaced, spans
+from notegraph.llm.text import clusters, free_name, joined_spans, let, replaced, spans
 from notegraph.llm.trees import as_vectors, ensemble, weighted_sum
 
 #: Formats of credentials, by name.
-KEYED = r"""(?i)(?<![\p{L}\p{N}])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?[\x20\t]{0,3}[:=][\x20\t]{0,3}["']?([^\s"',;&<>]{6,256})"""
-OPAQUE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,128}[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+KEYED = r"""(?i)(?<![\p{L}\p{N}])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?[\x20\t]{0,3}[:=][\x20\t]{0,3}["']?([^\s"',;&<>]{6,}+)"""
+OPAQUE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9]|[A-Z_+/-]*+[a-z_+/-]++[A-Z])[A-Za-z0-9_+/-]{16,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){1,4}+"
+PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+CUT_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s?[A-Za-z0-9+/=]){16,}+"
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[abprs]-|AIza|eyJ|glpat-|npm_)"
 #: Neighbouring words that speak for and against a secret.
 FOR = r"(?i)password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|bearer|auth|private"
@@ -50,7 +55,7 @@ class Forest:
 
 
 def candidates(text: Column) -> Column:
-    """Candidate spans of every generator, by start; none for null."""
+    """Candidate spans of every generator, by start, overlaps included."""
     text = F.coalesce(text, F.lit(""))
 
     def value(x: Column) -> Column:
@@ -59,16 +64,9 @@ def candidates(text: Column) -> Column:
 
     keyed = F.transform(spans(text, KEYED, "[:=]"), value)
     opaque = spans(text, OPAQUE, r"[A-Za-z0-9_+/-]{16}")
-    pem = spans(text, PEM, "PRIVATE KEY")
-    found = F.array_distinct(F.concat(keyed, opaque, pem)).cast(RAW)
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["hit"].alias("hit"))))
-    chosen = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("upto"), F.array().cast(RAW).alias("out")),
-        lambda a, x: F.when(x["start"] < a["upto"], a).otherwise(F.struct((-x["back"]).alias("upto"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["hit"].alias("hit")))).alias("out"))),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) == 0, F.array().cast(RAW)).otherwise(chosen)
+    token = spans(text, TOKEN, "eyJ")
+    pem = F.concat(spans(text, PEM, "PRIVATE KEY-----[\\s\\S]*-----END"), spans(text, CUT_PEM, "PRIVATE KEY"))
+    return F.array_sort(F.array_distinct(F.concat(keyed, opaque, token, pem))).cast(RAW)
 
 
 def features(text: Column, x: Column, context: int) -> Column:
@@ -174,16 +172,23 @@ def scored(text: Column, trees: list[tuple[float, list[str]]], f: Forest) -> Col
     )
 
 
-def scan(docs: DataFrame, trees: list[tuple[float, list[str]]], text_col: str = "text", f: Forest = Forest()) -> DataFrame:
-    """Add ``__found`` (every candidate) and ``__secrets`` (those that stay)."""
-    found = docs.withColumn("__found", scored(F.col(text_col), trees, f))
-    return found.withColumn("__secrets", F.filter("__found", lambda x: x["score"] >= f.threshold))
+def united(found: Column, f: Forest) -> Column:
+    """Candidates over the threshold, united where they overlap."""
+    good = F.filter(found, lambda x: x["score"] >= f.threshold)
+    whole = F.transform(clusters(good), lambda g: F.struct(F.lit("secret").alias("kind"), g[0]["start"].alias("start"), F.array_max(F.transform(g, lambda x: x["end"])).alias("end")))
+    return F.when(F.size(good) > 0, whole).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+
+
+def scan(docs: DataFrame, trees: list[tuple[float, list[str]]], text_col: str = "text", f: Forest = Forest(), names: tuple[str, str] = ("found", "secrets")) -> DataFrame:
+    """Add the two ``names``: every candidate, and the spans that are secrets."""
+    return docs.withColumn(names[0], scored(F.col(text_col), trees, f)).withColumn(names[1], united(F.col(names[0]), f))
 
 
 def redact(docs: DataFrame, trees: list[tuple[float, list[str]]], text_col: str = "text", f: Forest = Forest()) -> DataFrame:
     """The documents with each secret replaced by ``<SECRET>``."""
-    clean = replaced(F.col(text_col), F.col("__secrets"), lambda x: F.lit("<SECRET>"))
-    return scan(docs, trees, text_col, f).withColumn(text_col, clean).select(*docs.columns)
+    names = free_name(docs, "found"), free_name(docs, "secrets")
+    clean = replaced(F.col(text_col), F.col(names[1]), lambda x: F.lit("<SECRET>"))
+    return scan(docs, trees, text_col, f, names).withColumn(text_col, clean).select(*docs.columns)
 
 
 def digest(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
@@ -192,8 +197,8 @@ def digest(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
     out = scan(docs.select("doc_id", "text"), trees, f=f)
     return out.select(
         "doc_id",
-        F.size("__found").cast("bigint").alias("n_candidates"),
-        F.size("__secrets").cast("bigint").alias("n_secrets"),
-        joined_spans(F.col("__secrets")).alias("spans"),
-        F.array_max(F.transform("__found", lambda x: x["score"])).alias("top_score"),
+        F.size("found").cast("bigint").alias("n_candidates"),
+        F.size("secrets").cast("bigint").alias("n_secrets"),
+        joined_spans(F.col("secrets")).alias("spans"),
+        F.array_max(F.transform("found", lambda x: x["score"])).alias("top_score"),
     )

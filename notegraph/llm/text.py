@@ -83,18 +83,19 @@ def repeated_items(items: Column, k: int) -> Column:
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Running totals of an int array, each including its own value.
+def scan(values: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Running results of ``step`` over an int array, each including its own value.
 
-    Totals of blocks come first, so that no fold copies a long array.
+    ``step`` is associative with 0 as its neutral value.  Results of blocks
+    come first, so that no fold copies a long array.
     """
 
     def fold(xs: Column, first: Column) -> Column:
         empty = F.array().cast("array<int>")
-        return F.aggregate(xs, F.struct(first.cast("int").alias("t"), empty.alias("o")), lambda a, x: F.struct((a["t"] + x).alias("t"), F.concat(a["o"], F.array(a["t"] + x)).alias("o")), lambda a: a["o"])
+        return F.aggregate(xs, F.struct(first.cast("int").alias("t"), empty.alias("o")), lambda a, x: let(step(a["t"], x), lambda t: F.struct(t.alias("t"), F.concat(a["o"], F.array(t)).alias("o"))), lambda a: a["o"])
 
     def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+        return F.aggregate(xs, F.lit(0), step)
 
     def blocks(v: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.ceil((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
@@ -107,6 +108,25 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     )
 
 
+def prefix_sums(values: Column) -> Column:
+    """Running totals of an int array, each including its own value."""
+    return scan(values, lambda a, x: a + x)
+
+
+def clusters(items: Column) -> Column:
+    """Groups of items (structs with ``start`` and ``end``, by start) that overlap.
+
+    An item belongs to the group before it if it starts before an end in it.
+    """
+
+    def cut(xs: Column) -> Column:
+        reach = scan(F.transform(xs, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+        heads = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i)["start"] >= F.get(r, i - 1))))
+        return let(heads, lambda h: F.transform(h, lambda at, j: F.slice(xs, at + 1, F.coalesce(F.get(h, j + 1), F.size(xs)) - at)))
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, cut(xs)).otherwise(F.array(xs)))
+
+
 def spans(text: Column, pattern: str, guard: str | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, hit), code points.
 

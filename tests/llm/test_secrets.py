@@ -41,5 +41,5 @@ def test_held_out_accuracy(spark):
     rows = secrets.labelled_findings(spark, 6000).withColumn("held", F.xxhash64("text") % 4 == 0)
     trees = secrets.fit(rows.where("not held"), f)
     scored = secrets.scan(rows.where("held").withColumn("doc_id", F.lit(1)), trees, f=f)
-    right, n = scored.where("size(__found) > 0").agg(F.avg(((F.size("__secrets") > 0) == (F.col("label") == 1)).cast("double")), F.count(F.lit(1))).first()
+    right, n = scored.where("size(found) > 0").agg(F.avg(((F.size("secrets") > 0) == (F.col("label") == 1)).cast("double")), F.count(F.lit(1))).first()
     assert n > 1000 and right > 0.95
