@@ -11,7 +11,9 @@ The patterns are possessive and guarded by lookbehinds, so that a scan is
 linear in the text even for endless runs of digits or letters.
 
 Defined results: null or empty text has no spans; spans are code points, end
-exclusive; rows are independent, so ties and repeated rows are scanned each.
+exclusive; rows are independent, so ties and repeated rows are scanned each;
+other columns pass through, whatever their names; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm.text import joined_spans, let, replaced, spans
+from notegraph.llm.text import clusters, free_name, joined_spans, let, replaced, spans
 from notegraph.llm.trees import as_vectors, ensemble, weighted_sum
 
 #: The base patterns, in the order in which kinds are listed.
@@ -220,22 +222,28 @@ def selected(text: Column, base: Column, trees: list[tuple[float, list[str]]], l
         return score - at
 
     scored = F.transform(candidates(text), lambda x: F.struct((-margin(x)).alias("m"), x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit")))
-    good = F.array_sort(F.filter(scored, lambda x: (x["m"] <= 0) & ~F.exists(base, lambda y: _overlaps(x, y))))
-    picked = F.aggregate(
-        good,
-        F.array().cast(RAW),
-        lambda a, x: F.when(F.exists(a, lambda y: _overlaps(x, y)), a).otherwise(F.concat(a, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))))),
-    )
-    return picked
+    good = F.filter(scored, lambda x: (x["m"] <= 0) & ~F.exists(base, lambda y: _overlaps(x, y)))
+    by_start = F.array_sort(F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["back"].alias("back"), x["m"].alias("m"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"))))
+
+    def best(group: Column) -> Column:
+        ordered = F.array_sort(F.transform(group, lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["back"].alias("back"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit"))))
+        return F.aggregate(
+            ordered,
+            F.array().cast(RAW),
+            lambda a, x: F.when(F.exists(a, lambda y: _overlaps(x, y)), a).otherwise(F.concat(a, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))))),
+        )
+
+    return F.flatten(F.transform(clusters(by_start), best))
 
 
-def find(docs: DataFrame, model: tuple[list[tuple[float, list[str]]], dict[str, float]], text_col: str = "text", b: Boost = Boost()) -> DataFrame:
-    """Add ``__base`` and ``__spans`` (base and selected, in listed order)."""
+def find(docs: DataFrame, model: tuple[list[tuple[float, list[str]]], dict[str, float]], text_col: str = "text", b: Boost = Boost(), names: tuple[str, str, str] = ("base", "more", "spans")) -> DataFrame:
+    """Add the ``names``: base spans, selected ones, and both in listed order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__base", base_spans(text))
-    out = out.withColumn("__more", F.when(text.rlike(r"[0-9]{2}|(?i:[\x20(\[]at[\x20)\]])"), selected(text, F.col("__base"), *model, b)).otherwise(F.array().cast(RAW)))
-    every = F.concat("__base", "__more")
-    return out.withColumn("__spans", F.when(F.size("__more") == 0, F.col("__base")).otherwise(F.concat(*[F.array_sort(_of_kind(every, k)) for k in KINDS])))
+    base, more, every = names
+    out = docs.withColumn(base, base_spans(text))
+    out = out.withColumn(more, F.when(text.rlike(r"[0-9]{2}|(?i:[\x20(\[]at[\x20)\]])"), selected(text, F.col(base), *model, b)).otherwise(F.array().cast(RAW)))
+    both = F.concat(base, more)
+    return out.withColumn(every, F.when(F.size(more) == 0, F.col(base)).otherwise(F.concat(*[F.array_sort(_of_kind(both, k)) for k in KINDS])))
 
 
 def redact(docs: DataFrame, model: tuple[list[tuple[float, list[str]]], dict[str, float]], text_col: str = "text", b: Boost = Boost()) -> DataFrame:
@@ -244,20 +252,25 @@ def redact(docs: DataFrame, model: tuple[list[tuple[float, list[str]]], dict[str
     Of overlapping base spans of different kinds the first and longest is
     the one whose label is put.
     """
-    ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+    names = tuple(free_name(docs, n) for n in ("base", "more", "spans"))
+    ordered = F.array_sort(F.transform(names[2], lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"), x["end"].alias("end"))))
     kind = "array<struct<kind:string,start:int,end:int>>"
-    disjoint = F.aggregate(
-        ordered,
-        F.array().cast(kind),
-        lambda a, x: F.when(F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)) > x["start"], a).otherwise(F.concat(a, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("end"))))),
-    )
-    out = find(docs, model, text_col, b).withColumn("__cut", disjoint)
-    return out.withColumn(text_col, replaced(F.col(text_col), F.col("__cut"), lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).select(*docs.columns)
+
+    def first(group: Column) -> Column:
+        return F.aggregate(
+            group,
+            F.array().cast(kind),
+            lambda a, x: F.when(F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(0)) > x["start"], a).otherwise(F.concat(a, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))),
+        )
+
+    disjoint = F.flatten(F.transform(clusters(ordered), first))
+    out = find(docs, model, text_col, b, names)
+    return out.withColumn(text_col, replaced(F.col(text_col), disjoint, lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).select(*docs.columns)
 
 
 def digest(docs: DataFrame, b: Boost = Boost()) -> DataFrame:
     """The rows of the ``op4`` query."""
     model = fit(labelled_findings(docs.sparkSession, b.findings), b)
     out = find(docs.select("doc_id", "text"), model, b=b)
-    counts = [F.size(_of_kind(F.col("__base"), k)).cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *counts, F.sha2(joined_spans(F.col("__base")), 256).alias("base_sha256"), joined_spans(F.col("__spans")).alias("spans"), F.size("__more").cast("bigint").alias("n_added"))
+    counts = [F.size(_of_kind(F.col("base"), k)).cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), F.size("more").cast("bigint").alias("n_added"))
