@@ -28,7 +28,7 @@ fine as (select doc_id, sum(words) as n_clean_words from j where not (
   or ({_count("[#*$%&|<>]")} * 2 > n and regexp_matches(line, '[#*$%&|<>»›•!]'))
   or ({_count("[|»›•]")} >= 3 and {_count("[|»›•]")} * 5 > n)
   or (n >= 3 and {_count("!")} * 2 > n)
-  or (length(line) <= 320 and n <= 20 and regexp_matches(line, '(?i)(?:{"|".join(BOILERPLATE)})'))) group by doc_id),
+  or (n <= 20 and regexp_matches(line, '(?i)(?:{"|".join(BOILERPLATE)})'))) group by doc_id),
 a as (select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
   coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_clean_words, 0) as n_clean_words
   from d left join cnt using (doc_id) left join dup using (doc_id) left join rep using (doc_id) left join fine using (doc_id))

@@ -8,7 +8,7 @@ no Python, and the cost is linear in the text.
 
 Defined results: null or empty text has no words and fails; a line without
 words never fails; rows are independent, so ties, repeated rows and extra
-columns pass through unchanged.
+columns of any name pass through unchanged; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.text import let, repeated_items, words
+from notegraph.llm.text import free_name, let, repeated_items, words
 
 #: Phrases of page furniture rather than prose.
 BOILERPLATE = (
@@ -71,7 +71,9 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= 3)
     unpunctuated = ~line.rlike(r"[.!?…。！？]") & line.rlike(r"\S") & (n >= rules.unpunctuated_words)
     marked = line.rlike(MARKS) & ((_count(line, SYMBOLS) * 2 > n) | ((_count(line, r"[|»›•]") >= 3) & (_count(line, r"[|»›•]") * 5 > n)) | ((n >= 3) & (_count(line, "!") * 2 > n)))
-    furniture = (F.length(line) <= 16 * rules.boilerplate_words) & line.rlike("(?i)" + "|".join(BOILERPLATE)) & (n <= rules.boilerplate_words)
+    # long lines mostly have too many words: these are counted before they are searched
+    short = (F.length(line) <= 16 * rules.boilerplate_words) | (n <= rules.boilerplate_words)
+    furniture = short & line.rlike("(?i)" + "|".join(BOILERPLATE)) & (n <= rules.boilerplate_words)
     return shouting | unpunctuated | marked | furniture
 
 
@@ -109,17 +111,23 @@ def judge(text: Column, rules: LineRules = LineRules()) -> Column:
     )
 
 
-def line_quality(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """Add ``__judged``: counts, cleaned text and ``kept`` for every row."""
-    judged = docs.withColumn("__judged", judge(F.col(text_col), rules))
-    lost = F.col("__judged.base.n_words") - F.col("__judged.n_clean_words")
-    kept = ~F.col("__judged.base_failed") & (100 * lost <= rules.max_loss_pct * F.col("__judged.base.n_words"))
-    return judged.withColumn("__kept", kept)
+def line_quality(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules(), name: str = "judged") -> DataFrame:
+    """Add struct ``name``: counts, cleaned text and ``kept`` for every row.
+
+    It comes out of a one-row generator, so that neither a filter on it nor
+    the reading of its fields is pushed below and computes it again.
+    """
+    verdict = let(
+        judge(F.col(text_col), rules),
+        lambda j: F.struct(j["base"].alias("base"), j["clean"].alias("clean"), j["n_clean_words"].alias("n_clean_words"), j["base_failed"].alias("base_failed"), (~j["base_failed"] & (100 * (j["base"]["n_words"] - j["n_clean_words"]) <= rules.max_loss_pct * j["base"]["n_words"])).alias("kept")),
+    )
+    return docs.select("*", F.inline(F.array(F.struct(verdict.alias(name)))))
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with their failing lines removed."""
-    out = line_quality(docs, text_col, rules).where("__kept").withColumn(text_col, F.col("__judged.clean"))
+    name = free_name(docs, "judged")
+    out = line_quality(docs, text_col, rules, name).where(F.col(name)["kept"]).withColumn(text_col, F.col(name)["clean"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -128,4 +136,4 @@ def keep_clean(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
 def digest(docs: DataFrame) -> DataFrame:
     """The rows of the ``op9`` query."""
     j = line_quality(docs.select("doc_id", "text"))
-    return j.select("doc_id", "__judged.base.*", F.col("__judged.base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__judged.n_clean_words").alias("n_clean_words"))
+    return j.select("doc_id", "judged.base.*", "judged.base_failed", "judged.kept", "judged.n_clean_words")
