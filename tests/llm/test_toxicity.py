@@ -6,28 +6,46 @@ from notegraph.llm import toxicity as T
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits and swaps of neighbours (each place edited once)."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_against_edit_distance():
     rng = random.Random(1)
-    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 8))): 1.0 for _ in range(30)}
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randrange(3, 11))): 1.0 for _ in range(30)}
     for states in (10**6, 50):
-        auto = T.Automaton(terms, 5, states)
+        s = T.Lexicon(max_states=states, fixed=frozenset(terms))
+        auto = T.Automaton(terms, s)
         for _ in range(3000):
-            w = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9)))
-            near = [t for t in terms if distance(w, t) <= (1 if len(t) >= 5 else 0)]
+            w = list(rng.choice(list(terms)) if rng.random() < 0.6 else "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 12))))
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randrange(2)] = rng.choice(["", "a", "d"])
+            w = "".join(w)
+            near = [t for t in terms if distance(w, t) <= (len(t) >= 4) + (len(t) >= 8)]
             found = auto.match(w)
             assert (found is None) == (not near), w
             if near:
                 assert found[1] == min(distance(w, t) for t in near) and found[0] in near
 
 
+def test_misspellings_of_each_kind():
+    scorer = T.Scorer({t: 1.0 for t in T.INSULTS.split()}, frozenset(["food", "pool"]), T.Lexicon())
+    spelled = "scumm fuk shiit idoit mroon idi0t sh1t st*pid m_o_ron worthles imbecille patheticc wrothless diskgusting stupid-looking idiot2"
+    for w, x in zip(spelled.split(), scorer.features([f"such a {w} here" for w in spelled.split()]), strict=True):
+        assert x[8] >= 1, w
+    clean = "food pool that there window yesterday 2024 well-known x86 mother"
+    assert not any(x[8] for x in scorer.features(clean.split()))
+    (many, long) = scorer.features(["you idiot " * 25, "a" * 100000 + " moron"])
+    assert many[8] == 25 and long[8] == 1
+
+
 def test_quotation_and_abuse_are_told_apart():
     scorer = T.Scorer({"idiot": 1.0}, frozenset(), T.Lexicon())
     abuse, quoted, spelled, clean, empty, none = scorer.features(["you are an idiot", 'he said "idiot" was the word', "such an idiott here", "a fine day", "", None])
