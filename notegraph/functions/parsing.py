@@ -77,58 +77,31 @@ def _value(raw: Column) -> Column:
     return let(raw, of)
 
 
-def _read_line(line: Column) -> Column:
-    """What a front-matter line is: blank, an item, a key, or none of these."""
-    dash, keyed = r"(?U)^\s*-\s+(.*)$", r"^([A-Za-z0-9_-]+):(.*)$"
-    none = F.lit(None).cast("string")
-
-    def row(kind: str, key: Column, rest: Column) -> Column:
-        return F.struct(F.lit(kind).alias("is"), key.alias("key"), rest.alias("rest"))
-
-    return let(
-        F.regexp_replace(line, r"(?U)\s+$", ""),
-        lambda l: F.when((l == "") | l.rlike(r"(?U)^\s*#"), row("blank", none, none))
-        .when(l.rlike(keyed), row("key", F.regexp_extract(l, keyed, 1), strip(F.regexp_extract(l, keyed, 2))))
-        .when(l.rlike(dash), row("item", none, strip(F.regexp_extract(l, dash, 1))))
-        .otherwise(row("other", none, none)),
-    )
+#: A key line, with the dash lines that follow it if nothing stands behind the key.
+BLOCK = r"(?Umd)^[A-Za-z0-9_-]+:(?:$(?:\n[^\S\n]*-[^\S\n]+\S.*)*|.*)"
 
 
 def front_matter_fields(head: Column) -> Column:
     """Keys to typed values; a later entry of a key replaces an earlier one.
 
-    A fold over the lines: a bare key opens a list, dash lines add to the
-    open list, blank and comment lines change nothing, others close it.
+    A bare key opens a list and the dash lines right below it are its items;
+    blank and comment lines change nothing, any other line closes the list.
     """
-    entry = "array<struct<key:string,rest:string,items:array<string>>>"
-    empty = F.array().cast("array<string>")
-
-    def state(is_open: Column, e: Column) -> Column:
-        return F.struct(is_open.alias("open"), e.cast(entry).alias("entries"))
-
-    def step(acc: Column, line: Column) -> Column:
-        entries = acc["entries"]
-        last = F.get(entries, F.size(entries) - 1)
-        longer = F.struct(last["key"].alias("key"), last["rest"].alias("rest"), F.concat(last["items"], F.array(line["rest"])).alias("items"))
-        opens = line["rest"] == ""
-        fresh = F.struct(line["key"].alias("key"), F.when(~opens, line["rest"]).alias("rest"), F.when(opens, empty).alias("items"))
-        return (
-            F.when(line["is"] == "key", state(opens, F.concat(entries, F.array(fresh).cast(entry))))
-            .when((line["is"] == "item") & acc["open"], state(F.lit(True), F.concat(F.slice(entries, F.lit(1), F.size(entries) - 1), F.array(longer).cast(entry))))
-            .otherwise(state(F.lit(False), entries))
-        )
+    tidy = F.regexp_replace(universal_newlines(head), r"(?Umd)[^\S\n]+$", "")
+    blocks = F.regexp_extract_all(F.regexp_replace(tidy, r"(?Umd)^(?:[^\S\n]*#.*)?(?:\n|\z)", ""), F.lit(BLOCK), F.lit(0))
 
-    start = F.struct(F.lit(False).alias("open"), F.array().cast(entry).alias("entries"))
-    read = F.filter(F.transform(lines(head), _read_line), lambda x: x["is"] != "blank")
-    entries = F.aggregate(read, start, step, lambda a: a["entries"])
+    def typed(block: Column) -> Column:
+        rest = F.substring(block, F.instr(block, ":") + 1, F.length(block))
+        items = F.transform(F.filter(F.split(rest, "\n"), lambda x: x != ""), lambda x: _scalar(strip(F.substring(x, F.instr(x, "-") + 1, F.length(x))))["text"])
+        listed = F.struct(F.lit("list").alias("kind"), F.lit(None).cast("string").alias("scalar"), items.alias("items")).cast(VALUE)
+        return F.when((rest == "") | rest.startswith("\n"), listed).otherwise(_value(strip(rest)).cast(VALUE))
 
-    def typed(es: Column) -> Column:
-        keys = F.transform(es, lambda e: e["key"])
-        latest = F.filter(es, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-        listed = lambda e: F.struct(F.lit("list").alias("kind"), F.lit(None).cast("string").alias("scalar"), F.transform(e["items"], lambda x: _scalar(x)["text"]).alias("items"))
-        return F.map_from_entries(F.transform(latest, lambda e: F.struct(e["key"].alias("k"), F.when(e["rest"].isNull(), listed(e)).otherwise(_value(e["rest"])).cast(VALUE).alias("v"))))
+    def entries(bs: Column) -> Column:
+        keys = F.transform(bs, lambda b: F.substring_index(b, ":", 1))
+        latest = let(keys, lambda ks: F.when(F.size(F.array_distinct(ks)) == F.size(ks), bs).otherwise(F.filter(bs, lambda b, i: ~F.array_contains(F.slice(ks, i + 2, F.size(ks)), F.get(ks, i)))))
+        return F.map_from_entries(F.transform(latest, lambda b: F.struct(F.substring_index(b, ":", 1).alias("k"), typed(b).alias("v"))))
 
-    return let(entries, typed)
+    return let(blocks, entries)
 
 
 def as_text(value: Column) -> Column:

@@ -20,18 +20,26 @@ def tokens(query: Column) -> Column:
     return F.filter(F.split(F.lower(query), r"(?U)[\s/,_\-]+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
-def match_score(query: Column, title: Column, path: Column, aliases: Column, tags: Column, body: Column) -> Column:
-    """How well a note answers a query: whole query first, then tokens."""
-    whole, low = normalize_ref(query), F.lower(body)
-    stacks = F.transform(F.concat(F.array(title, path), aliases, tags), normalize_ref)
+def stacks(title: Column, path: Column, aliases: Column, tags: Column) -> Column:
+    """The normal forms of a note in which a query is searched for."""
+    return F.transform(F.concat(F.array(title, path), aliases, tags), normalize_ref)
+
+
+def points(whole: Column, words: Column, hay: Column, low: Column) -> Column:
+    """Score of a query's normal form and tokens against stacks and lower-cased text."""
 
     def part(q: Column, equal: float, inside: float, text: float) -> Column:
-        return F.when(F.exists(stacks, lambda h: h == q), equal).when(F.exists(stacks, lambda h: h.contains(q)), inside).when(low.contains(q), text).otherwise(0.0)
+        return F.when(F.exists(hay, lambda h: h == q), equal).when(F.exists(hay, lambda h: h.contains(q)), inside).when(low.contains(q), text).otherwise(0.0)
 
-    each = F.aggregate(F.filter(tokens(query), lambda t: F.length(t) >= 2), F.lit(0.0), lambda a, t: a + part(t, 20.0, 10.0, 3.0))
+    each = F.aggregate(words, F.lit(0.0), lambda a, t: a + part(t, 20.0, 10.0, 3.0))
     return F.when(whole == "", 0.0).otherwise(part(whole, 100.0, 45.0, 15.0)) + each
 
 
+def match_score(query: Column, title: Column, path: Column, aliases: Column, tags: Column, body: Column) -> Column:
+    """How well a note answers a query: whole query first, then tokens."""
+    return points(normalize_ref(query), F.filter(tokens(query), lambda t: F.length(t) >= 2), stacks(title, path, aliases, tags), F.lower(body))
+
+
 def section_priority(note_type: Column, name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in SECTION_PRIORITY.items() for x in kv])
     return F.when(note_type == "claim", 0).otherwise(F.coalesce(table[name], F.lit(15)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from notegraph.functions.parsing import CLAIM_FIELDS, RELATIONS
 from notegraph.functions.refs import candidate_keys, clean_ref, normalize_ref
 
+#: Parts into which the references of one text are dealt.
+SALTS = 8
 EDGE_KIND = {"wikilinks": "wikilink", "source_refs": "source_ref", **{r: r for r in RELATIONS}, "claim_refs": "claim_ref", "summary_claim_refs": "summary_claim_ref", "conflict_refs": "conflict_ref"}
 
 
@@ -38,7 +40,8 @@ def resolve(refs: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataF
 
     In order: the id itself, the id with ``.md``, the alias (final even if
     it is ambiguous), the id behind ``./``.  Distinct texts are resolved
-    once, so a text that many notes hold is one row of the joins.
+    once, so a text that many notes hold is one row of the joins; where the
+    targets go back to the references, such a text is dealt by salt.
     """
     texts = refs.select("ref").distinct().withColumn("clean", clean_ref(F.col("ref")))
     texts = texts.withColumn("bare", F.when(F.col("clean").endswith(".md"), F.expr("left(clean, length(clean) - 3)"))).withColumn("key", normalize_ref(F.col("clean"))).withColumn("dot", F.when(F.col("clean").startswith("./"), F.expr("substring(clean, 3)")))
@@ -48,7 +51,10 @@ def resolve(refs: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataF
     out = out.join(aliases.select(F.col("key").alias("known"), F.col("target").alias("named")), F.col("key") == F.col("known"), "left")
     out = out.join(ids.withColumnRenamed("id", "own_dot"), F.col("dot") == F.col("own_dot"), "left")
     target = F.coalesce("own", "own_bare", F.when(F.col("known").isNotNull(), F.col("named")).otherwise(F.col("own_dot")))
-    return refs.join(out.select("ref", F.when(F.col("ref") != "", target).alias("target")), "ref", "left")
+    found = out.select("ref", F.when(F.col("ref") != "", target).alias("target"))
+    salted = found.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    own = F.pmod(F.xxhash64("rel_path"), F.lit(SALTS)).cast("int") if "rel_path" in refs.columns else F.lit(0)
+    return refs.withColumn("salt", own).join(salted, ["ref", "salt"], "left").drop("salt").select(*refs.columns, "target")
 
 
 def edges(resolved: DataFrame) -> DataFrame:
@@ -97,12 +103,13 @@ def impact(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
     with an edge into them, wikis the indexes with an edge to or from them.
     A claim, wiki or index starts with itself; raw nodes reach nothing.
     """
-    typed = _typed_edges(edge_table, node_table)
+    # each layer reads the typed edges and the layer before it
+    typed = _typed_edges(edge_table, node_table).persist()
     own = node_table.select(F.col("id").alias("target"), "type")
     start = F.col("target").alias("path")
-    claims = typed.where("target_type = 'source' and source_type = 'claim'").select("target", F.col("source").alias("path")).union(own.where("type = 'claim'").select("target", start)).distinct()
+    claims = typed.where("target_type = 'source' and source_type = 'claim'").select("target", F.col("source").alias("path")).union(own.where("type = 'claim'").select("target", start)).distinct().persist()
     into = typed.where("source_type = 'wiki'").select(F.col("target").alias("at"), F.col("source").alias("wiki"))
-    wikis = claims.join(into, claims.path == into["at"]).select("target", F.col("wiki").alias("path")).union(own.where("type = 'wiki'").select("target", start)).distinct()
+    wikis = claims.join(into, claims.path == into["at"]).select("target", F.col("wiki").alias("path")).union(own.where("type = 'wiki'").select("target", start)).distinct().persist()
     beside = typed.where("source_type = 'index'").select(F.col("target").alias("at"), F.col("source").alias("index")).union(typed.where("target_type = 'index'").select("source", "target")).distinct()
     indexes = wikis.join(beside, wikis.path == beside["at"]).select("target", F.col("index").alias("path")).union(own.where("type = 'index'").select("target", start)).distinct()
     layers = ((claims, "claims"), (wikis, "wikis"), (indexes, "indexes"))
@@ -137,3 +144,41 @@ def lost_links(before: DataFrame, now: DataFrame) -> DataFrame:
     """``(path, field, lost)``: protected targets that are no longer there."""
     gone = before.select("path", "field", "target").distinct().join(now, ["path", "field", "target"], "left_anti")
     return gone.groupBy("path", "field").agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("lost"))
+
+
+def impact_of(refs: DataFrame, edge_table: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(ref, outcome, target, type, layer, path)`` of references ``(ref)``.
+
+    A reference without a target has one row, ``unresolved``; one that
+    reaches nothing has one row without layer and path.
+    """
+    asked = resolve(refs.select("ref").distinct(), node_table, aliases).join(node_table.select(F.col("id").alias("target"), "type"), "target", "left")
+    reached = asked.join(impact(edge_table, node_table), "target", "left")
+    return reached.select("ref", F.when(F.col("target").isNull(), "unresolved").otherwise("resolved").alias("outcome"), "target", "type", "layer", "path")
+
+
+#: What to do, in order, when a source has changed.
+SYNC_STEPS = ("source", "claims", "disputed claims", "wikis", "indexes")
+
+
+def sync_steps(reached: DataFrame) -> DataFrame:
+    """``(ref, step, what)``: the order of work for each changed source of ``impact_of``."""
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(w).alias("what")) for i, w in enumerate(SYNC_STEPS, 1)])
+    return reached.where("type = 'source'").select("ref").distinct().select("ref", F.inline(steps))
+
+
+def scope_report(listed: DataFrame | None, edge_table: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(mode, part, path, title, type)`` of a checklist's references ``(ref)``.
+
+    Without references all nodes but raw ones are the scope (mode ``full``);
+    with references that all lack a target the list is empty: its only row
+    has the mode alone.
+    """
+    titles = node_table.select(F.col("id").alias("path"), "title", "type")
+    if listed is None or listed.isEmpty():
+        return titles.where("type <> 'raw'").select(F.lit("full").alias("mode"), F.lit("scope").alias("part"), "path", "title", "type")
+    seeds = resolve(listed.select("ref"), node_table, aliases).where("target is not null").select(F.col("target").alias("path")).distinct()
+    rows = seeds.withColumn("part", F.lit("seed")).unionByName(scope(seeds, edge_table, node_table).withColumn("part", F.lit("scope")))
+    head = listed.sparkSession.createDataFrame([("list", None, None)], "mode string, part string, path string")
+    out = head.unionByName(rows.select(F.lit("list").alias("mode"), "part", "path"))
+    return out.join(titles, "path", "left").select("mode", "part", "path", "title", "type")

@@ -1,7 +1,9 @@
 """Ranked lookup: route, prune by cluster, score sections, relate.
 
-Works for a table of queries at once: ``queries(query_id, query)`` is the
-small side and is broadcast behind a check of its size.
+Works for a table of queries at once: the stated query set
+``queries(query_id, query)`` travels in blocks of at most ``MAX_QUERIES``
+rows, each of which meets every note as one array column, and only rows with
+a score leave the projection.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions import parsing as P
+from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
 
 MAX_QUERIES = 10_000
@@ -20,9 +23,19 @@ SKIPPED, CALLOUT, BODY = "用户提问与复盘", "快速把握", "正文预览"
 CONFLICTS = ("conflict_ref", "contradicts")
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """The queries, marked for broadcasting if they are few."""
-    return F.broadcast(queries) if queries.count() <= MAX_QUERIES else queries
+def _asked(table: DataFrame, queries: DataFrame, score) -> DataFrame:
+    """``table`` with ``query_id`` and ``score`` for each query of positive score.
+
+    ``queries`` may have a boolean ``pruned``, which is carried.  Normal forms
+    and tokens of the queries are made once.
+    """
+    extra = [F.col("pruned")] if "pruned" in queries.columns else []
+    ready = queries.select("query_id", R.normalize_ref(F.col("query")).alias("whole"), F.filter(S.tokens(F.col("query")), lambda t: F.length(t) >= 2).alias("tokens"), *extra)
+    parts = queries.count() // MAX_QUERIES + 1
+    blocks = ready.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct(*ready.columns)).alias("qs"))
+    pairs = table.join(F.broadcast(blocks), F.lit(True)) if parts == 1 else table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "block")
+    hits = F.filter(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score"), *([q["pruned"].alias("pruned")] if extra else []))), lambda x: x["score"] > 0)
+    return pairs.select(*table.columns, F.inline(hits))
 
 
 def _joined(*parts: Column) -> Column:
@@ -35,7 +48,7 @@ def _route_parts() -> list[Column]:
 
 
 def units(notes: DataFrame) -> DataFrame:
-    """``(rel_path, note_type, section, text)``: what a lookup can hit."""
+    """``(rel_path, note_type, title, aliases, tags, section, text)``: what a lookup can hit."""
     field = lambda k: P.as_text(F.col("fields")[k])
     claim = _joined(*_route_parts(), field("support_state"), field("verification_state"), field("scope"), field("boundary_note"), *[P.section(F.col("body"), h) for h in CLAIM_SECTIONS])
     unit = "array<struct<section:string,text:string>>"
@@ -44,8 +57,12 @@ def units(notes: DataFrame) -> DataFrame:
     named = F.filter(found, lambda s: s["section"] != SKIPPED)
     call = F.array(F.struct(F.lit(CALLOUT).alias("section"), P.callout(F.col("body"), CALLOUT).alias("text")))
     whole = F.array(F.struct(F.lit(BODY).alias("section"), P.preview(F.col("body"), 900).alias("text")))
-    wiki = F.array_distinct(F.filter(F.concat(call, named, whole), lambda s: s["text"] != "")).cast(unit)
-    return notes.where("note_type in ('claim', 'wiki')").select("rel_path", "note_type", F.explode(F.when(F.col("note_type") == "claim", own).otherwise(wiki)).alias("u")).select("rel_path", "note_type", "u.section", "u.text")
+    heads = F.filter(F.concat(call, named), lambda s: s["text"] != "")
+    # of sections with one heading the first counts
+    first = P.let(heads, lambda hs: F.filter(hs, lambda s, i: ~F.exists(F.slice(hs, F.lit(1), i), lambda t: t["section"] == s["section"])))
+    wiki = F.filter(F.concat(first, whole), lambda s: s["text"] != "").cast(unit)
+    own = F.filter(own, lambda s: s["text"] != "")
+    return notes.where("note_type in ('claim', 'wiki')").select("rel_path", "note_type", "title", "aliases", "tags", F.inline(F.when(F.col("note_type") == "claim", own).otherwise(wiki)))
 
 
 def _ranked(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -56,9 +73,9 @@ def _ranked(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
 def routes(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, rel_path, score, rank)`` among indexes and wikis."""
     texts = notes.where("note_type in ('index', 'wiki')").select("rel_path", "title", "aliases", "tags", _joined(*_route_parts()).alias("text"))
-    pairs = texts.join(small(queries), F.lit(True))
-    scored = pairs.select("query_id", "rel_path", S.match_score(F.col("query"), F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags"), F.col("text")).alias("score")).where("score > 0")
-    return _ranked(scored, limit, F.asc("rel_path"))
+    ready = texts.select("rel_path", S.stacks(F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags")).alias("stacks"), F.lower("text").alias("low"))
+    scored = _asked(ready, queries, lambda q: S.points(q["whole"], q["tokens"], F.col("stacks"), F.col("low")))
+    return _ranked(scored.select("query_id", "rel_path", "score"), limit, F.asc("rel_path"))
 
 
 def clusters_of(routed: DataFrame) -> DataFrame:
@@ -83,17 +100,16 @@ def knowledge(notes: DataFrame, queries: DataFrame, routed: DataFrame, limit: in
     A note is scored by its best unit; queries whose routes name clusters
     look only inside these.
     """
-    about = notes.select("rel_path", "title", "aliases", "tags")
-    texts = units(notes).join(about, "rel_path")
+    texts = units(notes)
     wanted = clusters_of(routed)
     bound = queries.join(wanted.select("query_id").distinct().withColumn("pruned", F.lit(True)), "query_id", "left")
     allowed = note_clusters(notes).join(wanted, "cluster").select("query_id", "rel_path").distinct()
-    pairs = texts.join(small(bound), F.lit(True))
-    free = pairs.where("pruned is null").drop("pruned")
-    near = pairs.where("pruned").drop("pruned").join(allowed, ["query_id", "rel_path"], "left_semi")
-    scored = free.unionByName(near).withColumn("score", S.match_score(F.col("query"), F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags"), F.col("text"))).where("score > 0")
+    ready = texts.select("rel_path", "note_type", "section", S.stacks(F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags")).alias("stacks"), F.lower("text").alias("low"))
+    scored = _asked(ready, bound, lambda q: S.points(q["whole"], q["tokens"], F.col("stacks"), F.col("low"))).drop("stacks", "low")
     order = F.struct("score", (-S.section_priority(F.col("note_type"), F.col("section"))).alias("p"), "section")
-    best = scored.groupBy("query_id", "rel_path", "note_type").agg(F.max(order).alias("b")).select("query_id", "rel_path", "note_type", "b.section", "b.score")
+    every = scored.groupBy("query_id", "rel_path", "note_type", "pruned").agg(F.max(order).alias("b"))
+    inside = every.join(allowed.withColumn("allowed", F.lit(True)), ["query_id", "rel_path"], "left").where("pruned is null or allowed")
+    best = inside.select("query_id", "rel_path", "note_type", "b.section", "b.score")
     return _ranked(best, limit, F.asc("rel_path"), F.asc("section"))
 
 
@@ -120,8 +136,9 @@ def related(routed: DataFrame, found: DataFrame, edge_table: DataFrame, node_tab
 
 def lookup(notes: DataFrame, edge_table: DataFrame, node_table: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, part, rank, path, section, score, kinds)``, all phases."""
-    routed = routes(notes, queries, limit)
-    found = knowledge(notes, queries, routed, limit)
+    # a few rows a query, which every later phase reads
+    routed = routes(notes, queries, limit).persist()
+    found = knowledge(notes, queries, routed, limit).persist()
     near = related(routed, found, edge_table, node_table, limit)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("forced", F.when(F.col("forced"), 0).otherwise(-F.col("score")), "path")).cast("bigint")
     none = F.lit("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.parsing import strip
+from notegraph.functions.parsing import let
 
 #: Largest gap between frames in seconds, most frames.
 MAX_GAP, MAX_FRAMES = 15.0, 24
@@ -47,18 +47,43 @@ def downsample(times: DataFrame, most: int = MAX_FRAMES) -> DataFrame:
     return placed.where((F.col("n") <= most) | F.array_contains(picks, F.col("place"))).select("video", "ms")
 
 
+#: Recognised text that is page furniture, from its start.
+NOISE = (
+    r"\d{1,2}:\d{2}$",
+    r"5G\d*$",
+    r"\d+\s*%$",
+    r"\d+\s*(天|小时|分钟)前$",
+    r"@\S+·\d+\s*(天|小时|分钟)前$",
+    r"第?\d+\s*(赞|评论|收藏|分享)?$",
+    r"全屏观看$",
+    r"点击推荐[>＞]?$",
+    r"下一集[>＞]?$",
+    r"第\d+集.*展开$",
+    r"合集[·:：].*$",
+    r"拍同款$",
+    r"展开$",
+    r"\d*个人观点，仅供参考$",
+    r"搜索$",
+    r"弹$",
+    r"善语结善缘，恶言伤人心$",
+    r"汽水音乐[>＞].*$",
+)
+#: Modes of compiled media, and the one that has frames.
+MODES, VISUAL = ("video-visual", "video-audio", "audio"), "video-visual"
+
+
 def ocr_text(text: Column) -> Column:
-    """A recognised line without blanks and bars."""
-    return F.regexp_replace(strip(text), r"[\x20\t\r\n｜|]", "")
+    """Recognised text with single blanks, without blanks and bars at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^[\x20｜|]+|[\x20｜|]+$", "")
 
 
-def is_noise(text: Column, patterns: tuple[str, ...] = ()) -> Column:
-    """Too short, digits or symbols only, or beginning like page furniture."""
+def is_noise(text: Column, patterns: tuple[str, ...] = NOISE) -> Column:
+    """Too short, digits or symbols only, or page furniture."""
     noise = (F.length(text) <= 1) | text.rlike(r"^[\d\s:：.·,，%]+$") | text.rlike(r"^[♡❤★☆💬↗+\-\d\s]+$")
     return noise | text.rlike("(?i)^(?:" + "|".join(patterns) + ")") if patterns else noise
 
 
-def filter_regions(regions: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
+def filter_regions(regions: DataFrame, patterns: tuple[str, ...] = NOISE) -> DataFrame:
     """``(frame_id, region_id, text, bbox, score, review)`` of regions kept.
 
     Repeats of a text at a place go, the rest are numbered in order; review
@@ -70,15 +95,154 @@ def filter_regions(regions: DataFrame, patterns: tuple[str, ...] = ()) -> DataFr
     own = clean.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     number = F.row_number().over(Window.partitionBy("frame_id").orderBy("pos"))
     review = F.when(F.col("text").rlike("^(?:原声|更多|置顶)"), "maybe_noise").when(F.col("score") < 0.6, "ocr_unclear").when(F.col("bbox_missing"), "layout_unclear")
-    return own.select("frame_id", F.concat(F.lit("r"), F.lpad(number.cast("string"), 2, "0")).alias("region_id"), "text", "bbox", "score", review.alias("review"))
+    return own.select("frame_id", F.format_string("r%02d", number).alias("region_id"), "text", "bbox", "score", review.alias("review"))
+
+
+def _number(v: Column) -> Column:
+    """A variant's number, or null."""
+    return F.try_variant_get(v, "$", "double")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
 def normal_box(box: Column, width: Column, height: Column) -> Column:
-    """A box of four numbers as shares of the frame, within [0, 1]."""
-    big = F.array_max(F.transform(box, F.abs)) > 1.5
-    scale = F.array(width, height, width, height)
-    shares = F.transform(F.zip_with(box, scale, lambda x, s: F.when(big, x / s).otherwise(x)), lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4))
-    return F.when((F.size(box) == 4), shares).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)))
+    """``(bbox, missing)``: a box as shares of the frame, within [0, 1].
+
+    ``box`` is a variant: four numbers, an object of x1, y1, x2 and y2, or a
+    list of points.  Anything else is the whole frame, marked as missing.
+    """
+    point = "array<struct<x:double,y:double>>"
+
+    def at(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    corner = [F.try_variant_get(box, f"$.{k}", "double") for k in ("x1", "y1", "x2", "y2")]
+    named = F.when(corner[0].isNotNull() & corner[1].isNotNull() & corner[2].isNotNull() & corner[3].isNotNull(), F.array(at(corner[0], corner[1]), at(corner[2], corner[3])).cast(point))
+
+    def listed(items: Column) -> Column:
+        numbers = F.transform(items, _number)
+        points = F.filter(F.transform(items, lambda p: at(F.try_variant_get(p, "$[0]", "double"), F.try_variant_get(p, "$[1]", "double"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        four = (F.size(items) == 4) & F.forall(numbers, lambda x: x.isNotNull())
+        return F.when(four, F.array(at(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))), at(F.get(numbers, F.lit(2)), F.get(numbers, F.lit(3)))).cast(point)).otherwise(points.cast(point))
+
+    def shares(points: Column) -> Column:
+        every = F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+        big = (F.array_max(F.transform(every, lambda x: F.abs(x))) > 1.5) & (width > 0) & (height > 0)
+
+        def side(name: str, size: Column, pick) -> Column:
+            return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), pick(F.transform(points, lambda p: F.when(big, p[name] / size).otherwise(p[name]))))), 4)
+
+        return F.array(side("x", width, F.array_min), side("y", height, F.array_min), side("x", width, F.array_max), side("y", height, F.array_max))
+
+    coords = F.when(_is(box, "OBJECT"), named).when(_is(box, "ARRAY"), let(F.try_variant_get(box, "$", "array<variant>"), listed))
+    full = F.struct(F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 1.0)]).alias("bbox"), F.lit(True).alias("missing"))
+    return let(coords, lambda ps: F.when(F.coalesce(F.size(ps), F.lit(0)) > 0, F.struct(shares(ps).alias("bbox"), F.lit(False).alias("missing"))).otherwise(full))
+
+
+def recognised(result: Column, width: Column, height: Column) -> Column:
+    """Regions ``(text, bbox, bbox_missing, score)`` of one frame's result as JSON.
+
+    A result is an object of ``txts``, ``scores`` and ``boxes``, a list of
+    regions, or a text; a region is an object, a text, or a list that begins
+    with its box or its text.
+    """
+    variants = "array<variant>"
+
+    def field(v: Column, *names: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "variant") for n in names])
+
+    def region(text: Column, box: Column, score: Column) -> Column:
+        return F.struct(text.cast("string").alias("text"), box.cast("variant").alias("box"), score.cast("double").alias("score"))
+
+    none = F.lit(None)
+
+    def of(v: Column) -> Column:
+        first, second, third = (F.try_variant_get(v, f"$[{i}]", "variant") for i in range(3))
+        beside = (_is(second, "ARRAY") | _is(second, "OBJECT"), _is(third, "ARRAY") | _is(third, "OBJECT"))
+        text_second = _is(second, "STRING") & third.isNotNull()
+        score = F.coalesce(F.nullif(_number(field(v, "score")), F.lit(0.0)), F.nullif(_number(field(v, "confidence")), F.lit(0.0)))
+        texts = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in ("text", "txt", "content")])
+        return (
+            F.when(_is(v, "OBJECT"), region(texts, field(v, "bbox", "box", "points"), score))
+            .when(_is(v, "STRING"), region(F.try_variant_get(v, "$", "string"), none, none))
+            .when(_is(v, "ARRAY") & text_second, region(F.try_variant_get(v, "$[1]", "string"), first, _number(third)))
+            .when(_is(v, "ARRAY") & _is(first, "STRING"), region(F.try_variant_get(v, "$[0]", "string"), F.when(beside[0], second).when(beside[1], third), F.when(~beside[0], _number(second)).when(~beside[1], _number(third))))
+        )
+
+    def split(v: Column) -> Column:
+        texts = F.coalesce(F.try_variant_get(v, "$.txts", variants), F.array().cast(variants))
+        scores, boxes = (F.coalesce(F.try_variant_get(v, f"$.{k}", variants), F.array().cast(variants)) for k in ("scores", "boxes"))
+        columns = F.transform(texts, lambda t, i: region(F.try_variant_get(t, "$", "string"), F.get(boxes, i), _number(F.get(scores, i))))
+        return F.when(_is(v, "OBJECT"), columns).when(_is(v, "ARRAY"), F.transform(F.try_variant_get(v, "$", variants), of)).when(_is(v, "STRING"), F.array(region(F.try_variant_get(v, "$", "string"), none, none)))
+
+    def row(r: Column) -> Column:
+        return let(normal_box(r["box"], width, height), lambda b: F.struct(ocr_text(r["text"]).alias("text"), b["bbox"].alias("bbox"), b["missing"].alias("bbox_missing"), r["score"].alias("score")))
+
+    found = let(F.try_parse_json(result), split)
+    kept = F.filter(found, lambda r: F.coalesce(ocr_text(r["text"]), F.lit("")) != "")
+    return F.coalesce(F.transform(kept, row), F.array().cast("array<struct<text:string,bbox:array<double>,bbox_missing:boolean,score:double>>"))
+
+
+def fingerprint(content: Column) -> Column:
+    """What tells frames apart: the SHA-1 of their bytes."""
+    return F.sha1(content)
+
+
+def has_cjk(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[\x{3400}-\x{9fff}]"), F.lit(False))
+
+
+def keywords(texts: Column, lang: Column) -> Column:
+    """The first two texts of a frame, at most 30 characters each."""
+    short = F.transform(F.slice(texts, 1, 2), lambda t: let(ocr_text(t), lambda c: F.when(F.length(c) > 30, F.concat(F.rtrim(F.substring(c, 1, 27)), F.lit("..."))).otherwise(c)))
+    return F.when(F.size(texts) > 0, F.array_join(short, " / ")).when(lang == "zh", "未识别文本").otherwise("No OCR text")
+
+
+def file_name(text: Column) -> Column:
+    """``text`` as a file name of at most 120 characters."""
+    return F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|]+', "-"), r"(?U)\s+", " ")), r"^\.+|\.+$", ""), 1, 120)
+
+
+def compile_mode(path: Column) -> Column:
+    """The mode of a file below ``raw/inbox/<mode>/``, or null."""
+    p = F.split(path, "/")
+    mode = F.get(p, F.lit(2))
+    return F.when((F.get(p, F.lit(0)) == "raw") & (F.get(p, F.lit(1)) == "inbox") & mode.isin(*MODES), mode)
+
+
+def _parts(path: Column) -> Column:
+    """The clean names below the visual inbox, the last one without suffix."""
+    below = F.regexp_replace(F.substring(path, len(f"raw/inbox/{VISUAL}/") + 1, 1 << 20), r"(?<=[^/])\.[^./]*$", "")
+    return F.array_join(F.transform(F.split(below, "/"), file_name), "/")
+
+
+def note_path(path: Column) -> Column:
+    """Where the note of a compiled video goes."""
+    return F.concat(F.lit("raw/compiled/visual/"), _parts(path), F.lit("（视觉编译）.md"))
+
+
+def asset_folder(path: Column) -> Column:
+    return F.concat(F.lit(f"raw/assets/{VISUAL}/"), _parts(path))
+
+
+def regions_path(path: Column) -> Column:
+    return F.concat(asset_folder(path), F.lit("/ocr_regions.json"))
+
+
+def sidecar(frames: DataFrame, regions: DataFrame, mode: str, compiled_at: str) -> DataFrame:
+    """``(video, sidecar)``: each video's frames and regions as one JSON text.
+
+    A video has at most ``MAX_FRAMES`` frames, so a row stays small.
+    """
+    own = regions.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "bbox", "text", "review"))).alias("rs"))
+    shaped = F.transform(F.coalesce("rs", F.array().cast("array<struct<region_id:string,bbox:array<double>,text:string,review:string>>")), lambda r, i: F.struct(r["region_id"].alias("region_id"), r["bbox"].alias("bbox"), r["text"].alias("text"), (i + 1).alias("order"), r["review"].alias("review")))
+    rows = frames.join(own, "frame_id", "left").select("video", "title", F.struct("cover_start", "frame_id", "cover_end", "image_path", shaped.alias("regions")).alias("f"))
+    videos = rows.groupBy("video").agg(F.max("title").alias("title"), F.array_sort(F.collect_list("f")).alias("fs"))
+    frame = F.transform("fs", lambda f: F.struct(f["frame_id"].alias("frame_id"), f["cover_start"].alias("cover_start"), f["cover_end"].alias("cover_end"), f["image_path"].alias("image_path"), f["regions"].alias("regions")))
+    media = F.struct(F.col("video").alias("source_path"), F.lit(mode).alias("mode"), F.coalesce("title", F.lit("")).alias("title"))
+    return videos.select("video", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(compiled_at).alias("compiled_at"), media.alias("media"), frame.alias("frames"))).alias("sidecar"))
 
 
 def number_anchors(counts: DataFrame) -> DataFrame:

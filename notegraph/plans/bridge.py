@@ -9,10 +9,13 @@ order's suppliers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.operators import graph
+from notegraph.plans.tables import keeper, state_of
 from notegraph.sources.notes import parse
 
 CLAIM_FILLER = "claim_type: fact\nsupport_state: supported\nverification_state: source_supported\nscope: all\nboundary_note: none\nclaim_origin: data\n"
@@ -108,25 +111,28 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Vault:
-    """Parsed notes and the tables derived from them, built when asked for."""
+    """Parsed notes and the tables derived from them.
+
+    ``keep`` writes a table that many plans read, or marks it as persistent.
+    """
 
-    def __init__(self, notes: DataFrame):
-        # parsed once and kept, on disk where memory is short
-        self.notes = notes.persist()
-        self.nodes = graph.nodes(self.notes)
-        self.aliases = graph.alias_map(self.nodes)
-        self.refs = graph.resolve(graph.references(self.notes), self.nodes, self.aliases).persist()
-        self.edges = graph.edges(self.refs)
+    def __init__(self, notes: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist):
+        self.notes = keep(notes)
+        self.nodes = keep(graph.nodes(self.notes))
+        self.aliases = keep(graph.alias_map(self.nodes))
+        self.refs = keep(graph.resolve(graph.references(self.notes), self.nodes, self.aliases))
+        self.edges = keep(graph.edges(self.refs))
 
 
-_VAULTS: dict[tuple[str, str], Vault] = {}
+_VAULTS: dict[tuple[str, str, int], Vault] = {}
 
 
 def vault(spark: SparkSession, sf_dir: str) -> Vault:
-    """The tables' vault, one for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The tables' vault, one for each session and state of the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir))
     if key not in _VAULTS:
-        # the texts are kept as a table of their own: else the parser is
-        # planned once for each branch of the union
-        _VAULTS[key] = Vault(parse(texts(spark, sf_dir).persist()))
+        keep = keeper(spark)
+        # the texts are a table of their own: else the parser is planned once
+        # for each branch of the union
+        _VAULTS[key] = Vault(parse(keep(texts(spark, sf_dir))), keep)
     return _VAULTS[key]

@@ -28,7 +28,7 @@ with pl as (select n_nationkey, n_name, r_name from nation join region on n_regi
 reg as (select '知识簇/' || r_name || '/_索引.md' id, r_name from region),
 nat as (select '知识簇/' || r_name || '/' || n_name || '/_索引.md' id, * from pl),
 cus as (select '知识簇/' || r_name || '/c' || c_custkey || '.md' id, c_custkey c, c_mktsegment, n_name, r_name from customer join pl on c_nationkey = n_nationkey),
-ord as (select '知识簇/' || r_name || '/命题/o' || o_orderkey || '.md' id, o_orderkey o, o_custkey, o_orderstatus from orders join cus on o_custkey = c),
+ord as materialized (select '知识簇/' || r_name || '/命题/o' || o_orderkey || '.md' id, o_orderkey o, o_custkey, o_orderstatus from orders join cus on o_custkey = c),
 sup as (select '_graphify/sources/s' || s_suppkey || '.md' id, s_suppkey s from supplier),
 par as (select 'raw/inbox/part-' || p_partkey || '.md' id, p_partkey p, p_name from part),
 nodes as (select id, 'index' type, 'reviewed' status from reg union all select id, 'index', 'reviewed' from nat
@@ -37,7 +37,7 @@ nodes as (select id, 'index' type, 'reviewed' status from reg union all select i
   union all select id, 'source', 'reviewed' from sup union all select id, 'raw', case when p % 5 = 0 then 'archived' else 'inbox' end from par),
 conf as (select o, case when o % 8 = 1 then o + 1 else o - 1 end t from ord where o % 8 = 1 or (o % 16 = 2 and o % 64 <> 2)),
 contra as (select o, case when o % 18 = 4 then o + 9 else o - 9 end t from ord where o % 18 = 4 or o % 36 = 13),
-edges as (
+edges as materialized (
   select nat.id source, reg.id target, 'part_of' kind from nat join reg using (r_name)
   union all select cus.id, nat.id, 'part_of' from cus join nat using (n_name)
   union all select cus.id, reg.id, 'wikilink' from cus join reg using (r_name)
@@ -113,7 +113,10 @@ def processed_raw_refs(spark, sf_dir):
     return status.processed_refs(vault(spark, sf_dir).notes)
 
 
-@query("orphan_notes", GRAPH + "select id rel_path from nodes where type <> 'raw' and id not in (select source from edges union select target from edges)")
+ORPHANS = "select id rel_path from nodes where type <> 'raw' and id not in (select source from edges union select target from edges)"
+
+
+@query("orphan_notes", GRAPH + ORPHANS)
 def orphan_notes(spark, sf_dir):
     v = vault(spark, sf_dir)
     return graph.orphans(v.notes, v.edges)
@@ -211,56 +214,119 @@ def lint_fields(spark, sf_dir):
     return lint.field_rules(vault(spark, sf_dir).notes, AS_OF)
 
 
-@query(
-    "lint_broken_refs",
-    GRAPH
-    + """select id rel_path, 'broken_wikilink' as rule, 'error' severity, 'gone ' || c detail from cus where c % 7 = 0
+BROKEN = """select id rel_path, 'broken_wikilink' as rule, 'error' severity, 'gone ' || c detail from cus where c % 7 = 0
 union all select a.id, 'broken_conflict_ref', 'error', 'o' || (a.o + 1) from ord a where a.o % 8 = 1 and a.o + 1 not in (select o from ord)
 union all select a.id, 'broken_conflict_ref', 'error', case when a.o % 64 = 2 then './o' else 'o' end || (a.o - 1) from ord a where a.o % 16 = 2 and (a.o % 64 = 2 or a.o - 1 not in (select o from ord))
 union all select a.id, 'broken_relation', 'error', 'o' || (a.o + 9) from ord a where a.o % 18 = 4 and a.o + 9 not in (select o from ord)
 union all select a.id, 'broken_relation', 'error', 'O' || (a.o - 9) || '.md' from ord a where a.o % 36 = 13 and a.o - 9 not in (select o from ord)
-union all select id, 'broken_source_ref', 'error', 'raw/inbox/part-' || s || '.md' from sup where s % 3 <> 0 and s not in (select p from par)""",
-)
+union all select id, 'broken_source_ref', 'error', 'raw/inbox/part-' || s || '.md' from sup where s % 3 <> 0 and s not in (select p from par)"""
+
+
+@query("lint_broken_refs", GRAPH + BROKEN)
 def lint_broken_refs(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.broken_refs(v.notes, v.refs)
 
 
-@query(
-    "lint_reciprocity",
-    GRAPH
-    + """select a.source rel_path, case a.kind when 'conflict_ref' then 'one_sided_conflict' else 'one_sided_contradiction' end as rule, 'error' severity, a.target detail
-from edges a left join edges b on a.source = b.target and a.target = b.source and a.kind = b.kind where a.kind in ('conflict_ref', 'contradicts') and b.source is null""",
-)
+ONE_SIDED = """select a.source rel_path, case a.kind when 'conflict_ref' then 'one_sided_conflict' else 'one_sided_contradiction' end as rule, 'error' severity, a.target detail
+from edges a left join edges b on a.source = b.target and a.target = b.source and a.kind = b.kind where a.kind in ('conflict_ref', 'contradicts') and b.source is null"""
+
+
+@query("lint_reciprocity", GRAPH + ONE_SIDED)
 def lint_reciprocity(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.one_sided(v.notes, v.refs)
 
 
-@query("lint_conflict_section", GRAPH + "select source rel_path, 'conflict_unexplained' as rule, 'error' severity, target detail from edges join ord on source = id where kind = 'conflict_ref' and o % 16 <> 1")
+UNEXPLAINED = "select source rel_path, 'conflict_unexplained' as rule, 'error' severity, target detail from edges join ord on source = id where kind = 'conflict_ref' and o % 16 <> 1"
+
+
+@query("lint_conflict_section", GRAPH + UNEXPLAINED)
 def lint_conflict_section(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.unexplained_conflicts(v.notes, v.refs)
 
 
-@query("lint_inactive_claim", GRAPH + "select source rel_path, 'inactive_claim' as rule, 'error' severity, target || ' ' || case o % 10 when 0 then 'outdated' else 'disputed' end detail from edges join ord on target = id where kind in ('claim_ref', 'summary_claim_ref') and o % 10 in (0, 1)")
+INACTIVE = "select source rel_path, 'inactive_claim' as rule, 'error' severity, target || ' ' || case o % 10 when 0 then 'outdated' else 'disputed' end detail from edges join ord on target = id where kind in ('claim_ref', 'summary_claim_ref') and o % 10 in (0, 1)"
+
+
+@query("lint_inactive_claim", GRAPH + INACTIVE)
 def lint_inactive_claim(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.inactive_claims(v.notes, v.refs)
 
 
-@query("lint_graph_role", GRAPH + "select id rel_path, case when o % 3 = 0 then 'absorbed_marked' else 'standalone_unmarked' end as rule, 'error' severity, '' detail from ord where (o % 2 <> 0 and o % 5 <> 0) <> (o % 3 = 0)")
+ROLES = "select id rel_path, case when o % 3 = 0 then 'absorbed_marked' else 'standalone_unmarked' end as rule, 'error' severity, '' detail from ord where (o % 2 <> 0 and o % 5 <> 0) <> (o % 3 = 0)"
+
+
+@query("lint_graph_role", GRAPH + ROLES)
 def lint_graph_role(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.graph_roles(v.notes, v.refs)
 
 
-@query("lint_summary")
+EVERY = (
+    FINDINGS
+    + f""", every as (select rel_path, rule, severity, detail from found union all {BROKEN} union all {ONE_SIDED} union all {UNEXPLAINED} union all {INACTIVE} union all {ROLES}
+  union all select rel_path, 'orphan', 'warning', '' from ({ORPHANS}) t)
+"""
+)
+
+
+@query("lint_summary", EVERY + "select severity, rule, count(*) n from (select severity, rule from every union all select 'warning', 'no_manifest') t group by severity, rule")
 def lint_summary(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.summary(lint.lint(v.notes, v.refs, v.edges, AS_OF))
 
 
+@query("lint_verdict", EVERY + "select cast(count(*) filter (where severity = 'error') as bigint) errors, cast(count(*) filter (where severity = 'warning') + 1 as bigint) warnings, count(*) filter (where severity = 'error') = 0 passed from every")
+def lint_verdict(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return lint.verdict(lint.lint(v.notes, v.refs, v.edges, AS_OF))
+
+
+SCOPE = "(select id from cus where c % 3 = 0 union all select id from sup where s % 2 = 0)"
+
+
+@query("lint_scoped", EVERY + f"select rel_path, rule, severity, detail from every where rel_path in {SCOPE} and rule <> 'inactive_claim' union all select '', 'manifest_not_compared', 'warning', ''")
+def lint_scoped(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    n = F.regexp_extract("rel_path", r"([0-9]+)\.md$", 1).try_cast("bigint")
+    inside = v.notes.where(((F.col("note_type") == "wiki") & (n % 3 == 0)) | ((F.col("note_type") == "source") & (n % 2 == 0))).select(F.col("rel_path").alias("path"))
+    return lint.lint(v.notes, v.refs, v.edges, AS_OF, scope=inside)
+
+
+CONTRACT = """with n as (select p_partkey p, case p_partkey % 4 when 0 then '知识簇/X/_claims/p' when 1 then '知识簇/X/命题/p' when 2 then '知识簇/X/p' else '_graphify/sources/p' end || p_partkey || '.md' rel_path,
+    ['claim', 'wiki', 'source', 'tale', 'claim'][p_partkey % 5 + 1] t, case p_partkey % 4 when 0 then 'claim' when 1 then 'claim' when 2 then 'wiki' else 'source' end kind from part)
+select rel_path, 'invalid_type' as rule, 'error' severity, t detail from n where t = 'tale'
+union all select rel_path, 'type_differs_from_path', 'warning', t || ' ' || kind from n where t <> kind
+union all select rel_path, 'legacy_claim_folder', 'warning', '' from n where t = 'claim' and p % 4 = 0
+union all select rel_path, 'missing_claim', 'error', 'statement, claim_type, scope, boundary_note, claim_origin, claim_status, conflict_refs' from n where t = 'claim'
+union all select rel_path, 'invalid_support_state', 'error', 'firm' from n where t = 'claim' and p % 3 = 0
+union all select rel_path, 'invalid_verification_state', 'error', 'none' from n where t = 'claim' and p % 3 = 1
+union all select rel_path, 'invalid_graph_role', 'error', 'hub' from n where t = 'claim' and p % 7 = 0
+union all select rel_path, 'broken_claim_ref', 'error', 'lost ' || p from n where t = 'wiki'"""
+
+
+@query("lint_contract", CONTRACT)
+def lint_contract(spark, sf_dir):
+    p, own = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    folder = F.element_at(F.array(*map(F.lit, ("知识簇/X/_claims/p", "知识簇/X/命题/p", "知识簇/X/p", "_graphify/sources/p"))), (p % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("claim", "wiki", "source", "tale", "claim"))), (p % 5 + 1).cast("int"))
+    text = F.concat(F.lit("---\ntype: "), kind, F.lit("\nsupport_state: "), F.when(p % 3 == 0, "firm").otherwise("weak"), F.lit("\nverification_state: "), F.when(p % 3 == 1, "none").otherwise("unclear"), F.when(p % 7 == 0, "\ngraph_role: hub").otherwise(""), F.lit("\nclaim_refs:\n- lost "), own, F.lit("\n---\n"))
+    made = notes.parse(_read(spark, sf_dir, "part").select(F.concat(folder, own, F.lit(".md")).alias("rel_path"), text.alias("text")))
+    table = graph.nodes(made)
+    refs = graph.resolve(graph.references(made), table, graph.alias_map(table))
+    rules = ("invalid_type", "type_differs_from_path", "legacy_claim_folder", "missing_claim", "invalid_support_state", "invalid_verification_state", "invalid_graph_role")
+    return lint.field_rules(made, AS_OF).where(F.col("rule").isin(*rules)).unionByName(lint.broken_refs(made, refs))
+
+
+@query("health_counts", EVERY + "select (select count(*) from found where rule = 'review_due') stale, (select count(*) from every where rule = 'orphan') orphans")
+def health_counts(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return export.health(v.notes, v.edges, AS_OF)
+
+
 SNAPSHOT = "select 'd/' || doc_id path, doc_id % 1000 mtime, cast(length(text) as bigint) size, {hash} sha256 from documents"
 
 
@@ -301,6 +367,25 @@ def manifest_lost_links(spark, sf_dir):
     return graph.lost_links(before, before.where("length(path) % 3 <> length(target) % 3"))
 
 
+@query("manifest_missing_notes", "select 'gone/' || r_name || '.md' rel_path, 'protected_note_missing' as rule, 'warning' severity, '' detail from region")
+def manifest_missing_notes(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    gone = _read(spark, sf_dir, "region").select(F.format_string("gone/%s.md", "r_name").alias("path"), F.lit("wikilinks").alias("field"), F.lit("x").alias("target"))
+    return lint.protected(graph.manifest(v.refs).unionByName(gone), v.refs, v.notes)
+
+
+@query("parse_callouts", "select conv_id, turn, trim(text) as said from conversations where text not like '%' || chr(10) || '%'")
+def parse_callouts(spark, sf_dir):
+    body = F.concat(F.lit("before\n> [!note] 快速把握\n> "), F.col("text"), F.lit("\n\nafter\n> not this"))
+    return _read(spark, sf_dir, "conversations").where(~F.col("text").contains("\n")).select("conv_id", "turn", P.callout(body, "快速把握").alias("said"))
+
+
+@query("dedupe_refs", "with w as (select doc_id, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) pos from documents), f as (select doc_id, word, min(pos) pos from w where word <> '' group by doc_id, word) select doc_id, count(*) n, md5(string_agg(word, ' ' order by pos)) words from f group by doc_id")
+def dedupe_refs(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", R.dedupe(F.split("text", " ")).alias("ws")).where(F.size("ws") > 0)
+    return rows.select("doc_id", F.size("ws").cast("bigint").alias("n"), F.md5(F.array_join("ws", " ")).alias("words"))
+
+
 @query("parse_front_matter", GRAPH + "select id rel_path, 'customer page ' || c title, lower(c_mktsegment) || ',customer' tags, cast(c % 12 as double) / 10 confidence, '2024-1-' || (c % 28 + 1) review_after, n_name part_of from cus")
 def parse_front_matter(spark, sf_dir):
     wikis = vault(spark, sf_dir).notes.where("note_type = 'wiki'")
@@ -334,7 +419,7 @@ def infer_kinds(spark, sf_dir):
 
 @query("normalize_refs", "select p_partkey, lower(p_name) as key from part")
 def normalize_refs(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", R.normalize_ref(F.concat(F.lit(" /"), "p_name", F.lit(".MD/ "))).alias("key")).withColumn("key", F.regexp_replace("key", r"\.md$", ""))
+    return _read(spark, sf_dir, "part").select("p_partkey", R.normalize_ref(F.concat(F.lit(" /"), "p_name", F.lit(".MD "))).alias("key"))
 
 
 STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
@@ -363,12 +448,47 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, "customer page 7"), (2, "order claim 33"), (3, "nation_4"), (4, "nothing-like-it"), (5, "AMERICA building")], "query_id int, query string")
 
 
-@query("lookup_routes")
+def _points(q: str, equal: int, inside: int, text: int) -> str:
+    return f"case when list_contains(stacks, {q}) then {equal} when contains(array_to_string(stacks, chr(1)), {q}) then {inside} when contains(low, {q}) then {text} else 0 end"
+
+
+SCORE = f"cast({_points('q', 100, 45, 15)} + list_sum(list_transform(ts, lambda t: {_points('t', 20, 10, 3)})) as double)"
+LOOKUP = (
+    GRAPH
+    + f""", qs as (select * from (values (1, 'customer page 7', ['customer', 'page']), (2, 'order claim 33', ['order', 'claim', '33']), (3, 'nation_4', ['nation']), (4, 'nothing-like-it', ['nothing', 'like', 'it']), (5, 'america building', ['america', 'building'])) v(query_id, q, ts)),
+page as (select *, '# page In [[知识簇/' || r_name || '/_索引|' || r_name || ']]' || case when c % 7 = 0 then ' and [[gone ' || c || '#x]]' else '' end || ' ## 主线解释 Customer in ' || n_name || ' buys.' seen, ['customer page ' || c, lower('知识簇/' || r_name || '/c' || c), lower(c_mktsegment), 'customer'] stacks from cus),
+about as (select id rel_path, [lower(r_name), lower('知识簇/' || r_name || '/_索引')] stacks, '# region' low from reg union all select id, [lower(n_name), lower('知识簇/' || r_name || '/' || n_name || '/_索引')], '# nation' from nat
+  union all select id, stacks, lower(case when c % 6 <> 0 then 'customers' || chr(10) else '' end || seen || chr(10) || lower(c_mktsegment) || chr(10) || 'customer') from page),
+routed as materialized (select query_id, rel_path, score, row_number() over (partition by query_id order by score desc, rel_path) rank from (select query_id, rel_path, {SCORE} score from about, qs) t where score > 0 qualify rank <= 5),
+units as (select id rel_path, 'wiki' kind, '主线解释' as section, 1 prio, stacks, lower('Customer in ' || n_name || ' buys.') low from page union all select id, 'wiki', '正文预览', 30, stacks, lower(seen) from page
+  union all select id, 'claim', 'claim', 0, ['order claim ' || o, lower(replace(id, '.md', '')), 'order'], lower('it was ordered' || chr(10) || '# claim' || case when o % 16 = 1 then ' ## 可能冲突或待验证 It differs.' else '' end || chr(10) || 'order' || chr(10) || 'supported' || chr(10) || 'source_supported' || chr(10) || 'all' || chr(10) || 'none' || case when o % 16 = 1 then chr(10) || 'It differs.' else '' end) from ord),
+near_to as (select distinct query_id, split_part(rel_path, '/', 2) cluster from routed),
+best as (select query_id, rel_path, kind, section, score from (select query_id, rel_path, kind, section, prio, {SCORE} score from units, qs) t
+  where score > 0 and (query_id not in (select query_id from near_to) or (query_id, split_part(rel_path, '/', 2)) in (select query_id, cluster from near_to)) qualify row_number() over (partition by query_id, rel_path order by score desc, prio, section desc) = 1),
+hits as materialized (select *, row_number() over (partition by query_id order by score desc, rel_path, section) rank from best qualify rank <= 5),
+"""
+)
+
+
+@query("lookup_routes", LOOKUP + "done as (select 1) select query_id, rel_path, score, cast(rank as bigint) rank from routed")
 def lookup_routes(spark, sf_dir):
     return lookup.routes(vault(spark, sf_dir).notes, _asked(spark))
 
 
-@query("lookup_end_to_end")
+@query(
+    "lookup_end_to_end",
+    LOOKUP
+    + """matched as (select query_id, rel_path from routed union all select query_id, rel_path from hits),
+touching as (select source a, target b, kind from edges union all select target, source, kind from edges),
+beside as (select query_id, b path, sum(case kind when 'part_of' then 4 when 'summary_claim_ref' then 4 when 'claim_ref' then 3 else 2 end) score, string_agg(distinct kind, ',' order by kind) kinds from matched join touching on a = rel_path
+  where kind not in ('conflict_ref', 'contradicts') and (query_id, b) not in (select query_id, rel_path from matched) and b in (select id from nodes where type not in ('raw', 'source')) group by query_id, b),
+top as (select query_id, path, score, kinds, false forced from beside qualify row_number() over (partition by query_id order by score desc, path) <= 5),
+forced as (select query_id, b path, sum(4) score, (select string_agg(distinct kind, ',' order by kind) from touching t where t.b = f.b and kind in ('conflict_ref', 'contradicts')) kinds, true forced from (select query_id, b from hits join touching on a = rel_path and touching.kind in ('conflict_ref', 'contradicts') where hits.kind = 'claim') f
+  where (query_id, b) not in (select query_id, rel_path from matched) and (query_id, b) not in (select query_id, path from top) group by query_id, b),
+related as (select *, row_number() over (partition by query_id order by forced, case when forced then 0 else -score end, path) rank from (select * from top union all select * from forced) t)
+select query_id, 'route' part, cast(rank as bigint) rank, rel_path path, '' as section, score, '' kinds from routed
+union all select query_id, 'knowledge', rank, rel_path, section, score, '' from hits union all select query_id, 'related', rank, path, '', cast(score as double), kinds from related""",
+)
 def lookup_end_to_end(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lookup.lookup(v.notes, v.edges, v.nodes, _asked(spark))
@@ -436,16 +556,82 @@ def fill_gaps(spark, sf_dir):
     return media.fill_gaps(_minutes(spark, sf_dir), 1500)
 
 
+TIDY = r"trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g'), ' ｜|')"
+QUIET = r"length(text) > 1 and not regexp_full_match(text, '[\d\s:：.·,，%]+') and not regexp_full_match(text, '[♡❤★☆💬↗+\-\d\s]+') and not regexp_matches(text, '^(?:" + "|".join(media.NOISE) + ")', 'i')"
+SCRAPS = ("搜索", "下一集＞", "5G12", "第3集 全 展开", "12:30", "@me·3天前", "合集·x", "ab|", "7赞", "汽水音乐>x", "原声 y", "弹")
+
+
 @query(
     "ocr_lines",
-    r"with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents), c as (select doc_id, regexp_replace(line, '[ \t\r\n｜|]', '', 'g') as text from l) select doc_id, text, count(*) n from c where length(text) > 1 and not regexp_full_match(text, '[\d\s:：.·,，%]+') and not regexp_full_match(text, '[♡❤★☆💬↗+\-\d\s]+') group by doc_id, text",
+    f"with l as (select doc_id, unnest(list_concat(string_split(text, chr(10)), [{', '.join(repr(x) for x in SCRAPS)}])) line from documents), c as (select doc_id, {TIDY} as text from l) select doc_id, text, count(*) n from c where {QUIET} group by doc_id, text",
 )
 def ocr_lines(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    rows = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.concat(F.split("text", "\n"), F.array(*map(F.lit, SCRAPS)))).alias("line"))
     clean = rows.select("doc_id", media.ocr_text(F.col("line")).alias("text"))
     return clean.where(~media.is_noise(F.col("text"))).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "region_filter",
+    f"with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents), c as (select doc_id, pos, {TIDY} as text, pos % 2 half from l), k as (select *, row_number() over (partition by doc_id, text, half order by pos) again from c where {QUIET}) select doc_id frame_id, 'r' || lpad(cast(row_number() over (partition by doc_id order by pos) as varchar), greatest(2, length(cast(row_number() over (partition by doc_id order by pos) as varchar)))::int, '0') region_id, text, case when pos % 5 = 0 then 'ocr_unclear' when pos % 7 = 0 then 'layout_unclear' end review from k where again = 1",
+)
+def region_filter(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("frame_id"), F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("pos", F.col("i") + 1)
+    box = F.array((F.col("pos") % 2).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(1.0))
+    full = rows.select("frame_id", "pos", "text", box.alias("bbox"), F.when(F.col("pos") % 5 == 0, 0.5).otherwise(0.9).alias("score"), (F.col("pos") % 7 == 0).alias("bbox_missing"))
+    return media.filter_regions(full).select("frame_id", "region_id", "text", "review")
+
+
+@query(
+    "bbox_normalize",
+    """with b as (select l_orderkey k, l_linenumber n, cast(l_quantity as int) q, l_suppkey % 900 + 2 s from lineitem where l_orderkey % 5 = 0)
+select distinct k, n, q, s, case n % 4 when 0 then 0.0 else round(least(q, s) / 1000.0, 4) end x1, case n % 4 when 0 then 0.0 when 1 then round(q / 500.0, 4) when 2 then round(least(q, s) / 500.0, 4) else round(least(q, s) / 500.0, 4) end y1, n % 4 = 0 missing from b""",
+)
+def bbox_normalize(spark, sf_dir):
+    b = _read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), (F.col("l_suppkey") % 900 + 2).alias("s"))
+    shape = (
+        F.when(F.col("n") % 4 == 0, F.lit('"nothing"'))
+        .when(F.col("n") % 4 == 1, F.format_string('{"x1": %d, "y1": %d, "x2": %d, "y2": 400}', "q", "q", "s"))
+        .when(F.col("n") % 4 == 2, F.format_string("[[%d, %d], [%d, %d], [900, 450]]", "q", "s", "s", "q"))
+        .otherwise(F.format_string('[%d, "%d", %d, %d]', "q", "s", "s", "q"))
+    )
+    box = media.normal_box(F.parse_json(shape), F.lit(1000.0), F.lit(500.0))
+    return b.withColumn("b", box).select("k", "n", "q", "s", F.col("b.bbox")[0].alias("x1"), F.col("b.bbox")[1].alias("y1"), F.col("b.missing").alias("missing")).distinct()
+
+
+@query("ocr_shapes", r"select conv_id, turn, trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g'), ' ｜|') as text, case turn % 3 when 1 then 0.25 when 0 then nullif(turn / 10.0, 0) else turn / 10.0 end::double score, turn % 3 <> 2 missing from conversations where trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g'), ' ｜|') <> ''")
+def ocr_shapes(spark, sf_dir):
+    share = F.col("turn") / 10
+    named = F.to_json(F.array(F.struct(F.col("text").alias("txt"), F.lit(0).alias("score"), share.alias("confidence"))))
+    split = F.to_json(F.struct(F.array("text").alias("txts"), F.array(F.lit(0.25)).alias("scores")))
+    listed = F.concat(F.lit("[[[0, 0, 1, 1], "), F.get(F.split(F.to_json(F.struct(F.col("text").alias("t"))), '^\\{"t":'), F.lit(1)), F.lit(" "))
+    listed = F.concat(F.regexp_replace(listed, r"\}\x20$", ""), F.lit(", "), share.cast("string"), F.lit("]]"))
+    result = F.when(F.col("turn") % 3 == 0, named).when(F.col("turn") % 3 == 1, split).otherwise(listed)
+    found = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(media.recognised(result, F.lit(100.0), F.lit(100.0))))
+    return found.select("conv_id", "turn", "text", "score", F.col("bbox_missing").alias("missing"))
+
+
+NAME = r"""substr(trim(regexp_replace(regexp_replace({}, '[\\/:*?"<>|]+', '-', 'g'), '\s+', ' ', 'g')), 1, 120)"""
+
+
+@query("media_paths", f"""with v as (select p_partkey, {NAME.format("p_type || '? '")} a, {NAME.format("p_name || ': take*' || p_partkey")} b from part) select p_partkey, 'video-visual' as mode, 'raw/compiled/visual/' || a || '/' || b || '（视觉编译）.md' note, 'raw/assets/video-visual/' || a || '/' || b || '/ocr_regions.json' regions from v""")
+def media_paths(spark, sf_dir):
+    path = F.format_string("raw/inbox/video-visual/%s? /%s: take*%d.mp4", "p_type", "p_name", "p_partkey")
+    return _read(spark, sf_dir, "part").select("p_partkey", media.compile_mode(path).alias("mode"), media.note_path(path).alias("note"), media.regions_path(path).alias("regions"))
+
+
+@query("media_keywords", r"with t as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ｜|') as text from conversations where turn <= 1) select conv_id, string_agg(case when length(text) > 30 then rtrim(left(text, 27)) || '...' else text end, ' / ' order by turn) keywords, false cjk from t group by conv_id")
+def media_keywords(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").where("turn <= 1").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    texts = F.transform("ts", lambda t: t["text"])
+    return turns.select("conv_id", media.keywords(texts, F.lit("en")).alias("keywords"), media.has_cjk(F.array_join(texts, " ")).alias("cjk"))
+
+
+@query("media_clock", "select event_id, lpad(cast(ms // 3600000 as varchar), 2, '0') || ':' || lpad(cast(ms // 60000 % 60 as varchar), 2, '0') || ':' || lpad(cast(ms // 1000 % 60 as varchar), 2, '0') || '.' || lpad(cast(ms % 1000 as varchar), 3, '0') clock, sha1(event_type) fingerprint from (select event_id, event_type, event_id * 7919 % 86400000 ms from events)")
+def media_clock(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", media.clock((F.col("event_id") * 7919) % 86400000).alias("clock"), media.fingerprint(F.col("event_type").cast("binary")).alias("fingerprint"))
+
+
 @query("anchors_numbering", "with c as (select conv_id video, turn frame, case when length(text) % 4 = 0 then 1 else length(text) % 4 end own from conversations), r as (select *, cast(sum(own) over (partition by video order by frame) as bigint) last from c) select video, frame, 'A' || lpad(cast(last - own + 1 as varchar), cast(greatest(2, length(cast(last - own + 1 as varchar))) as int), '0') first_anchor, 'A' || lpad(cast(last as varchar), cast(greatest(2, length(cast(last as varchar))) as int), '0') last_anchor from r")
 def anchors_numbering(spark, sf_dir):
     return media.number_anchors(_read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("frame"), (F.length("text") % 4).alias("n_regions")))
@@ -456,6 +642,32 @@ def graphml_edges(spark, sf_dir):
     return export.graphml_edges(vault(spark, sf_dir).edges)
 
 
-@query("graph_json_nodes")
+TITLED = """, full_nodes as (select reg.id, r_name title, '[]' tags, '1.0' conf from reg union all select id, n_name, '[]', '1.0' from nat
+  union all select id, 'customer page ' || c, '["' || lower(c_mktsegment) || '","customer"]', cast(cast(c % 12 as double) / 10 as varchar) from cus union all select id, 'order claim ' || o, '["order"]', '0.5' from ord
+  union all select id, 'supplier source ' || s, '[]', case when s % 9 = 0 then 'null' else '0.9' end from sup union all select id, p_name, '[]', 'null' from par)
+"""
+
+
+@query("graph_json_nodes", GRAPH + TITLED + """select id, '{"id":"' || id || '","path":"' || id || '","title":"' || title || '","type":"' || type || '","status":"' || status || '","tags":' || tags || ',"aliases":[],"confidence":' || conf || '}' line from full_nodes join nodes using (id)""")
 def graph_json_nodes(spark, sf_dir):
     return export.node_json(vault(spark, sf_dir).nodes)
+
+
+@query("graphml_nodes", GRAPH + TITLED + """select id, '<node id="' || id || '"><data key="path">' || id || '</data><data key="title">' || title || '</data><data key="type">' || type || '</data><data key="status">' || status || '</data><data key="tags">' || replace(replace(replace(replace(tags, '","', ', '), '["', ''), '"]', ''), '[]', '') || '</data><data key="aliases"></data><data key="confidence">' || replace(conf, 'null', '') || '</data></node>' line from full_nodes join nodes using (id)""")
+def graphml_nodes(spark, sf_dir):
+    return export.graphml_nodes(vault(spark, sf_dir).nodes)
+
+
+@query("impact_of_refs", GRAPH + IMPACT + """, asked as (select * from (values ('s1', '_graphify/sources/s1.md'), ('c2|x', (select id from cus where c = 2)), ('nothing', null), ('_索引', null), ('raw/inbox/part-3', 'raw/inbox/part-3.md')) v(ref, target))
+select ref, case when asked.target is null then 'unresolved' else 'resolved' end outcome, asked.target, type, layer, path from asked left join nodes on id = asked.target left join impact on impact.target = asked.target""")
+def impact_of_refs(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    refs = spark.createDataFrame([(x,) for x in ("s1", "c2|x", "nothing", "_索引", "raw/inbox/part-3")], "ref string")
+    return graph.impact_of(refs, v.edges, v.nodes, v.aliases)
+
+
+@query("scope_report_seeds", GRAPH + "select 'list' as mode, cast(null as varchar) part, cast(null as varchar) path, cast(null as varchar) title union all select 'list', 'seed', id, 'customer page 2' from cus where c = 2 union all select 'list', 'seed', '_graphify/sources/s1.md', 'supplier source 1'")
+def scope_report_seeds(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    listed = notes.unticked(spark.createDataFrame([("- [ ] [[c2]]\n- [ ] `s1`\n- [ ] lost\n",)], "text string"))
+    return graph.scope_report(listed, v.edges, v.nodes, v.aliases).where("part is null or part = 'seed'").drop("type")

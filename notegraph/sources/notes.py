@@ -17,27 +17,26 @@ from notegraph.functions import parsing as P
 ROOTS = ("知识簇", "_graphify/sources", "_graphify/indexes")
 
 
-#: Where a vault keeps files.  Spark's readers pass over names that begin
-#: with an underscore, so the folders below ``_graphify`` are named, and
-#: index notes (one or a few for each cluster) are found by pattern.
+#: Where a vault keeps files.
 FOLDERS = ("raw", *ROOTS)
-HIDDEN = "知识簇/{*,*/*,*/*/*}/_*"
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+LISTED = "path string, is_folder boolean, length bigint, at double"
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """``(rel_path, size, modified, content)`` of a vault's files.
 
-    The content column is only read where a later step selects it.
+    Spark's readers pass over names that begin with an underscore or a dot,
+    so such files, and all below such folders, are found by listing the
+    folders, one level after the other, and are fetched by name.  The content
+    column is only read where a later step selects it.
     """
     jvm, root = spark._jvm, root.rstrip("/")
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.makeQualified(path(root)).toString()
     folders = [f"{base}/{f}" for f in FOLDERS if fs.exists(path(f"{base}/{f}"))]
-    hidden = [(x.getPath().toString(), x.getModificationTime() / 1000.0, x.getLen()) for x in fs.globStatus(path(f"{base}/{HIDDEN}")) or [] if x.isFile()]
-    files = spark.createDataFrame(hidden, "path string, at double, length bigint")
-    out = files.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length").mapInArrow(_fetch, FILES)
+    out = _hidden(spark, folders).mapInArrow(_fetch, FILES)
     if folders:
         seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
         out = out.unionByName(seen.select("path", "modificationTime", "length", "content"))
@@ -47,12 +46,41 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return out.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def _hidden(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``(path, modificationTime, length)`` of files that Spark's readers pass over."""
+    level = spark.createDataFrame([(f, True, False) for f in folders], "path string, is_folder boolean, hidden boolean")
+    files = level.limit(0).select("path", F.lit(0.0).alias("at"), F.lit(0).cast("bigint").alias("length"))
+    while not level.isEmpty():
+        below = level.select("path", "hidden").repartition("path").mapInArrow(_list, f"{LISTED}, hidden boolean").persist()
+        files = files.union(below.where("hidden and not is_folder").select("path", "at", "length"))
+        level = below.where("is_folder")
+    return files.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length")
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/"))
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in each folder ``(path, hidden)``; below a hidden folder all is hidden."""
+    for batch in batches:
+        cols: list[list] = [[] for _ in range(5)]
+        for uri, hidden in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+            store, folder = _opened(uri)
+            for x in store.get_file_info(fs.FileSelector(folder)):
+                row = (f"{uri}/{x.base_name}", x.type == fs.FileType.Directory, x.size or 0, x.mtime_ns / 1e9 if x.mtime_ns else 0.0, hidden or x.base_name[0] in "_.")
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "is_folder", "length", "at", "hidden"])
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads the named files, a batch of names at a time."""
     for batch in batches:
         content = []
         for uri in batch.column(0).to_pylist():
-            store, path = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/"))
+            store, path = _opened(uri)
             with store.open_input_stream(path) as f:
                 content.append(f.read())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], names=["path", "modificationTime", "length", "content"])
@@ -102,6 +130,8 @@ def parse(texts: DataFrame) -> DataFrame:
         *lists,
         P.wikilinks(F.col("body")).alias("wikilinks"),
         P.as_double(f["confidence"]).alias("confidence"),
+        P.as_text(f["origin"]).alias("origin"),
+        P.as_text(f["captured_at"]).alias("captured_at"),
         P.as_text(f["updated_at"]).alias("updated_at"),
         P.as_text(f["review_after"]).alias("review_after"),
     )

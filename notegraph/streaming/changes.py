@@ -1,20 +1,13 @@
-"""Incremental notes: a stream of note texts feeding the batch transforms."""
+"""Incremental notes: what changes in a stream of note texts.
+
+The parser is a projection and takes streams as it is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.sources.notes import parse
-
-
-def parsed_stream(texts: DataFrame) -> DataFrame:
-    """Parsed notes of a stream of ``(rel_path, text, seen)`` rows.
-
-    The parser is a projection, so the same code serves batch and stream.
-    """
-    return parse(texts)
-
 
 def content_changes(texts: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Texts that differ from those seen within the watermark, once each."""

@@ -52,7 +52,7 @@ def test_lint_rules(spark):
         assert row in found, row
     inside = spark.createDataFrame([("知识簇/A/命题/b.md",)], "path string")
     few = lint.lint(v.notes, v.refs, v.edges, "2024-01-01", scope=inside)
-    assert {r.rel_path for r in few.collect()} == {"知识簇/A/命题/b.md"}
+    assert {(r.rel_path, r.rule == "manifest_not_compared") for r in few.collect()} == {("知识簇/A/命题/b.md", False), ("", True)}
     assert "one_sided_contradiction" not in {r.rule for r in few.collect()}
 
 
@@ -79,19 +79,102 @@ def test_frames(spark):
     frames = spark.createDataFrame([("v", 0.0, 1, "x"), ("v", 1.0, 2, "x"), ("v", 2.0, 3, None), ("v", 3.0, 4, "x"), ("v", 12.5, 5, "y")], "video string, ts double, seq int, fingerprint string")
     got = [(r.fingerprint, r.cover_start, r.cover_end) for r in media.collapse_repeats(frames).orderBy("island").collect()]
     assert got == [("x", 0.0, 1.0), (None, 2.0, 3.0), ("y", 12.5, 12.5)] or got == [("x", 0.0, 1.0), ("x", 2.0, 3.0), ("y", 12.5, 12.5)]
-    box = spark.range(1).select(media.normal_box(F.array(*map(F.lit, (10.0, 20.0, 200.0, 50.0))), F.lit(100.0), F.lit(100.0)).alias("b"), media.clock(F.lit(3723004)).alias("t")).first()
+    box = spark.range(1).select(media.normal_box(F.parse_json(F.lit("[10, 20, 200, 50]")), F.lit(100.0), F.lit(100.0))["bbox"].alias("b"), media.clock(F.lit(3723004)).alias("t")).first()
     assert box.b == [0.1, 0.2, 1.0, 0.5] and box.t == "01:02:03.004"
-    regions = spark.createDataFrame([("f", 1, "原声 x", [0.0, 0.0, 1.0, 1.0], 0.9, False), ("f", 2, "ok", [0.0, 0.0, 1.0, 1.0], 0.5, False), ("f", 3, "o k", [0.0, 0.0, 1.0, 1.0], 0.5, False), ("f", 4, "12:30", [0.0, 0.0, 1.0, 1.0], 0.9, False), ("f", 5, "ad text", None, 0.9, True)], "frame_id string, pos int, text string, bbox array<double>, score double, bbox_missing boolean")
-    assert [(r.region_id, r.text, r.review) for r in media.filter_regions(regions, ("ad",)).orderBy("region_id").collect()] == [("r01", "原声x", "maybe_noise"), ("r02", "ok", "ocr_unclear")]
+    regions = spark.createDataFrame([("f", 1, " 原声 x|", [0.0, 0.0, 1.0, 1.0], 0.9, False), ("f", 2, "ok", [0.0, 0.0, 1.0, 1.0], 0.5, False), ("f", 3, " ok", [0.0, 0.0, 1.0, 1.0], 0.5, False), ("f", 4, "12:30", [0.0, 0.0, 1.0, 1.0], 0.9, False), ("f", 5, "展开", None, 0.9, True)], "frame_id string, pos int, text string, bbox array<double>, score double, bbox_missing boolean")
+    assert [(r.region_id, r.text, r.review) for r in media.filter_regions(regions).orderBy("region_id").collect()] == [("r01", "原声 x", "maybe_noise"), ("r02", "ok", "ocr_unclear")]
 
 
-def test_export(spark, tmp_path):
+def test_boxes_and_recognised_shapes(spark):
+    def run(text):
+        row = spark.createDataFrame([(text,)], "r string").select(media.recognised(F.col("r"), F.lit(100.0), F.lit(50.0)).alias("x")).first()
+        return [(x.text, x.bbox, x.bbox_missing, x.score) for x in row.x]
+
+    full = [0.0, 0.0, 1.0, 1.0]
+    assert run('[{"txt": " a  b ", "box": {"x1": 10, "y1": 10, "x2": 50, "y2": 60}, "score": 0, "confidence": 0.5}]') == [("a b", [0.1, 0.2, 0.5, 1.0], False, 0.5)]
+    assert run('[[[[10, 5], [20, 5], [20, 10]], "t", "0.9"], ["u", 0.4], ["v", [0.1, 0.2, 0.3, 0.4], 0.7], "w", 5, ["x", 0.1, [0, 0, 1, 1]]]') == [("t", [0.1, 0.1, 0.2, 0.2], False, 0.9), ("u", full, True, 0.4), ("v", [0.1, 0.2, 0.3, 0.4], False, 0.7), ("w", full, True, None), ("x", full, False, 0.1)]
+    assert run('{"txts": ["p", "q"], "scores": [0.5], "boxes": [[1, 1, 2, 2]]}') == [("p", [0.01, 0.02, 0.02, 0.04], False, 0.5), ("q", full, True, None)]
+    assert run('"only text"') == [("only text", full, True, None)] and run("null") == [] and run(None) == [] and run("[]") == []
+
+
+def test_names_of_compiled_media(spark):
+    path = "raw/inbox/video-visual/a: b/clip? one.v2.mp4"
+    row = spark.createDataFrame([(path,)], "p string").select(media.compile_mode(F.col("p")).alias("m"), media.note_path(F.col("p")).alias("n"), media.regions_path(F.col("p")).alias("r")).first()
+    assert tuple(row) == ("video-visual", "raw/compiled/visual/a- b/clip- one.v2（视觉编译）.md", "raw/assets/video-visual/a- b/clip- one.v2/ocr_regions.json")
+    frames = spark.createDataFrame([("v", "f1", 0.0, 1.0, "a.png", "x"), ("v", "f2", 2.0, 2.0, "b.png", None)], "video string, frame_id string, cover_start double, cover_end double, image_path string, title string")
+    regions = spark.createDataFrame([("f1", "r01", "你好", [0.0, 0.0, 1.0, 1.0], None), ("f1", "r02", "b", [0.0, 0.0, 1.0, 1.0], "ocr_unclear")], "frame_id string, region_id string, text string, bbox array<double>, review string")
+    import json
+
+    doc = json.loads(media.sidecar(frames, regions, "video-visual", "2024-01-01T00:00:00Z").first().sidecar)
+    assert [f["frame_id"] for f in doc["frames"]] == ["f1", "f2"] and doc["frames"][1]["regions"] == [] and "review" not in doc["frames"][0]["regions"][0]
+    assert doc["frames"][0]["regions"][1] == {"region_id": "r02", "bbox": [0.0, 0.0, 1.0, 1.0], "text": "b", "order": 2, "review": "ocr_unclear"}
+
+
+def test_export_and_baselines(spark, tmp_path):
+    import json
+    import xml.etree.ElementTree as ET
+
     v = vault_of(spark, FILES)
-    export.export(v.nodes, v.edges, str(tmp_path / "out"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "edges.graphml")).collect()]
-    assert len(lines) == v.edges.count() and len({x.split('"')[1] for x in lines}) == len(lines)
-    page = export.summary_page(v.notes, v.nodes, v.edges)
-    assert "- claim: 3" in page and "Orphans: 1" in page
+    out = str(tmp_path / "out")
+    now = spark.createDataFrame([("a.md", 1, 2, "x")], "path string, mtime bigint, size bigint, sha256 string")
+    export.export(v.notes, v.refs, v.nodes, v.edges, now, out, "2024-01-01")
+
+    def whole(name):
+        parts = sorted((tmp_path / "out" / name).glob("part-*"))
+        return "".join(p.read_text() for p in parts)
+
+    doc = json.loads(whole("graph.json"))
+    assert len(doc["nodes"]) == 9 and len(doc["edges"]) == v.edges.count() and doc["generated_at"] == "2024-01-01"
+    assert [n["id"] for n in doc["nodes"]] == sorted(n["id"] for n in doc["nodes"])
+    tree = ET.fromstring(whole("graph.graphml"))
+    assert len(list(tree.iter("{http://graphml.graphdrawing.org/xmlns}edge"))) == v.edges.count() and len(list(tree.iter("{http://graphml.graphdrawing.org/xmlns}key"))) == 8
+    page = whole("graph-summary.md")
+    assert "- claim: 3" in page and "- Orphan notes: 1" in page and "- Stale notes: 0" in page
+    assert "- [ ] `raw/inbox/q.md`" in whole("pending.md")
+    assert export.read_manifest(spark, f"{out}/link-manifest.json").exceptAll(graph.manifest(v.refs)).count() == 0
+    assert [tuple(r) for r in export.read_snapshot(spark, f"{out}/vault-state.json").collect()] == [("a.md", 1, 2, "x")]
+    old = tmp_path / "old.json"
+    old.write_text('{"generated_at": "x", "files": {"a.md": {"mtime_ns": 1, "size": 2}, "b.md": {"mtime_ns": 1, "size": 2, "sha256": "y"}}}')
+    before = export.read_snapshot(spark, str(old))
+    assert {r.path: r.change for r in status.changes(before, now).collect()} == {"b.md": "removed"}
+    links = tmp_path / "links.json"
+    links.write_text('{"files": {"知识簇/A/w.md": {"wikilinks": ["gone.md"], "relations": {"part_of": ["知识簇/A/_索引.md"]}, "claim_links": {}}, "lost.md": {"wikilinks": []}}}')
+    found = lint.lint(v.notes, v.refs, v.edges, "2024-01-01", before=export.read_manifest(spark, str(links)))
+    assert {(r.rel_path, r.rule, r.detail) for r in found.where("rule like 'protected%'").collect()} == {("知识簇/A/w.md", "protected_link_lost", "wikilinks: gone.md"), ("lost.md", "protected_note_missing", "")}
+    assert lint.verdict(found).first().passed is False
+
+
+def test_outcomes_of_impact_and_scope(spark):
+    v = vault_of(spark, FILES)
+    refs = spark.createDataFrame([("s",), ("nothing",), ("raw/inbox/q.md",)], "ref string")
+    got = graph.impact_of(refs, v.edges, v.nodes, v.aliases)
+    rows = {(r.ref, r.outcome, r.layer) for r in got.collect()}
+    assert rows == {("s", "resolved", "claims"), ("s", "resolved", "wikis"), ("s", "resolved", "indexes"), ("nothing", "unresolved", None), ("raw/inbox/q.md", "resolved", None)}
+    assert [(r.ref, r.step) for r in graph.sync_steps(got).orderBy("step").collect()] == [("s", i) for i in range(1, 6)]
+    assert {r.mode for r in graph.scope_report(None, v.edges, v.nodes, v.aliases).collect()} == {"full"}
+    empty = graph.scope_report(spark.createDataFrame([("nothing",)], "ref string"), v.edges, v.nodes, v.aliases).collect()
+    assert [(r.mode, r.part) for r in empty] == [("list", None)]
+
+
+def test_units_keep_the_first_of_a_heading(spark):
+    texts = {"知识簇/A/w.md": "type: wiki\n---\n## H\none\n## H\ntwo\n## 用户提问与复盘\nx\n", "知识簇/A/命题/c.md": "type: claim\n---\n"}
+    notes = parse(spark.createDataFrame([(k, f"---\n{t}") for k, t in texts.items()], "rel_path string, text string"))
+    assert {(r.section, r.text) for r in lookup.units(notes).collect()} == {("H", "one"), ("正文预览", "## H one ## H two ## 用户提问与复盘 x")}
+
+
+def test_vault_files_with_any_name(spark, tmp_path):
+    from notegraph.sources import notes as N
+
+    paths = ["知识簇/x/_claims/a.md", "知识簇/_索引.md", "知识簇/a/b/c/d/_索引.md", "_graphify/sources/_s.md", "raw/_r.md", "raw/.h.md", "知识簇/x/y.md", "raw/inbox/p.bin", "raw/assets/z.md", "raw/.DS_Store", "知识簇/.git/n.md", "_graphify/indexes/i.markdown", "other/o.md"]
+    for p in paths:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(f"---\ntitle: {p}\norigin: here\n---\nbody")
+    files = N.read_files(spark, str(tmp_path))
+    assert {r.rel_path for r in files.select("rel_path").collect()} == set(paths) - {"other/o.md"}
+    got = {r.rel_path: (r.title, r.origin) for r in N.parse(N.texts_of(files)).collect()}
+    assert set(got) == set(paths) - {"raw/assets/z.md", "raw/.DS_Store", "other/o.md"}
+    assert got["知识簇/x/_claims/a.md"] == ("知识簇/x/_claims/a.md", "here") and got["raw/inbox/p.bin"] == ("p", "")
+    assert N.snapshot(files).where("sha256 is null").count() == 0
 
 
 def test_stream_of_texts(spark, tmp_path):
@@ -99,7 +182,7 @@ def test_stream_of_texts(spark, tmp_path):
     table = spark.createDataFrame(rows, "rel_path string, text string").withColumn("seen", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     table.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    for name, df, n in (("parsed", changes.parsed_stream(stream).select("rel_path", "title"), 3), ("changed", changes.content_changes(stream), 2)):
+    for name, df, n in (("parsed", parse(stream).select("rel_path", "title"), 3), ("changed", changes.content_changes(stream), 2)):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
