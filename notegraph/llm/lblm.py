@@ -1,18 +1,27 @@
 """Language-model scoring with a log-bilinear model.
 
-The model predicts a word class from the two words before it: the context
-vector is ``c1 * r[w1] + c2 * r[w2]`` (elementwise), a class scores its inner
-product with it plus a bias.  The most frequent words are classes of their
-own; all others share one class, inside which a word has its smoothed corpus
-frequency.  Parameters are fitted with noise-contrastive estimation over
-every training token: each task runs minibatch steps over its own partition
-from common starting values, and the results are averaged, weighted by
-tokens.  The normaliser of every context is computed once with batched
-matrix products, so that the scores are true log-probabilities.
-
-Corpus counts are Spark aggregations.  The counts of the ``head`` most
-frequent words (a fixed number) travel with the tasks; occurrences of all
-other words are joined with the count table by word.
+The model predicts a word's class from the two words before it, and the word
+inside its class from the class before: the context vector is ``c1 * r[w1] +
+c2 * r[w2]`` (elementwise), a class scores its inner product with it plus a
+bias, and so does a word among those of its class.  The most frequent words
+are classes of their own; the other listed words, by frequency, share classes
+of ``tail`` words; unlisted words share one class, inside which a word has its
+smoothed corpus frequency.
+
+Parameters are fitted with noise-contrastive estimation over every training
+token, in ``rounds`` rounds that each take their own part of the texts.  A
+round's texts are dealt by hash to shards of about ``shard_tokens`` tokens;
+each shard runs minibatch steps from the last round's parameters, and the
+results are averaged (a word of a shared class over the shards that hold it).
+Shards depend on the texts alone, so scores don't change with the partitions,
+and a shard is as long at any size of the corpus.  The normaliser of every
+context is computed once with batched matrix products, so that the scores are
+true log-probabilities.
+
+Corpus counts are Spark aggregations.  The counts of at most ``head`` listed
+words (a fixed number; the least count comes from a histogram of counts)
+travel with the tasks; occurrences of all other words are joined with the
+count table by word.
 
 Defined results: null or empty text has the end token only; a null
 ``doc_id`` counts as the empty text when documents are held out; repeated
@@ -23,7 +32,7 @@ all counts are zero.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +55,15 @@ class LogBilinear:
     head: int = 200_000
     classes: int = 1024
     dim: int = 16
-    noise: int = 64
+    noise: int = 32
+    tail: int = 512
+    tail_dim: int = 8
+    tail_noise: int = 2
     batch: int = 4096
     step: float = 0.1
+    rounds: int = 2
+    shard_tokens: int = 2_000_000
+    piece: int = 65_536
     fan_in: int = 64
     held_out_mod: int = 10
     smooth: float = 0.1
@@ -115,29 +130,55 @@ def encoded(column: pa.Array, lookup: Lookup) -> Iterator[tuple[int, np.ndarray,
         yield first, np.insert(found, stops, 0), data, np.insert(start, stops, -1), np.insert(end, stops, -1)
 
 
+@dataclass
+class Vocabulary:
+    """Classes of the listed words, and what is known of them before training."""
+
+    own: int
+    table: np.ndarray
+    log_noise: np.ndarray
+    tail_log: np.ndarray
+
+    @staticmethod
+    def of(c: np.ndarray, unlisted: float, m: LogBilinear) -> Vocabulary:
+        """From the listed words' counts, most frequent first; index -1 is that of all others."""
+        own = min(m.classes - 1, len(c))
+        table = np.concatenate((np.arange(own), own + np.arange(len(c) - own) // m.tail)).astype(np.int64)
+        table = np.append(table, table[-1] + 1)
+        weight = np.bincount(table, np.append(c, unlisted)) + m.smooth
+        within = np.bincount(table[own:-1], c[own:] + m.smooth, len(weight))[table[own:-1]]
+        return Vocabulary(own, table, np.log(weight / weight.sum()), np.log((c[own:] + m.smooth) / within))
+
+    def sizes(self) -> np.ndarray:
+        """Words of each class."""
+        return np.bincount(self.table)
+
+
 @dataclass
 class Params:
     r: np.ndarray
     t: np.ndarray
     b: np.ndarray
     c: np.ndarray
+    #: Words of shared classes: context vectors of classes, word vectors, biases.
+    q: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
 
     @staticmethod
-    def start(log_unigram: np.ndarray, m: LogBilinear) -> Params:
+    def start(log_unigram: np.ndarray, m: LogBilinear, tail_log: np.ndarray | None = None) -> Params:
         rng = np.random.default_rng(m.seed)
-        n = len(log_unigram)
+        n, tail_log = len(log_unigram), np.zeros(0) if tail_log is None else tail_log
         r, t = (rng.normal(0, 0.1, (n, m.dim)).astype(np.float32) for _ in range(2))
-        return Params(r, t, log_unigram.astype(np.float32), np.ones((2, m.dim), np.float32))
+        q, u = (rng.normal(0, 0.1, (k, m.tail_dim)).astype(np.float32) for k in (n, len(tail_log)))
+        return Params(r, t, log_unigram.astype(np.float32), np.ones((2, m.dim), np.float32), q, u, tail_log.astype(np.float32))
 
-    def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in (self.r, self.t, self.b, self.c)]).astype(np.float32).tobytes()
+    def common(self) -> list[np.ndarray]:
+        """What every shard moves: all but the words of shared classes."""
+        return [self.r, self.t, self.b, self.c, self.q]
 
-    def unpack(self, data: np.ndarray) -> Params:
-        out, at = [], 0
-        for x in (self.r, self.t, self.b, self.c):
-            out.append(data[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Params(*out)
+    def copy(self) -> Params:
+        return Params(*(x.copy() for x in (self.r, self.t, self.b, self.c, self.q, self.u, self.v)))
 
 
 def context(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,23 +189,27 @@ def context(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w1, w2
 
 
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    d = values.shape[1]
+    flat = (rows[:, None] * d + np.arange(d)).ravel()
+    return np.bincount(flat, values.ravel(), n * d).reshape(n, d).astype(np.float32)
+
+
 class Trainer:
-    """Noise-contrastive Adagrad steps; noise words are shared by a batch."""
-
-    def __init__(self, p: Params, log_noise: np.ndarray, m: LogBilinear, salt: int):
-        self.p, self.m = p, m
-        self.log_noise = log_noise.astype(np.float32)
-        self.cdf = np.cumsum(np.exp(log_noise))
-        self.rng = np.random.default_rng((m.seed, salt))
-        self.square = [np.full_like(x, 1e-2) for x in (p.r, p.t, p.b, p.c)]
+    """Noise-contrastive Adagrad steps; noise classes are shared by a batch."""
+
+    def __init__(self, p: Params, words: Vocabulary, m: LogBilinear, salt: tuple[int, ...]):
+        self.p, self.m, self.words = p, m, words
+        self.log_noise = words.log_noise.astype(np.float32)
+        self.cdf = np.cumsum(np.exp(words.log_noise))
+        sizes = words.sizes()
+        self.first, self.size = np.cumsum(sizes) - sizes - words.own, sizes
+        self.rng = np.random.default_rng((m.seed, *salt))
+        self.square = [np.full_like(x, 1e-2) for x in (*p.common(), p.u, p.v)]
+        self.seen = np.zeros(len(p.v), np.int64)
         self.tokens = 0
 
-    def _scatter(self, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        d = values.shape[1]
-        flat = (rows[:, None] * d + np.arange(d)).ravel()
-        return np.bincount(flat, values.ravel(), n * d).reshape(n, d).astype(np.float32)
-
-    def learn(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
+    def learn(self, found: np.ndarray, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
         p, n, k = self.p, len(self.p.b), self.m.noise
         drawn = np.minimum(np.searchsorted(self.cdf, self.rng.random(k) * self.cdf[-1]), n - 1)
         r1, r2 = p.r[w1], p.r[w2]
@@ -175,54 +220,135 @@ class Trainer:
         g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
         g_false = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
         g_q = g_true[:, None] * p.t[w] + g_false @ p.t[drawn]
-        g_t = self._scatter(w, g_true[:, None] * q, n)
+        g_t = _scatter(w, g_true[:, None] * q, n)
         np.add.at(g_t, drawn, g_false.T @ q)
         g_b = np.bincount(w, g_true, n).astype(np.float32)
         np.add.at(g_b, drawn, g_false.sum(0))
-        g_r = self._scatter(np.concatenate((w1, w2)), np.concatenate((g_q * p.c[0], g_q * p.c[1])), n)
+        g_r = _scatter(np.concatenate((w1, w2)), np.concatenate((g_q * p.c[0], g_q * p.c[1])), n)
         g_c = np.stack(((g_q * r1).sum(0), (g_q * r2).sum(0)))
-        for x, g, s in zip((p.r, p.t, p.b, p.c), (g_r, g_t, g_b, g_c), self.square, strict=True):
+        for x, g, s in zip((p.r, p.t, p.b, p.c), (g_r, g_t, g_b, g_c), self.square, strict=False):
             s += g * g
             x -= self.m.step * g / np.sqrt(s)
         self.tokens += len(w)
-
-
-def to_classes(found: np.ndarray, n: int) -> np.ndarray:
-    """Word index to class; the last class is that of all other words."""
-    return np.where((found < 0) | (found >= n - 1), n - 1, found)
-
-
-def train(docs: DataFrame, lookup, start: Params, log_noise: np.ndarray, m: LogBilinear) -> Params:
-    """Parameters fitted over all of ``docs``, averaged over its partitions."""
-    lookup, start = (docs.sparkSession.sparkContext.broadcast(x) for x in (lookup, start))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = start.value
-        own = Trainer(Params(*(x.copy() for x in (first.r, first.t, first.b, first.c))), log_noise, m, TaskContext.get().partitionId())
+        inside = found >= self.words.own
+        if inside.any():
+            self._within(found[inside] - self.words.own, w[inside], w1[inside])
+
+    def _within(self, word: np.ndarray, of: np.ndarray, before: np.ndarray) -> None:
+        """Steps of words among those of their class; noise words are drawn evenly."""
+        p, k = self.p, self.m.tail_noise
+        size = self.size[of][:, None]
+        noise = self.first[of][:, None] + (self.rng.random((len(word), k)) * size).astype(np.int64)
+        every = np.concatenate((word[:, None], noise), 1)
+        q, u = p.q[before], p.u[every]
+        z = np.einsum("nd,nkd->nk", q, u) + p.v[every] + np.log(size / k).astype(np.float32)
+        g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g[:, 0] -= 1
+        rows, at = np.unique(every, return_inverse=True)
+        g_u = _scatter(at.ravel(), (g[:, :, None] * q[:, None]).reshape(-1, q.shape[1]), len(rows))
+        g_v = np.bincount(at.ravel(), g.ravel(), len(rows)).astype(np.float32)
+        g_q = _scatter(before, np.einsum("nk,nkd->nd", g, u), len(p.q))
+        self.square[4] += g_q * g_q
+        p.q -= self.m.step * g_q / np.sqrt(self.square[4])
+        for x, gx, s in ((p.u, g_u, self.square[5]), (p.v, g_v, self.square[6])):
+            s[rows] += gx * gx
+            x[rows] -= self.m.step * gx / np.sqrt(s[rows])
+        np.add.at(self.seen, word, 1)
+
+
+PIECES = "round int, shard int, key bigint, part int, words binary"
+SUMS = "n bigint, common binary, at binary, seen binary, moved binary"
+
+
+def _pieces(docs: DataFrame, lookup, shards: int, m: LogBilinear) -> DataFrame:
+    """Texts as word indices, cut at ``piece`` words, with their round and shard."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, found, *_ in encoded(batch.column(0), lookup.value):
-                w = to_classes(found, len(log_noise))
+            keys = batch.column(0).to_numpy()
+            for first, found, *_ in encoded(batch.column(1), lookup.value):
+                ends = np.flatnonzero(found == 0) + 1
+                rows: list[tuple] = []
+                for i, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+                    key = int(keys[first + i])
+                    for part, at in enumerate(range(a, b, m.piece)):
+                        spot = (key * 0x9E3779B97F4A7C15 + part * 0xBF58476D1CE4E5B9) % 2**64 >> 20
+                        rows.append((spot % m.rounds, spot // m.rounds % shards, key, part, found[at : min(at + m.piece, b)].astype(np.int32).tobytes()))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["round", "shard", "key", "part", "words"])
+
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(cut, PIECES)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of shards' parameters as one row, weighted by tokens and by each word's count."""
+    total, common, seen, moved = 0, None, None, None
+    for batch in batches:
+        for n, c, at, k, x in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            c, at, k = np.frombuffer(c, np.float64), np.frombuffer(at, np.int64), np.frombuffer(k, np.int64)
+            x = np.frombuffer(x, np.float32).reshape(len(at), -1)
+            if common is None:
+                common, seen, moved = np.zeros_like(c), np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
+            if len(at) and at[-1] >= len(seen):
+                more = int(at[-1]) + 1 - len(seen)
+                seen, moved = np.append(seen, np.zeros(more, np.int64)), np.vstack((moved, np.zeros((more, x.shape[1]))))
+            total, common = total + n, common + c
+            seen[at] += k
+            moved[at] += x * k[:, None]
+    if total:
+        at = np.flatnonzero(seen)
+        mean = (moved[at] / seen[at][:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (common, at, seen[at], mean))], names=["n", "common", "at", "seen", "moved"])
+
+
+def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.Table]:
+    """What one shard of a round does: steps over its texts from the last parameters."""
+
+    def fit(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("part").to_numpy(), group.column("key").to_numpy()))
+        texts = group.column("words").take(pa.array(order))
+        own = Trainer(last.value.copy(), words.value, m, (turn, group.column("shard")[0].as_py()))
+        size, held = 0, []
+        for i, text in enumerate(texts):
+            held.append(np.frombuffer(text.as_buffer(), np.int32))
+            size += len(held[-1])
+            if size >= 16 * m.batch or i == len(texts) - 1:
+                found = np.concatenate(held)
+                w = words.value.table[found]
                 w1, w2 = context(w)
                 for at in range(0, len(w), m.batch):
-                    own.learn(*(x[at : at + m.batch] for x in (w, w1, w2)))
-        if own.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([own.tokens], pa.int64()), pa.array([own.p.pack()], pa.binary())], names=["n", "params"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mean = 0, None
-        for batch in batches:
-            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(packed.as_buffer(), np.float32).astype(np.float64)
-                mean = x if mean is None else mean + (x - mean) * (n / (total + n))
-                total += n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["n", "params"])
-
-    rows = docs.select("text").mapInArrow(fit, "n bigint, params binary").repartition(m.fan_in).mapInArrow(average, "n bigint, params binary").collect()
-    if not rows:
-        return start.value
-    total = sum(r["n"] for r in rows)
-    return start.value.unpack(sum(np.frombuffer(r["params"], np.float32).astype(np.float64) * (r["n"] / total) for r in rows))
+                    own.learn(*(x[at : at + m.batch] for x in (found, w, w1, w2)))
+                size, held = 0, []
+        at = np.flatnonzero(own.seen)
+        moved = np.hstack((own.p.u[at], own.p.v[at][:, None]))
+        common = np.concatenate([x.ravel() for x in own.p.common()]).astype(np.float64) * own.tokens
+        return pa.table({"n": pa.array([own.tokens], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("common", common), ("at", at), ("seen", own.seen[at]), ("moved", moved))}})
+
+    return fit
+
+
+def train(docs: DataFrame, lookup, start: Params, words: Vocabulary, n_tokens: int, m: LogBilinear) -> Params:
+    """Parameters fitted over all of ``docs``."""
+    shards = max(1, -(-n_tokens // (m.rounds * m.shard_tokens)))
+    pieces = _pieces(docs, lookup, shards, m)
+    words, now = docs.sparkSession.sparkContext.broadcast(words), start
+    for turn in range(m.rounds):
+        last = docs.sparkSession.sparkContext.broadcast(now)
+
+        each = pieces.where(F.col("round") == turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
+        # a tree of two levels: what the last task reads depends on fan_in alone
+        rows = each.repartition(m.fan_in).mapInArrow(_averaged, SUMS).repartition(1).mapInArrow(_averaged, SUMS).collect()
+        if rows:
+            now = now.copy()
+            flat, spot = np.frombuffer(rows[0]["common"], np.float64) / rows[0]["n"], 0
+            for x in now.common():
+                x[...] = flat[spot : spot + x.size].reshape(x.shape)
+                spot += x.size
+            at = np.frombuffer(rows[0]["at"], np.int64)
+            moved = np.frombuffer(rows[0]["moved"], np.float32).reshape(len(at), -1)
+            if len(at):
+                now.u[at], now.v[at] = moved[:, :-1], moved[:, -1]
+    return now
 
 
 @dataclass
@@ -233,9 +359,13 @@ class Scorer:
     two: np.ndarray
     b: np.ndarray
     norm: np.ndarray
+    q: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    within: np.ndarray
 
     @staticmethod
-    def of(p: Params) -> Scorer:
+    def of(p: Params, sizes: np.ndarray | None = None) -> Scorer:
         one, two = (np.ascontiguousarray((p.r * c) @ p.t.T) for c in p.c)
         norm = np.empty((len(p.b), len(p.b)), np.float32)
         shift = two.max(1)
@@ -244,52 +374,91 @@ class Scorer:
             e1 = one[w1 : w1 + 64] + p.b
             top = e1.max(1)
             norm[w1 : w1 + 64] = np.log(np.exp(e1 - top[:, None]) @ e2.T) + top[:, None] + shift
-        return Scorer(one, two, p.b, norm)
+        return Scorer(one, two, p.b, norm, p.q, p.u, p.v, within_norms(p, sizes))
 
     def log_prob(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of each class in its context."""
         return (self.one[w1, w] + self.two[w2, w] + self.b[w] - self.norm[w1, w2]).astype(np.float64)
 
 
-SCORED = "doc_id bigint, row string, n_tokens bigint, head_known bigint, head_base double, class_log double, n_rest bigint, head_rest double, rest array<struct<word:string,n:bigint>>"
+    def log_within(self, word: np.ndarray, of: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probability of words of shared classes among those."""
+        row = of - (len(self.b) - 1 - len(self.within))
+        return ((self.u[word] * self.q[before]).sum(1) + self.v[word] - self.within[row, before]).astype(np.float64)
+
+
+def within_norms(p: Params, sizes: np.ndarray | None) -> np.ndarray:
+    """For each shared class and each class before it, the logarithm of its words' sum.
+
+    ``sizes`` are those of the shared classes, whose words follow one another.
+    """
+    ends = np.cumsum(sizes) if sizes is not None else []
+    out = np.empty((len(ends), len(p.b)), np.float32)
+    for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True) if len(ends) else []):
+        z = p.u[a:b] @ p.q.T + p.v[a:b, None]
+        top = z.max(0)
+        out[i] = np.log(np.exp(z - top).sum(0)) + top
+    return out
+
 
+SCORED = "doc_id bigint, row string, n_tokens bigint, head_known bigint, head_base double, class_log double, n_rest bigint, rest array<struct<word:string,n:bigint>>"
 
-def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, scorer: Scorer, m: LogBilinear) -> DataFrame:
+
+def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, scorer: Scorer, words: Vocabulary) -> DataFrame:
     """Per row: what the listed words add up to, and all other words."""
-    lookup, log_c, scorer = (docs.sparkSession.sparkContext.broadcast(x) for x in (lookup, log_c, scorer))
+    log_c, scorer, words = (docs.sparkSession.sparkContext.broadcast(x) for x in (log_c, scorer, words))
     kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, n_classes = TaskContext.get().partitionId(), 0, len(scorer.value.b)
+        task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for _, found, data, start, end in encoded(batch.column(1), lookup.value):
-                w = to_classes(found, n_classes)
+                w = words.value.table[found]
                 w1, w2 = context(w)
                 logs = scorer.value.log_prob(w, w1, w2)
+                inside = np.flatnonzero(found >= words.value.own)
+                logs[inside] += scorer.value.log_within(found[inside] - words.value.own, w[inside], w1[inside])
                 known = found >= 0
                 base = np.where(known, log_c.value[found], 0.0)
-                rest = w == n_classes - 1
                 edges = np.concatenate(([0], np.flatnonzero(found == 0) + 1))
                 # each text ends with its end token, so no segment is empty
-                sums = [np.add.reduceat(x, edges[:-1]) for x in (known.astype(np.int64), base, logs, rest.astype(np.int64), np.where(rest, base, 0.0))]
+                sums = [np.add.reduceat(x, edges[:-1]) for x in (known.astype(np.int64), base, logs, (~known).astype(np.int64))]
                 text = data.tobytes()
                 gone = np.flatnonzero(~known)
                 cut = np.searchsorted(gone, edges)
                 for i in range(len(edges) - 1):
                     bag = Counter(text[start[j] : end[j]] for j in gone[cut[i] : cut[i + 1]])
-                    cols[6].append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
+                    cols[5].append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
                 cols[0] += np.diff(edges).tolist()
-                for c, x in zip(cols[1:6], sums, strict=True):
+                for c, x in zip(cols[1:5], sums, strict=True):
                     c += x.tolist()
             rows = [f"{task}-{seen + i}" for i in range(batch.num_rows)]
             seen += batch.num_rows
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), kind)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return docs.mapInArrow(run, SCORED)
 
 
+def listed(counts: DataFrame, most: int) -> list:
+    """The words ``(word, c)`` over the least count that at most ``most`` words reach.
+
+    Counts are binned by their logarithm, a few hundred bins in all.
+    """
+    binned = counts.withColumn("bin", F.floor(F.log2("c") * 16))
+    sizes = sorted(((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect()), reverse=True)
+    total, least = 0, None
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(binned.where(F.col("bin") >= least).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
+
+
 def lm_scores(docs: DataFrame, m: LogBilinear = LogBilinear()) -> DataFrame:
     """Base and model log10 probabilities of each row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
@@ -298,17 +467,16 @@ def lm_scores(docs: DataFrame, m: LogBilinear = LogBilinear()) -> DataFrame:
     counts = token_counts(training, scratch)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     ends = counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(m.head).collect()
-    lookup = Lookup([r["word"] for r in top])
+    top = listed(counts.where(F.col("word") != END), m.head)
     c = np.array([ends] + [r["c"] for r in top], np.float64)
-    own = min(m.classes - 1, len(c))
-    rest_n, rest_v = n - c[:own].sum(), v - (own if ends else own - 1)
-    weight = np.append(c[:own], rest_n) + m.smooth
-    log_noise = np.log(weight / weight.sum())
-    start = Params.start(log_noise, m)
-    fitted = train(training, lookup, start, log_noise, m) if n else start
+    rest_n, rest_v = n - c.sum(), v - (len(c) if ends else len(c) - 1)
+    vocabulary = Vocabulary.of(c, rest_n, m)
+    lookup = docs.sparkSession.sparkContext.broadcast(Lookup([r["word"] for r in top]))
+    start = Params.start(vocabulary.log_noise, m, vocabulary.tail_log)
+    fitted = train(training, lookup, start, vocabulary, n, m) if n else start
     log_c = np.log10(c + m.smooth)
-    scored = scratch.keep(score_heads(docs, lookup, log_c, Scorer.of(fitted), m), "scored")
+    scorer = Scorer.of(fitted, vocabulary.sizes()[vocabulary.own : -1])
+    scored = scratch.keep(score_heads(docs, lookup, log_c, scorer, vocabulary), "scored")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     seen = rest.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rest_known"), F.sum(F.col("n") * (F.log10(F.col("c") + m.smooth) - F.log10(F.lit(m.smooth)))).alias("more"))
     unlisted = F.aggregate("rest", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
@@ -322,5 +490,5 @@ def lm_scores(docs: DataFrame, m: LogBilinear = LogBilinear()) -> DataFrame:
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
         (F.col("head_base") + rest_log - F.col("n_tokens") * all_log).alias("base_score"),
-        (F.col("class_log") / float(np.log(10)) + F.col("head_rest") + rest_log - F.col("n_rest") * rest_all).alias("score"),
+        (F.col("class_log") / float(np.log(10)) + rest_log - F.col("n_rest") * rest_all).alias("score"),
     )

@@ -71,15 +71,42 @@ def test_language_model_base_against_brute_force(spark, docs_of):
     assert lblm.lm_scores(docs_of([])).count() == 0
 
 
-def test_model_beats_the_base_and_is_normalised(spark):
+def test_model_beats_the_base_whatever_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = lblm.LogBilinear(shard_tokens=40_000, head=3000, classes=256)
+    got = []
+    for n in (2, 16):
+        rows = lblm.lm_scores(docs.repartition(n), m).collect()
+        got.append({r.doc_id: r.score for r in rows})
+        held_rows = [r for r in rows if r.held_out]
+        assert sum(r.score for r in held_rows) > sum(r.base_score for r in held_rows)
+    assert max(abs(got[0][i] - got[1][i]) / max(1, abs(got[0][i])) for i in got[0]) < 1e-3
+
+
+def test_scores_are_normalised():
     import numpy as np
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = lblm.lm_scores(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert out.s > out.b
     rng = np.random.default_rng(0)
-    p = lblm.Params.start(np.log(rng.dirichlet(np.ones(30))), lblm.LogBilinear(dim=4))
-    s = lblm.Scorer.of(p)
-    for w1, w2 in ((0, 0), (3, 7), (29, 1)):
-        w = np.arange(30)
-        assert abs(np.exp(s.log_prob(w, np.full(30, w1), np.full(30, w2))).sum() - 1) < 1e-4
+    m = lblm.LogBilinear(dim=4, tail=10, classes=8)
+    words = lblm.Vocabulary.of(np.sort(rng.integers(1, 99, 40))[::-1].astype(float), 25.0, m)
+    p = lblm.Params.start(words.log_noise, m, words.tail_log)
+    own = lblm.Trainer(p, words, m, (1,))
+    found = rng.integers(-1, 40, 5000)
+    w = words.table[found]
+    own.learn(found, w, *lblm.context(w))
+    s = lblm.Scorer.of(p, words.sizes()[words.own : -1])
+    for w1, w2 in ((0, 0), (3, 7), (9, 1)):
+        n = len(p.b)
+        before = np.full(n, w1)
+        logs = s.log_prob(np.arange(n), before, np.full(n, w2))
+        assert abs(np.exp(logs).sum() - 1) < 1e-4
+        tail = np.arange(len(p.v))
+        of = words.table[words.own : -1]
+        each = np.bincount(of, np.exp(s.log_within(tail, of, np.full(len(of), w1))))
+        assert np.allclose(each[words.own : -1] if len(each) == n else each[words.own :], 1, atol=1e-4)
+
+
+def test_listed_words_are_bounded(spark):
+    table = spark.createDataFrame([(f"w{i}", 1 + (i % 7) ** 3) for i in range(700)], "word string, c bigint")
+    got = lblm.listed(table, 250)
+    assert len(got) == 200 and {r["c"] for r in got} == {126, 217} and lblm.listed(table.where("c = 1"), 50) == []
