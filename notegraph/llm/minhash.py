@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from notegraph.llm.components import components
 from notegraph.llm.scratch import Scratch
 from notegraph.llm.shingles import block_sets, block_shingles, block_words, document_words, mix, shingle_set
+from notegraph.llm.text import free_name
 
 
 @dataclass(frozen=True)
@@ -269,18 +270,18 @@ def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     document only if their texts agree too; rows without words or without an
     id are linked with nothing and stay.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, own = Scratch(docs.sparkSession), free_name(docs, "key")
     # ids that two texts share would make one node of them
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), 1)
     named = docs.where("doc_id is not null")
-    found = near_duplicates(named.select(key.alias("doc_id"), "text"), p).where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    found = near_duplicates(named.select(key.alias("doc_id"), "text"), p).where("n_shingles > 0").select(F.col("doc_id").alias(own), "component_id").distinct()
     many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = scratch.keep(found.join(many, "component_id").join(named.select(key.alias("__key"), "doc_id").distinct(), "__key"), "members")
-    firsts = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
-    gone = scratch.keep(members.join(firsts, "component_id").where(F.col("__key") != F.col("first.__key")).select("__key"), "gone")
+    members = scratch.keep(found.join(many, "component_id").join(named.select(key.alias(own), "doc_id").distinct(), own), "members")
+    firsts = members.groupBy("component_id").agg(F.min(F.struct("doc_id", own)).alias("first"))
+    gone = scratch.keep(members.join(firsts, "component_id").where(F.col(own) != F.col("first")[own]).select(own), "gone")
     if gone.count() <= p.max_broadcast_ids:
         gone = F.broadcast(gone)
-    left = docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
+    left = docs.withColumn(own, key).join(gone, own, "left_anti").select(*docs.columns)
     twice = scratch.keep(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left

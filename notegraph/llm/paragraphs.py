@@ -7,10 +7,11 @@ and components of verified links decide what goes: of each component the
 paragraph of the smallest document (then the earliest) stays.
 
 A passage is a run of at least ``min_words`` words that stands in two places,
-wherever lines begin and end.  Of each window of ``min_words`` words the
-least hash of the pieces inside it is its mark; equal windows have equal
-marks, so only windows whose mark occurs twice are compared, by their own
-hashes of 95 bits.  Each repeated window is a copy of its first place;
+wherever lines begin and end: its paragraphs are the overlapping windows of
+``min_words`` words that cover the whole text.  Their MinHash is one band of
+one value, the least hash of the pieces of half their words inside them
+(equal windows always share it), so only windows whose band collides are
+compared, by their own hashes of 95 bits.  Each repeated window is a copy of its first place;
 neighbouring copies of one place join to whole runs.
 
 Equal paragraphs are one node before anything is paired, and equal texts one
@@ -19,7 +20,9 @@ share costs one node, not its square; windows are grouped, never paired.
 
 Defined results: null or empty texts and lines of fewer words are no
 paragraphs; repeats inside one document count too; rows that repeat a
-document repeat its paragraphs; a null ``doc_id`` comes after all others.
+document repeat its paragraphs; a null ``doc_id`` comes after all others;
+other columns pass through, whatever their names; an empty table gives an
+empty one.
 Words are compared with A-Z lower-cased; blanks between them don't matter.
 """
 
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from notegraph.llm.minhash import MinMax, near_duplicates
 from notegraph.llm.scratch import Scratch
 from notegraph.llm.shingles import document_words, rolling_hashes, sliding
+from notegraph.llm.text import free_name
 
 #: 16 bands of 4 values: a link at 0.8 shares a band with probability 0.9998.
 BANDS = MinMax(words=5, percent=80, permutations=32, rows=4)
@@ -266,19 +270,18 @@ def remove_repeats(docs: DataFrame, p: MinMax = BANDS, min_words: int = MIN_WORD
     stays in all.
     """
     found = repeated_paragraphs(docs, p, min_words).groupBy("row_key", "place", "start", "end").agg(F.max("kept").alias("kept")).where("not kept")
-    gone = found.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("__gone"))
-    joined = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(gone.withColumnRenamed("row_key", "__key"), "__key", "left").drop("__key")
-
-    columns = docs.columns
+    key, spans_of, columns = free_name(docs, "key"), free_name(docs, "gone"), docs.columns
+    gone = found.groupBy(F.col("row_key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans_of))
+    joined = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(gone, key, "left").drop(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("__gone").to_pylist()
+            spans = batch.column(spans_of).to_pylist()
             texts = [t if g is None else _without(t, [(x["start"], x["end"]) for x in g]) for t, g in zip(batch.column("text").to_pylist(), spans, strict=True)]
             kept = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, batch.schema.field("text").type)}
             yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
 
-    return joined.select(*columns, "__gone").mapInArrow(cut, docs.schema)
+    return joined.select(*columns, spans_of).mapInArrow(cut, docs.schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
