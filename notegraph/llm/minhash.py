@@ -52,7 +52,7 @@ class MinMax:
     permutations: int = 63
     rows: int = 6
     seed: int = 7
-    max_broadcast_ids: int = 1_000_000
+    max_broadcast_ids: int = 100_000
     block_nodes: int = 128
     block_items: int = 50_000
 
@@ -259,8 +259,8 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax(), scratch: Scratch | No
 
 
 def _small(table: DataFrame, p: MinMax) -> DataFrame:
-    """The written table, broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= p.max_broadcast_ids else table
+    """The written table, to be broadcast if it has few rows and to be shuffled if not."""
+    return F.broadcast(table) if table.count() <= p.max_broadcast_ids else table.hint("merge")
 
 
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:

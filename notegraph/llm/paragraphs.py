@@ -43,7 +43,7 @@ from notegraph.llm.shingles import document_words, rolling_hashes, sliding
 from notegraph.llm.text import free_name
 
 #: 16 bands of 4 values: a link at 0.8 shares a band with probability 0.9998.
-BANDS = MinMax(words=5, percent=80, permutations=32, rows=4)
+BANDS = MinMax(words=5, percent=80, permutations=32, rows=4, max_broadcast_ids=1_000_000)
 MIN_WORDS = 50
 #: Tables of marks and of texts up to this many rows are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
