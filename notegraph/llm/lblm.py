@@ -59,7 +59,7 @@ class LogBilinear:
     tail: int = 512
     tail_dim: int = 8
     tail_noise: int = 2
-    batch: int = 4096
+    batch: int = 8192
     step: float = 0.1
     rounds: int = 2
     shard_tokens: int = 2_000_000
@@ -285,7 +285,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, common, seen, moved = 0, None, None, None
     for batch in batches:
         for n, c, at, k, x in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            c, at, k = np.frombuffer(c, np.float64), np.frombuffer(at, np.int64), np.frombuffer(k, np.int64)
+            c, at, k = np.frombuffer(c, np.float64), np.frombuffer(at, np.int32), np.frombuffer(k, np.int32).astype(np.int64)
             x = np.frombuffer(x, np.float32).reshape(len(at), -1)
             if common is None:
                 common, seen, moved = np.zeros_like(c), np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
@@ -298,7 +298,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if total:
         at = np.flatnonzero(seen)
         mean = (moved[at] / seen[at][:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (common, at, seen[at], mean))], names=["n", "common", "at", "seen", "moved"])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (common, at.astype(np.int32), np.minimum(seen[at], 2**31 - 1).astype(np.int32), mean))], names=["n", "common", "at", "seen", "moved"])
 
 
 def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.Table]:
@@ -322,7 +322,7 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
         at = np.flatnonzero(own.seen)
         moved = np.hstack((own.p.u[at], own.p.v[at][:, None]))
         common = np.concatenate([x.ravel() for x in own.p.common()]).astype(np.float64) * own.tokens
-        return pa.table({"n": pa.array([own.tokens], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("common", common), ("at", at), ("seen", own.seen[at]), ("moved", moved))}})
+        return pa.table({"n": pa.array([own.tokens], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("common", common), ("at", at.astype(np.int32)), ("seen", own.seen[at].astype(np.int32)), ("moved", moved))}})
 
     return fit
 
@@ -336,15 +336,17 @@ def train(docs: DataFrame, lookup, start: Params, words: Vocabulary, n_tokens: i
         last = docs.sparkSession.sparkContext.broadcast(now)
 
         each = pieces.where(F.col("round") == turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
-        # a tree of two levels: what the last task reads depends on fan_in alone
-        rows = each.repartition(m.fan_in).mapInArrow(_averaged, SUMS).repartition(1).mapInArrow(_averaged, SUMS).collect()
+        # a tree: no task reads more than its part of the shards, the last one fan_in rows
+        if shards > m.fan_in:
+            each = each.repartition(m.fan_in).mapInArrow(_averaged, SUMS)
+        rows = each.repartition(1).mapInArrow(_averaged, SUMS).collect()
         if rows:
             now = now.copy()
             flat, spot = np.frombuffer(rows[0]["common"], np.float64) / rows[0]["n"], 0
             for x in now.common():
                 x[...] = flat[spot : spot + x.size].reshape(x.shape)
                 spot += x.size
-            at = np.frombuffer(rows[0]["at"], np.int64)
+            at = np.frombuffer(rows[0]["at"], np.int32)
             moved = np.frombuffer(rows[0]["moved"], np.float32).reshape(len(at), -1)
             if len(at):
                 now.u[at], now.v[at] = moved[:, :-1], moved[:, -1]
