@@ -2,8 +2,8 @@
 
 Each task first replaces the edges of every block it reads by the star
 forest that spans them, which leaves few rounds for the shuffles.  A round
-is two grouped minima, each joined back on the same key; no group is
-gathered, and no edge reaches the driver.  Lineage is cut by writing the
+is two grouped minima, each joined back on the same key by a sort merge;
+no group is gathered, and no edge reaches the driver.  Lineage is cut by writing the
 edges of each round.
 """
 
@@ -62,13 +62,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u").toDF("u", "v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 

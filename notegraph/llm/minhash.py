@@ -143,13 +143,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
     a, b = (sets.select(F.col("id").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint")
+    return pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return buckets.withColumn("component", F.col("id"))
-    return buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return buckets.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def _paired(left: DataFrame, buckets: DataFrame, p: MinMax) -> DataFrame:
@@ -158,7 +158,7 @@ def _paired(left: DataFrame, buckets: DataFrame, p: MinMax) -> DataFrame:
     Sets whose sizes alone rule a link out are not paired.
     """
     near = (F.least("m", "n") * 100 >= F.greatest("m", "n") * p.percent) & (F.col("u") != F.col("id")) & (F.col("c") != F.col("component"))
-    return left.join(buckets, "key").where(near).select("key", "u", F.col("id").alias("v"))
+    return left.join(buckets.hint("merge"), "key").where(near).select("key", "u", F.col("id").alias("v"))
 
 
 def _star(buckets: DataFrame, p: MinMax) -> DataFrame:
@@ -177,14 +177,14 @@ def _settle(buckets: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
     """
     h = F.max(F.struct("degree", "id", "component")).alias("h")
     mixed = buckets.groupBy("key").agg(h, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    nodes = buckets.join(mixed.select("key", "h"), "key").select(F.col("h.id").alias("hub"), (F.col("component") != F.col("h.component")).alias("apart"), "id", "n", "component").distinct()
+    nodes = buckets.join(mixed.select("key", "h").hint("merge"), "key").select(F.col("h.id").alias("hub"), (F.col("component") != F.col("h.component")).alias("apart"), "id", "n", "component").distinct()
     n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / p.block_nodes, F.sum("n") / p.block_items)).cast("int")
     counts = nodes.groupBy("hub", "apart").agg(n_blocks.alias("blocks"))
-    placed = nodes.join(counts, ["hub", "apart"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    blocks = placed.join(sets, "id").groupBy("hub", "apart", "block").agg(F.collect_list(F.struct("id", "component", "items")).alias("nodes"))
+    placed = nodes.join(counts.hint("merge"), ["hub", "apart"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    blocks = placed.join(sets.hint("merge"), "id").groupBy("hub", "apart", "block").agg(F.collect_list(F.struct("id", "component", "items")).alias("nodes"))
     own = counts.where("apart").select("hub", F.col("blocks").alias("a"))
     rest = counts.where("not apart").select("hub", F.col("blocks").alias("b"))
-    tasks = own.join(rest, "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "a", F.coalesce("b", F.lit(0)).alias("b"))
+    tasks = own.join(rest.hint("merge"), "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "a", F.coalesce("b", F.lit(0)).alias("b"))
     among = tasks.select("hub", "i", F.lit(True).alias("apart"), F.explode(F.sequence(F.col("i"), F.col("a") - 1)).alias("block"))
     across = tasks.where("b > 0").select("hub", "i", F.lit(False).alias("apart"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
     left = blocks.where("apart").select("hub", F.col("block").alias("i"), F.col("nodes").alias("mine"))
@@ -207,7 +207,7 @@ def _settle(buckets: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
                     vs += other_ids[linked].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return among.union(across).join(left, ["hub", "i"]).join(blocks, ["hub", "apart", "block"]).select("mine", F.col("nodes").alias("theirs")).mapInArrow(compare, "u bigint, v bigint")
+    return among.union(across).join(left.hint("merge"), ["hub", "i"]).join(blocks.hint("merge"), ["hub", "apart", "block"]).select("mine", F.col("nodes").alias("theirs")).mapInArrow(compare, "u bigint, v bigint")
 
 
 def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax(), scratch: Scratch | No
     sets = scratch.keep(shingle_sets(texts.join(wanted, "id", "left_semi"), p), "sets")
     labels = link_nodes(buckets, sets, p, scratch)
     # only rows whose component isn't their own id are looked up
-    many = nodes.where("n_rows > 1") if labels is None else nodes.join(labels, "id", "left").where("n_rows > 1 or component <> id")
+    many = nodes.where("n_rows > 1") if labels is None else nodes.join(labels.hint("merge"), "id", "left").where("n_rows > 1 or component <> id")
     classes = many.select("print", F.col("id").alias("component_id") if labels is None else F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "print").join(_small(scratch.keep(classes, "classes"), p), "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -276,9 +276,9 @@ def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     named = docs.where("doc_id is not null")
     found = near_duplicates(named.select(key.alias("doc_id"), "text"), p).where("n_shingles > 0").select(F.col("doc_id").alias(own), "component_id").distinct()
     many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = scratch.keep(found.join(many, "component_id").join(named.select(key.alias(own), "doc_id").distinct(), own), "members")
+    members = scratch.keep(found.join(many.hint("merge"), "component_id").join(named.select(key.alias(own), "doc_id").distinct().hint("merge"), own), "members")
     firsts = members.groupBy("component_id").agg(F.min(F.struct("doc_id", own)).alias("first"))
-    gone = scratch.keep(members.join(firsts, "component_id").where(F.col(own) != F.col("first")[own]).select(own), "gone")
+    gone = scratch.keep(members.join(firsts.hint("merge"), "component_id").where(F.col(own) != F.col("first")[own]).select(own), "gone")
     if gone.count() <= p.max_broadcast_ids:
         gone = F.broadcast(gone)
     left = docs.withColumn(own, key).join(gone, own, "left_anti").select(*docs.columns)
