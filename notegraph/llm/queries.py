@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, oracles, paragraphs, pii, quality_rules, secrets, toxicity
+from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, oracles, paragraphs, pii, quality_rules, secrets, tokenbits, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lblm.lm_scores(_read(spark, sf_dir, "documents"))
 
 
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbits.digest(_read(spark, sf_dir, "documents"), tokenbits.Spec(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_max_dedup": op8_min_max_dedup,
     "op9_line_rules": op9_line_rules,
     "op10_log_bilinear": op10_log_bilinear,
+    "op11_huffman_ids": op11_huffman_ids,
 }
 ORACLES: dict[str, str] = {"op8_min_max_dedup": oracles.NEAR_DUPLICATES, "op9_line_rules": oracles.LINE_RULES}

@@ -7,9 +7,12 @@ setting is absent and the master is local is a local folder created.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +59,14 @@ class Scratch:
     def _delete(self, folder: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a file below the shared folder, for tasks.
+
+    A path without a scheme is local; folders of a local file are made.
+    """
+    store, path = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri).replace("s3a://", "s3://", 1), safe=":/"))
+    if isinstance(store, fs.LocalFileSystem):
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store, path
