@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, oracles, paragraphs, pii, quality_rules, secrets, tokenbits, toxicity
+from notegraph.llm import bytecnn, decontaminate, lblm, minhash, mixing, oracles, paragraphs, pii, prefixes, quality_rules, runs, secrets, tokenbits, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.digest(_read(spark, sf_dir, "documents"), tokenbits.Spec(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.digest(_read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9_line_rules,
     "op10_log_bilinear": op10_log_bilinear,
     "op11_huffman_ids": op11_huffman_ids,
+    "op12_word_runs": op12_word_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op8_min_max_dedup": oracles.NEAR_DUPLICATES, "op9_line_rules": oracles.LINE_RULES}
+ORACLES: dict[str, str] = {"op8_min_max_dedup": oracles.NEAR_DUPLICATES, "op9_line_rules": oracles.LINE_RULES, "op12_word_runs": oracles.WORD_RUNS, "op13_prefix_trie": oracles.PREFIX_TRIE}
