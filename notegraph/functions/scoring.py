@@ -15,9 +15,13 @@ SECTION_PRIORITY = {"快速把握": 0, "主线解释": 1, "先把这三个东西
 EDGE_WEIGHTS = {"supports": 4, "depends_on": 4, "contradicts": 4, "part_of": 4, "summary_claim_ref": 4, "conflict_ref": 4, "claim_ref": 3, "see_also": 3, "wikilink": 2, "source_ref": 2}
 
 
+#: Characters at which a query's tokens end.
+SEPARATOR = r"[\s/,_\-]"
+
+
 def tokens(query: Column) -> Column:
     """Lower-cased tokens of a query without stop words, repeats kept."""
-    return F.filter(F.split(F.lower(query), r"(?U)[\s/,_\-]+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    return F.filter(F.split(F.lower(query), f"(?U){SEPARATOR}+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
 def stacks(title: Column, path: Column, aliases: Column, tags: Column) -> Column:

@@ -1,13 +1,18 @@
 """Ranked lookup: route, prune by cluster, score sections, relate.
 
-Works for a table of queries at once: the stated query set
-``queries(query_id, query)`` travels in blocks of at most ``MAX_QUERIES``
-rows, each of which meets every note as one array column, and only rows with
-a score leave the projection.
+A lookup reads an index, not the notes.  ``Index`` splits every normal form
+and text of what can be hit (a unit) into words, and keeps which units hold a
+word (postings) and which words hold a run of up to three characters (grams).
+A term of a query stands inside a text only if its longest part without
+separators stands inside one of the text's words, and so only if that word
+has the part's rarest gram.  Two joins by equality thus give all units that
+can score, for any number of queries, and only these are scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,6 @@ from notegraph.functions import parsing as P
 from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
 
-MAX_QUERIES = 10_000
 #: Sections of a claim that its lookup text holds, the section
 #: that is no search unit, and the names of the whole-body units.
 CLAIM_SECTIONS = ("当前证据如何支撑", "适用边界", "可能冲突或待验证")
@@ -23,21 +27,6 @@ SKIPPED, CALLOUT, BODY = "用户提问与复盘", "快速把握", "正文预览"
 CONFLICTS = ("conflict_ref", "contradicts")
 
 
-def _asked(table: DataFrame, queries: DataFrame, score) -> DataFrame:
-    """``table`` with ``query_id`` and ``score`` for each query of positive score.
-
-    ``queries`` may have a boolean ``pruned``, which is carried.  Normal forms
-    and tokens of the queries are made once.
-    """
-    extra = [F.col("pruned")] if "pruned" in queries.columns else []
-    ready = queries.select("query_id", R.normalize_ref(F.col("query")).alias("whole"), F.filter(S.tokens(F.col("query")), lambda t: F.length(t) >= 2).alias("tokens"), *extra)
-    parts = queries.count() // MAX_QUERIES + 1
-    blocks = ready.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct(*ready.columns)).alias("qs"))
-    pairs = table.join(F.broadcast(blocks), F.lit(True)) if parts == 1 else table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "block")
-    hits = F.filter(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), score(q).alias("score"), *([q["pruned"].alias("pruned")] if extra else []))), lambda x: x["score"] > 0)
-    return pairs.select(*table.columns, F.inline(hits))
-
-
 def _joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
@@ -65,17 +54,71 @@ def units(notes: DataFrame) -> DataFrame:
     return notes.where("note_type in ('claim', 'wiki')").select("rel_path", "note_type", "title", "aliases", "tags", F.inline(F.when(F.col("note_type") == "claim", own).otherwise(wiki)))
 
 
+def _grams(word: Column, least: Column, most: Column) -> Column:
+    """Distinct runs of ``least`` to ``most`` characters of a word."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(least, most), lambda n: F.when(n <= F.length(word), of(n)).otherwise(F.array().cast("array<string>")))))
+
+
+def _words(text: Column) -> Column:
+    """What a text is indexed by: its words, and each separator that it has."""
+    return F.concat(F.filter(F.split(text, f"(?U){S.SEPARATOR}+"), lambda w: w != ""), F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?U)({S.SEPARATOR})"), F.lit(1))))
+
+
+def _part(term: Column) -> Column:
+    """The longest word of a term; a separator if it has nothing else."""
+    own = F.array_sort(F.transform(F.filter(F.split(term, f"(?U){S.SEPARATOR}+"), lambda w: w != ""), lambda w: F.struct(-F.length(w), w.alias("word"))))
+    return F.coalesce(F.get(own, F.lit(0))["word"], F.substring(term, 1, 1))
+
+
+class Index:
+    """Tables of a vault's units, written or kept by ``keep``.
+
+    ``units`` are ``(unit, is_route, rel_path, note_type, section, stacks,
+    low)``, ``postings`` ``(word, unit, is_route)``, ``grams`` ``(gram,
+    word)`` of distinct words, ``sizes`` ``(gram, n)``.  Postings are sorted
+    by word in ranges that split a word which very many units hold.
+    """
+
+    def __init__(self, notes: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist):
+        self.keep = keep
+        stacks = S.stacks(F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags")).alias("stacks")
+        about = notes.where("note_type in ('index', 'wiki')").select(F.lit(True).alias("is_route"), "rel_path", "note_type", F.lit("").alias("section"), stacks, F.lower(_joined(*_route_parts())).alias("low"))
+        inside = units(notes).select(F.lit(False).alias("is_route"), "rel_path", "note_type", "section", stacks, F.lower("text").alias("low"))
+        self.units = keep(about.unionByName(inside).select(F.monotonically_increasing_id().alias("unit"), "*"))
+        words = F.array_distinct(F.flatten(F.transform(F.concat("stacks", F.array("low")), _words)))
+        held = self.units.select(F.explode(words).alias("word"), "unit", "is_route")
+        self.postings = keep(held.repartitionByRange("word", "unit").sortWithinPartitions("word", "unit"))
+        one, three = F.lit(1), F.lit(3)
+        self.grams = keep(self.postings.select("word").distinct().select(F.explode(_grams(F.col("word"), one, three)).alias("gram"), "word"))
+        self.sizes = keep(self.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+        self.clusters = keep(note_clusters(notes))
+
+    def hits(self, queries: DataFrame, is_route: bool) -> DataFrame:
+        """Routes or units with ``query_id`` and ``score``, for each query of positive score."""
+        ready = queries.select("query_id", R.normalize_ref(F.col("query")).alias("whole"), F.filter(S.tokens(F.col("query")), lambda t: F.length(t) >= 2).alias("tokens"))
+        terms = ready.select("query_id", F.explode(F.array_distinct(F.concat(F.array("whole"), "tokens"))).alias("term")).where("term <> ''")
+        terms = terms.select("query_id", _part(F.col("term")).alias("part")).distinct()
+        size = F.least(F.lit(3), F.length("part"))
+        asked = terms.select("part").distinct().select("part", F.explode(_grams(F.col("part"), size, size)).alias("gram"))
+        # a gram that no word has leaves its part without words
+        rare = asked.join(self.sizes, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select("part", "r.gram")
+        words = rare.join(self.grams, "gram").where(F.col("word").contains(F.col("part"))).select("part", "word")
+        found = words.join(self.postings.where(F.col("is_route") == is_route), "word").select("part", "unit")
+        pairs = terms.join(found, "part").select("query_id", "unit").distinct()
+        near = self.units.where(F.col("is_route") == is_route).join(pairs, "unit").join(ready, "query_id")
+        scored = near.withColumn("score", S.points(F.col("whole"), F.col("tokens"), F.col("stacks"), F.col("low")))
+        return scored.where("score > 0").select("query_id", "rel_path", "note_type", "section", "score")
+
+
 def _ranked(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))
-    return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= max(limit, 1))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= max(limit, 1)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def routes(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+def routes(index: Index, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, rel_path, score, rank)`` among indexes and wikis."""
-    texts = notes.where("note_type in ('index', 'wiki')").select("rel_path", "title", "aliases", "tags", _joined(*_route_parts()).alias("text"))
-    ready = texts.select("rel_path", S.stacks(F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags")).alias("stacks"), F.lower("text").alias("low"))
-    scored = _asked(ready, queries, lambda q: S.points(q["whole"], q["tokens"], F.col("stacks"), F.col("low")))
-    return _ranked(scored.select("query_id", "rel_path", "score"), limit, F.asc("rel_path"))
+    return _ranked(index.hits(queries, True).select("query_id", "rel_path", "score"), limit, F.asc("rel_path"))
 
 
 def clusters_of(routed: DataFrame) -> DataFrame:
@@ -94,21 +137,18 @@ def note_clusters(notes: DataFrame) -> DataFrame:
     return notes.select("rel_path", F.explode(F.array_distinct(found)).alias("cluster"))
 
 
-def knowledge(notes: DataFrame, queries: DataFrame, routed: DataFrame, limit: int = 5) -> DataFrame:
+def knowledge(index: Index, queries: DataFrame, routed: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, rel_path, note_type, section, score, rank)``.
 
     A note is scored by its best unit; queries whose routes name clusters
     look only inside these.
     """
-    texts = units(notes)
     wanted = clusters_of(routed)
-    bound = queries.join(wanted.select("query_id").distinct().withColumn("pruned", F.lit(True)), "query_id", "left")
-    allowed = note_clusters(notes).join(wanted, "cluster").select("query_id", "rel_path").distinct()
-    ready = texts.select("rel_path", "note_type", "section", S.stacks(F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags")).alias("stacks"), F.lower("text").alias("low"))
-    scored = _asked(ready, bound, lambda q: S.points(q["whole"], q["tokens"], F.col("stacks"), F.col("low"))).drop("stacks", "low")
+    pruned = wanted.select("query_id").distinct().withColumn("pruned", F.lit(True))
+    allowed = index.clusters.join(wanted, "cluster").select("query_id", "rel_path").distinct().withColumn("allowed", F.lit(True))
     order = F.struct("score", (-S.section_priority(F.col("note_type"), F.col("section"))).alias("p"), "section")
-    every = scored.groupBy("query_id", "rel_path", "note_type", "pruned").agg(F.max(order).alias("b"))
-    inside = every.join(allowed.withColumn("allowed", F.lit(True)), ["query_id", "rel_path"], "left").where("pruned is null or allowed")
+    every = index.hits(queries, False).groupBy("query_id", "rel_path", "note_type").agg(F.max(order).alias("b"))
+    inside = every.join(pruned, "query_id", "left").join(allowed, ["query_id", "rel_path"], "left").where("pruned is null or allowed")
     best = inside.select("query_id", "rel_path", "note_type", "b.section", "b.score")
     return _ranked(best, limit, F.asc("rel_path"), F.asc("section"))
 
@@ -134,11 +174,11 @@ def related(routed: DataFrame, found: DataFrame, edge_table: DataFrame, node_tab
     return top.unionByName(extra.select("query_id", "path", "score", "kinds", F.lit(True).alias("forced")))
 
 
-def lookup(notes: DataFrame, edge_table: DataFrame, node_table: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+def lookup(index: Index, edge_table: DataFrame, node_table: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, part, rank, path, section, score, kinds)``, all phases."""
     # a few rows a query, which every later phase reads
-    routed = routes(notes, queries, limit).persist()
-    found = knowledge(notes, queries, routed, limit).persist()
+    routed = index.keep(routes(index, queries, limit))
+    found = index.keep(knowledge(index, queries, routed, limit))
     near = related(routed, found, edge_table, node_table, limit)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("forced", F.when(F.col("forced"), 0).otherwise(-F.col("score")), "path")).cast("bigint")
     none = F.lit("")
@@ -147,3 +187,15 @@ def lookup(notes: DataFrame, edge_table: DataFrame, node_table: DataFrame, queri
         .unionByName(found.select("query_id", F.lit("knowledge").alias("part"), "rank", F.col("rel_path").alias("path"), "section", "score", none.alias("kinds")))
         .unionByName(near.select("query_id", F.lit("related").alias("part"), order.alias("rank"), "path", none.alias("section"), F.col("score").cast("double").alias("score"), "kinds"))
     )
+
+
+def next_steps(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(query_id, outcome, start)``: where to go on from the rows of ``lookup``.
+
+    ``outcome`` is ``knowledge`` (start from the best match and its claims and
+    sources), ``route`` (from the best route, then into its cluster) or ``no
+    matches``, which has no start.
+    """
+    first = rows.where("rank = 1 and part <> 'related'").groupBy("query_id").agg(F.min(F.struct("part", "path")).alias("f"))
+    asked = queries.select("query_id").join(first, "query_id", "left")
+    return asked.select("query_id", F.coalesce("f.part", F.lit("no matches")).alias("outcome"), F.col("f.path").alias("start"))

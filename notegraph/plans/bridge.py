@@ -10,11 +10,13 @@ order's suppliers.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.operators import graph
+from notegraph.operators.lookup import Index
 from notegraph.plans.tables import keeper, state_of
 from notegraph.sources.notes import parse
 
@@ -122,6 +124,12 @@ class Vault:
         self.aliases = keep(graph.alias_map(self.nodes))
         self.refs = keep(graph.resolve(graph.references(self.notes), self.nodes, self.aliases))
         self.edges = keep(graph.edges(self.refs))
+        self.keep = keep
+
+    @cached_property
+    def index(self) -> Index:
+        """The lookup index, made when it is first asked for."""
+        return Index(self.notes, self.keep)
 
 
 _VAULTS: dict[tuple[str, str, int], Vault] = {}

@@ -472,7 +472,7 @@ hits as materialized (select *, row_number() over (partition by query_id order b
 
 @query("lookup_routes", LOOKUP + "done as (select 1) select query_id, rel_path, score, cast(rank as bigint) rank from routed")
 def lookup_routes(spark, sf_dir):
-    return lookup.routes(vault(spark, sf_dir).notes, _asked(spark))
+    return lookup.routes(vault(spark, sf_dir).index, _asked(spark))
 
 
 @query(
@@ -491,7 +491,32 @@ union all select query_id, 'knowledge', rank, rel_path, section, score, '' from
 )
 def lookup_end_to_end(spark, sf_dir):
     v = vault(spark, sf_dir)
-    return lookup.lookup(v.notes, v.edges, v.nodes, _asked(spark))
+    return lookup.lookup(v.index, v.edges, v.nodes, _asked(spark))
+
+
+@query(
+    "lookup_next_step",
+    LOOKUP + "first as (select query_id, 'knowledge' part, rel_path from hits where rank = 1 union all select query_id, 'route', rel_path from routed where rank = 1 and query_id not in (select query_id from hits)) "
+    "select qs.query_id, coalesce(part, 'no matches') outcome, rel_path as start from qs left join first using (query_id)",
+)
+def lookup_next_step(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return lookup.next_steps(_asked(spark), lookup.lookup(v.index, v.edges, v.nodes, _asked(spark)))
+
+
+#: Every benchmark text is a query; its terms are looked for in the wikis' and indexes' texts.
+ASKED_MANY = f"""select item_id query_id, trim(regexp_replace(lower(text), '^/+|/+$', '', 'g')) q, list_filter(regexp_split_to_array(lower(text), '[\\s/,_\\-]+'), lambda t: length(t) >= 2 and t not in ({STOP})) ts from benchmark union all select 100000 + n_nationkey, lower(n_name), list_filter(string_split(lower(n_name), '_'), lambda t: length(t) >= 2) from nation"""
+
+
+@query(
+    "lookup_many_queries",
+    LOOKUP.replace("qs as (select * from (values", "few as (select * from (values").replace("page as (", f"qs as ({ASKED_MANY}), page as (", 1)
+    + "done as (select 1) select query_id, rel_path, score, cast(rank as bigint) rank from routed",
+)
+def lookup_many_queries(spark, sf_dir):
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
+    places = _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100000).cast("bigint"), "n_name")
+    return lookup.routes(vault(spark, sf_dir).index, asked.union(places))
 
 
 @query(

@@ -59,11 +59,11 @@ def test_lint_rules(spark):
 def test_lookup_shows_forced_conflicts_beyond_the_limit(spark):
     v = vault_of(spark, FILES)
     asked = spark.createDataFrame([(1, "Alpha mechanism"), (2, "zzz")], "query_id int, query string")
-    out = lookup.lookup(v.notes, v.edges, v.nodes, asked, limit=1).where("query_id = 1")
+    out = lookup.lookup(v.index, v.edges, v.nodes, asked, limit=1).where("query_id = 1")
     rows = [(r.part, r.path.split("/")[-1]) for r in out.orderBy("part", "rank").collect()]
     assert ("knowledge", "a.md") in rows
     assert {p for k, p in rows if k == "related"} == {"w.md", "b.md", "c.md"}
-    assert lookup.lookup(v.notes, v.edges, v.nodes, asked).where("query_id = 2").count() == 0
+    assert lookup.lookup(v.index, v.edges, v.nodes, asked).where("query_id = 2").count() == 0
 
 
 def test_status_and_changes(spark):
