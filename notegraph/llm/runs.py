@@ -113,7 +113,7 @@ def runs_of(items: np.ndarray, edges: np.ndarray, rule: Rule) -> tuple[np.ndarra
     tries = np.maximum(0, (count[doc] - 2 * period) // grid + 1)
     cuts = np.searchsorted(np.cumsum(tries), np.arange(0, tries.sum(), rule.step))
     found = [none]
-    for first, last in zip(cuts, [*cuts[1:], len(tries)], strict=True):
+    for first, last in zip(cuts, [*cuts[1:], len(tries)][: len(cuts)], strict=True):
         # a period's positions stay together, so that a document's length bounds a step
         t = tries[first:last]
         q = np.repeat(period[first:last], t)
