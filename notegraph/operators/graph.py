@@ -170,13 +170,13 @@ def sync_steps(reached: DataFrame) -> DataFrame:
 def scope_report(listed: DataFrame | None, edge_table: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(mode, part, path, title, type)`` of a checklist's references ``(ref)``.
 
-    Without references all nodes but raw ones are the scope (mode ``full``);
+    Without references all nodes are the scope (mode ``full``);
     with references that all lack a target the list is empty: its only row
     has the mode alone.
     """
     titles = node_table.select(F.col("id").alias("path"), "title", "type")
     if listed is None or listed.isEmpty():
-        return titles.where("type <> 'raw'").select(F.lit("full").alias("mode"), F.lit("scope").alias("part"), "path", "title", "type")
+        return titles.select(F.lit("full").alias("mode"), F.lit("scope").alias("part"), "path", "title", "type")
     seeds = resolve(listed.select("ref"), node_table, aliases).where("target is not null").select(F.col("target").alias("path")).distinct()
     rows = seeds.withColumn("part", F.lit("seed")).unionByName(scope(seeds, edge_table, node_table).withColumn("part", F.lit("scope")))
     head = listed.sparkSession.createDataFrame([("list", None, None)], "mode string, part string, path string")

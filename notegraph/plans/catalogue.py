@@ -6,6 +6,7 @@ through rendered notes, the parser and the graph operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
 from notegraph.operators import graph, lint, lookup, media, status
 from notegraph.plans.bridge import vault
+from notegraph.plans.tables import shared_folder
 from notegraph.sources import export, notes
 
 AS_OF = "2024-01-15"
@@ -49,6 +51,11 @@ edges as materialized (
   union all select a.id, b.id, 'contradicts' from contra join ord a on contra.o = a.o join ord b on contra.t = b.o)
 """
 
+TITLED = """, full_nodes as (select reg.id, r_name title, '[]' tags, '1.0' conf from reg union all select id, n_name, '[]', '1.0' from nat
+  union all select id, 'customer page ' || c, '["' || lower(c_mktsegment) || '","customer"]', cast(cast(c % 12 as double) / 10 as varchar) from cus union all select id, 'order claim ' || o, '["order"]', '0.5' from ord
+  union all select id, 'supplier source ' || s, '[]', case when s % 9 = 0 then 'null' else '0.9' end from sup union all select id, p_name, '[]', 'null' from par)
+"""
+
 
 def query(name: str, sql: str | None = None):
     def register(f):
@@ -228,11 +235,14 @@ def lint_broken_refs(spark, sf_dir):
     return lint.broken_refs(v.notes, v.refs)
 
 
-ONE_SIDED = """select a.source rel_path, case a.kind when 'conflict_ref' then 'one_sided_conflict' else 'one_sided_contradiction' end as rule, 'error' severity, a.target detail
-from edges a left join edges b on a.source = b.target and a.target = b.source and a.kind = b.kind where a.kind in ('conflict_ref', 'contradicts') and b.source is null"""
+#: A conflict or contradiction is one-sided if the other order exists and its own list lacks the first.
+ONE_SIDED = """select a.id rel_path, one.rule, 'error' severity, b.id detail from (
+  select o, t, 'one_sided_conflict' as rule from conf anti join (select t as o, o as t from conf) back using (o, t)
+  union all select o, t, 'one_sided_contradiction' from contra anti join (select t as o, o as t from contra) back using (o, t)) one
+join ord a on a.o = one.o join ord b on b.o = one.t"""
 
 
-@query("lint_reciprocity", GRAPH + ONE_SIDED)
+@query("lint_reciprocity", GRAPH.split("edges as materialized")[0].rstrip().rstrip(",") + ONE_SIDED)
 def lint_reciprocity(spark, sf_dir):
     v = vault(spark, sf_dir)
     return lint.one_sided(v.notes, v.refs)
@@ -374,6 +384,39 @@ def manifest_missing_notes(spark, sf_dir):
     return lint.protected(graph.manifest(v.refs).unionByName(gone), v.refs, v.notes)
 
 
+@query(
+    "manifest_round_trip",
+    GRAPH + "select id rel_path, 'protected_note_missing' as rule, 'warning' severity, '' detail from (select id from sup where s % 3 = 0 union all select id from cus where c % 3 = 0) t",
+)
+def manifest_round_trip(spark, sf_dir):
+    """Suppliers have no protected link; those and customers that go are missed all the same."""
+    v = vault(spark, sf_dir)
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    export.manifest_json(v.notes, v.refs).select("line").write.text(path)
+    n = F.regexp_extract("rel_path", r"([0-9]+)\.md$", 1).try_cast("bigint")
+    left = v.notes.where(~F.col("note_type").isin("wiki", "source") | n.isNull() | (n % 3 != 0))
+    now = v.refs.join(left.select("rel_path"), "rel_path", "left_semi")
+    return lint.protected(export.read_manifest(spark, path), now, left)
+
+
+@query(
+    "export_parts",
+    GRAPH
+    + TITLED
+    + """, sizes as (select count(*) n from nodes), links as (select count(*) e from edges)
+select 'graph.json' part, n + e + 3 as rows, true as whole from sizes, links union all select 'graph.graphml', n + e + 12 + 1, true from sizes, links
+union all select 'link-manifest.json', (select count(*) from nodes where type <> 'raw'), true union all select 'vault-state.json', (select count(*) from documents), true""",
+)
+def export_parts(spark, sf_dir):
+    """A whole export is committed, another one breaks off before its commit; the first is read."""
+    v = vault(spark, sf_dir)
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.lit(0).cast("bigint").alias("mtime"), F.length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("sha256"))
+    export.export(v.notes, v.refs, v.nodes, v.edges, docs, path, AS_OF, f"{AS_OF}T00:00:00Z")
+    v.nodes.select("id").write.text(f"{path}/versions/broken/graph.json")
+    return export.verify(spark, path).where("part not like '%.md'").drop("bytes")
+
+
 @query("parse_callouts", "select conv_id, turn, trim(text) as said from conversations where text not like '%' || chr(10) || '%'")
 def parse_callouts(spark, sf_dir):
     body = F.concat(F.lit("before\n> [!note] 快速把握\n> "), F.col("text"), F.lit("\n\nafter\n> not this"))
@@ -667,12 +710,6 @@ def graphml_edges(spark, sf_dir):
     return export.graphml_edges(vault(spark, sf_dir).edges)
 
 
-TITLED = """, full_nodes as (select reg.id, r_name title, '[]' tags, '1.0' conf from reg union all select id, n_name, '[]', '1.0' from nat
-  union all select id, 'customer page ' || c, '["' || lower(c_mktsegment) || '","customer"]', cast(cast(c % 12 as double) / 10 as varchar) from cus union all select id, 'order claim ' || o, '["order"]', '0.5' from ord
-  union all select id, 'supplier source ' || s, '[]', case when s % 9 = 0 then 'null' else '0.9' end from sup union all select id, p_name, '[]', 'null' from par)
-"""
-
-
 @query("graph_json_nodes", GRAPH + TITLED + """select id, '{"id":"' || id || '","path":"' || id || '","title":"' || title || '","type":"' || type || '","status":"' || status || '","tags":' || tags || ',"aliases":[],"confidence":' || conf || '}' line from full_nodes join nodes using (id)""")
 def graph_json_nodes(spark, sf_dir):
     return export.node_json(vault(spark, sf_dir).nodes)
@@ -691,6 +728,32 @@ def impact_of_refs(spark, sf_dir):
     return graph.impact_of(refs, v.edges, v.nodes, v.aliases)
 
 
+SEEDED = "seeds as (select id from cus where c = 2 union select id from sup where s = 1)"
+
+
+@query(
+    "scope_report_list",
+    GRAPH
+    + IMPACT
+    + TITLED
+    + f""", {SEEDED}, inside as (select id path from seeds union select path from impact where target in (select id from seeds)
+  union select target from edges where source in (select id from seeds) and source in (select id from cus) and target in (select id from nodes where type in ('claim', 'index'))
+  union select source from edges where target in (select id from seeds) and target in (select id from sup) and source in (select id from ord)),
+parts as (select 'seed' part, id path from seeds union all select 'scope', path from inside)
+select 'list' as mode, cast(null as varchar) part, cast(null as varchar) path, cast(null as varchar) title, cast(null as varchar) as type union all select 'list', part, path, title, type from parts join full_nodes on full_nodes.id = path join nodes on nodes.id = path""",
+)
+def scope_report_list(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    listed = notes.unticked(spark.createDataFrame([("- [ ] [[c2]]\n- [ ] `s1`\n- [ ] lost\n",)], "text string"))
+    return graph.scope_report(listed, v.edges, v.nodes, v.aliases)
+
+
+@query("scope_report_full", GRAPH + TITLED + "select 'full' as mode, 'scope' part, id path, title, type from full_nodes join nodes using (id)")
+def scope_report_full(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return graph.scope_report(None, v.edges, v.nodes, v.aliases)
+
+
 @query("scope_report_seeds", GRAPH + "select 'list' as mode, cast(null as varchar) part, cast(null as varchar) path, cast(null as varchar) title union all select 'list', 'seed', id, 'customer page 2' from cus where c = 2 union all select 'list', 'seed', '_graphify/sources/s1.md', 'supplier source 1'")
 def scope_report_seeds(spark, sf_dir):
     v = vault(spark, sf_dir)

@@ -87,9 +87,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def snapshot(files: DataFrame, hashed: bool = True) -> DataFrame:
-    """``(path, size, modified, sha256)``; the hash is null if not asked for."""
+    """``(path, mtime, size, sha256)``, times in nanoseconds; the hash is null if not asked for."""
     digest = F.sha2(F.col("content"), 256) if hashed else F.lit(None).cast("string")
-    return files.select(F.col("rel_path").alias("path"), "size", "modified", digest.alias("sha256"))
+    return files.select(F.col("rel_path").alias("path"), (F.unix_micros("modified") * 1000).alias("mtime"), "size", digest.alias("sha256"))
 
 
 def _is_markdown(path):
@@ -153,4 +153,5 @@ def unticked(checklist: DataFrame) -> DataFrame:
     rows = checklist.select(F.posexplode(P.lines(F.col("text"))).alias("n", "line")).where(line.rlike(r"^\s*- \[ \]\s"))
     each = rows.select("n", F.posexplode(refs).alias("i", "ref"))
     first = each.groupBy("ref").agg(F.min(F.struct("n", "i")).alias("at"))
-    return first.select("ref", (F.col("at.n") * 1000 + F.col("at.i")).cast("bigint").alias("pos"))
+    # a line's number takes the high half, so that no item passes the next line
+    return first.select("ref", (F.shiftleft(F.col("at.n").cast("bigint"), 32) + F.col("at.i")).alias("pos"))

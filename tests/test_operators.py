@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from notegraph.operators import graph, lint, lookup, media, status
@@ -120,7 +122,7 @@ def test_export_and_baselines(spark, tmp_path):
     export.export(v.notes, v.refs, v.nodes, v.edges, now, out, "2024-01-01")
 
     def whole(name):
-        parts = sorted((tmp_path / "out" / name).glob("part-*"))
+        parts = sorted(Path(export.part_path(spark, out, name)).glob("part-*"))
         return "".join(p.read_text() for p in parts)
 
     doc = json.loads(whole("graph.json"))
@@ -129,10 +131,10 @@ def test_export_and_baselines(spark, tmp_path):
     tree = ET.fromstring(whole("graph.graphml"))
     assert len(list(tree.iter("{http://graphml.graphdrawing.org/xmlns}edge"))) == v.edges.count() and len(list(tree.iter("{http://graphml.graphdrawing.org/xmlns}key"))) == 8
     page = whole("graph-summary.md")
-    assert "- claim: 3" in page and "- Orphan notes: 1" in page and "- Stale notes: 0" in page
+    assert "- claim: 3" in page and "- Orphan wiki notes: 1" in page and "- Stale wiki notes: 0" in page and page.startswith("# Graph Summary\n\nGenerated: 2024-01-01\n\n## Counts\n- Nodes: 9\n")
     assert "- [ ] `raw/inbox/q.md`" in whole("pending.md")
-    assert export.read_manifest(spark, f"{out}/link-manifest.json").exceptAll(graph.manifest(v.refs)).count() == 0
-    assert [tuple(r) for r in export.read_snapshot(spark, f"{out}/vault-state.json").collect()] == [("a.md", 1, 2, "x")]
+    assert export.read_manifest(spark, export.part_path(spark, out, "link-manifest.json")).where("target is not null").exceptAll(graph.manifest(v.refs)).count() == 0
+    assert [tuple(r) for r in export.read_snapshot(spark, export.part_path(spark, out, "vault-state.json")).collect()] == [("a.md", 1, 2, "x")]
     old = tmp_path / "old.json"
     old.write_text('{"generated_at": "x", "files": {"a.md": {"mtime_ns": 1, "size": 2}, "b.md": {"mtime_ns": 1, "size": 2, "sha256": "y"}}}')
     before = export.read_snapshot(spark, str(old))
@@ -186,3 +188,71 @@ def test_stream_of_texts(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def test_saved_states_that_are_no_baseline(spark, tmp_path):
+    now = spark.createDataFrame([("a.md", 1, 2, "x"), ("b.md", 5, 2, "y")], "path string, mtime bigint, size bigint, sha256 string")
+    line = '{"path":"a.md","mtime_ns":1,"size":2,"sha256":"x"}'
+    old = '{\n "generated_at": "t",\n "files": {\n  "a.md": {"mtime_ns": 1, "size": 2}\n }\n}\n'
+    cases = {"empty": ("", "empty"), "lines": (line + "\n", "present"), "cut": (line + '\n{"path":"b.m', "corrupt"), "old": (old, "present"), "old-cut": (old[:40], "corrupt"), "old-none": ('{"files": {}}', "empty"), "text": ("hello\n", "corrupt")}
+    for name, (text, state) in cases.items():
+        (tmp_path / name).write_text(text)
+        got, rows = export.tracked_changes(spark, now, str(tmp_path / name))
+        assert got == state, name
+        assert {r.path: r.change for r in rows.collect()} == ({"b.md": "added"} if state == "present" else {"a.md": "added", "b.md": "added"}), name
+    assert export.tracked_changes(spark, now, str(tmp_path / "nowhere"))[0] == "missing"
+    assert export.saved_manifest(spark, str(tmp_path / "nowhere"))[0] == "missing"
+
+
+def test_files_to_changes_and_unlinked_notes(spark, tmp_path):
+    from notegraph.sources import notes as N
+
+    vault = tmp_path / "vault"
+    for name, text in {"知识簇/A/x.md": "see [[y]]", "知识簇/A/y.md": "no link", "raw/q.md": "q"}.items():
+        (vault / name).parent.mkdir(parents=True, exist_ok=True)
+        (vault / name).write_text(text)
+    state = str(tmp_path / "state")
+    export.snapshot_json(N.snapshot(N.read_files(spark, str(vault)))).select("line").write.text(state)
+    v = Vault(N.parse(N.texts_of(N.read_files(spark, str(vault)))))
+    links = str(tmp_path / "links")
+    export.manifest_json(v.notes, v.refs).select("line").write.text(links)
+    (vault / "知识簇/A/x.md").write_text("see [[z]]")
+    (vault / "知识簇/A/y.md").unlink()
+    (vault / "知识簇/A/z.md").write_text("new")
+    files = N.read_files(spark, str(vault))
+    kind, rows = export.tracked_changes(spark, N.snapshot(files), state)
+    assert kind == "present" and {r.path: r.change for r in rows.collect()} == {"知识簇/A/x.md": "modified", "知识簇/A/y.md": "removed", "知识簇/A/z.md": "added"}
+    w = Vault(N.parse(N.texts_of(files)))
+    found = lint.protected(export.read_manifest(spark, links), w.refs, w.notes)
+    assert {(r.rel_path, r.rule) for r in found.collect()} == {("知识簇/A/x.md", "protected_link_lost"), ("知识簇/A/y.md", "protected_note_missing")}
+
+
+def test_a_failed_export_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    import pytest
+
+    v, out = vault_of(spark, FILES), str(tmp_path / "out")
+    now = spark.createDataFrame([("a.md", 1, 2, "x")], "path string, mtime bigint, size bigint, sha256 string")
+    assert export.latest(spark, out) is None
+    first = export.export(v.notes, v.refs, v.nodes, v.edges, now, out, "2024-01-01", "2024-01-01T00:00:00Z")
+    monkeypatch.setattr(export, "pending_page", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        export.export(v.notes, v.refs, v.nodes, v.edges, now, out, "2024-01-02")
+    assert export.latest(spark, out)["version"] == first and export.latest(spark, out)["generated_at"] == "2024-01-01T00:00:00Z"
+    monkeypatch.undo()
+    second = export.export(v.notes, v.refs, v.nodes, v.edges, now.limit(0), out, "2024-01-02")
+    assert export.latest(spark, out)["version"] == second != first and export.latest(spark, out)["seq"] == 1
+    rows = {r.part: (r.rows, r.whole) for r in export.verify(spark, out).collect()}
+    assert rows["vault-state.json"] == (0, True) and rows["link-manifest.json"] == (7, True) and all(w for _, w in rows.values())
+
+
+def test_a_checklist_keeps_its_order(spark):
+    from notegraph.sources.notes import unticked
+
+    text = "- [ ] " + " ".join(f"[[n{i}]]" for i in range(1200)) + "\n- [ ] [[last]]\n"
+    rows = unticked(spark.createDataFrame([(text,)], "text string")).orderBy("pos").collect()
+    assert [r.ref for r in rows] == [f"n{i}" for i in range(1200)] + ["last"]
+
+
+def test_scope_without_a_list_has_raw_items(spark):
+    v = vault_of(spark, FILES)
+    assert {r.path for r in graph.scope_report(None, v.edges, v.nodes, v.aliases).collect()} == {r.id for r in v.nodes.collect()}
