@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,49 +91,61 @@ def standalone_claims(notes: DataFrame, resolved: DataFrame) -> DataFrame:
     return notes.where("note_type = 'claim'").select("rel_path").join(absorbed, "rel_path", "left_anti")
 
 
-def _typed_edges(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
-    kinds = node_table.select("id", "type")
-    out = edge_table.select("source", "target").distinct()
-    out = out.join(kinds.toDF("source", "source_type"), "source", "left")
-    return out.join(kinds.toDF("target", "target_type"), "target", "left")
+class Adjacency:
+    """Edges by either end: ``(node, block, other, other_type, kind, out)``.
+
+    A node of more than ``block_edges`` edges is a hub (``(node, blocks)`` in
+    ``hubs``), whose edges are dealt by their other end.  Where ``keep`` can
+    write bucketed tables, the edges are bucketed and sorted by node and
+    block, so that a join with a frontier moves the frontier alone.
+    """
+
+    def __init__(self, edge_table: DataFrame, node_table: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist, block_edges: int = 100_000):
+        kinds = node_table.select("id", "type")
+        typed = edge_table.select("source", "target", "kind").join(kinds.toDF("source", "source_type"), "source", "left").join(kinds.toDF("target", "target_type"), "target", "left")
+        away = F.struct(F.col("source").alias("node"), F.col("target").alias("other"), F.col("target_type").alias("other_type"), "kind", F.lit(True).alias("out"))
+        back = F.struct(F.col("target").alias("node"), F.col("source").alias("other"), F.col("source_type").alias("other_type"), "kind", F.lit(False).alias("out"))
+        ends = keep(typed.select(F.inline(F.array(away, back))))
+        self.hubs = keep(ends.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block_edges).cast("int").alias("blocks")).where("blocks > 1"))
+        block = F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+        dealt = ends.join(self.hubs, "node", "left").select("node", block, "other", "other_type", "kind", "out")
+        self.ends = getattr(keep, "bucketed", lambda table, *by: keep(table))(dealt, "node", "block")
+
+    def of(self, frontier: DataFrame) -> DataFrame:
+        """``frontier`` (with ``node``) joined with the edges of its nodes."""
+        blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+        return frontier.join(self.hubs, "node", "left").select(*frontier.columns, blocks).join(self.ends, ["node", "block"]).drop("block")
 
 
-def impact(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
-    """``(target, layer, path)``: what a change of each node reaches.
+def impact(near: Adjacency, seeds: DataFrame, node_table: DataFrame) -> DataFrame:
+    """``(target, layer, path)``: what a change of the seeds ``(target)`` reaches.
 
     A source reaches the claims with an edge to it; claims reach the wikis
     with an edge into them, wikis the indexes with an edge to or from them.
-    A claim, wiki or index starts with itself; raw nodes reach nothing.
+    A claim, wiki or index starts with itself; raw nodes reach nothing.  Each
+    layer asks for the edges of the layer before it.
     """
-    # each layer reads the typed edges and the layer before it
-    typed = _typed_edges(edge_table, node_table).persist()
-    own = node_table.select(F.col("id").alias("target"), "type")
-    start = F.col("target").alias("path")
-    claims = typed.where("target_type = 'source' and source_type = 'claim'").select("target", F.col("source").alias("path")).union(own.where("type = 'claim'").select("target", start)).distinct().persist()
-    into = typed.where("source_type = 'wiki'").select(F.col("target").alias("at"), F.col("source").alias("wiki"))
-    wikis = claims.join(into, claims.path == into["at"]).select("target", F.col("wiki").alias("path")).union(own.where("type = 'wiki'").select("target", start)).distinct().persist()
-    beside = typed.where("source_type = 'index'").select(F.col("target").alias("at"), F.col("source").alias("index")).union(typed.where("target_type = 'index'").select("source", "target")).distinct()
-    indexes = wikis.join(beside, wikis.path == beside["at"]).select("target", F.col("index").alias("path")).union(own.where("type = 'index'").select("target", start)).distinct()
-    layers = ((claims, "claims"), (wikis, "wikis"), (indexes, "indexes"))
-    out = None
-    for table, name in layers:
-        part = table.select("target", F.lit(name).alias("layer"), "path")
-        out = part if out is None else out.union(part)
-    return out
-
-
-def scope(seeds: DataFrame, edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
-    """``(path)``: seed nodes ``(path)``, what they reach and stand on."""
-    typed = _typed_edges(edge_table, node_table)
-    own = node_table.select(F.col("id").alias("path"), "type").join(seeds.select("path"), "path", "left_semi")
-    reached = impact(edge_table, node_table).join(seeds.select(F.col("path").alias("target")), "target", "left_semi").select("path")
+    asked = seeds.select("target").distinct().join(node_table.select(F.col("id").alias("target"), "type"), "target")
+    node = F.col("other").alias("node")
+
+    def own(kind: str) -> DataFrame:
+        return asked.where(F.col("type") == kind).select("target", F.col("target").alias("node"))
 
-    def beside(kind: str, here: str, there: str, types: tuple[str, ...]) -> DataFrame:
-        near = typed.where(F.col(f"{there}_type").isin(*types)).select(F.col(here).alias("path"), F.col(there).alias("other"))
-        return own.where(F.col("type") == kind).join(near, "path").select(F.col("other").alias("path"))
+    claims = near.of(own("source")).where("not out and other_type = 'claim'").select("target", node).union(own("claim")).distinct()
+    wikis = near.of(claims).where("not out and other_type = 'wiki'").select("target", node).union(own("wiki")).distinct()
+    indexes = near.of(wikis).where("other_type = 'index'").select("target", node).union(own("index")).distinct()
+    layers = [t.select("target", F.lit(name).alias("layer"), F.col("node").alias("path")) for t, name in ((claims, "claims"), (wikis, "wikis"), (indexes, "indexes"))]
+    return layers[0].union(layers[1]).union(layers[2])
 
-    near = beside("wiki", "source", "target", ("claim", "index")).union(beside("claim", "source", "target", ("source", "claim"))).union(beside("claim", "target", "source", ("claim",))).union(beside("source", "target", "source", ("claim",)))
-    return own.select("path").union(reached).union(near).distinct()
+
+def scope(seeds: DataFrame, near: Adjacency, node_table: DataFrame) -> DataFrame:
+    """``(path)``: seed nodes ``(path)``, what they reach and stand on."""
+    own = node_table.select(F.col("id").alias("node"), "type").join(seeds.select(F.col("path").alias("node")), "node", "left_semi")
+    reached = impact(near, seeds.select(F.col("path").alias("target")), node_table).select("path")
+    wanted = """out and type = 'wiki' and other_type in ('claim', 'index') or out and type = 'claim' and other_type in ('source', 'claim')
+        or not out and type in ('claim', 'source') and other_type = 'claim'"""
+    beside = near.of(own).where(wanted).select(F.col("other").alias("path"))
+    return own.select(F.col("node").alias("path")).union(reached).union(beside).distinct()
 
 
 def manifest(resolved: DataFrame) -> DataFrame:
@@ -146,14 +160,14 @@ def lost_links(before: DataFrame, now: DataFrame) -> DataFrame:
     return gone.groupBy("path", "field").agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("lost"))
 
 
-def impact_of(refs: DataFrame, edge_table: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
+def impact_of(refs: DataFrame, near: Adjacency, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(ref, outcome, target, type, layer, path)`` of references ``(ref)``.
 
     A reference without a target has one row, ``unresolved``; one that
     reaches nothing has one row without layer and path.
     """
     asked = resolve(refs.select("ref").distinct(), node_table, aliases).join(node_table.select(F.col("id").alias("target"), "type"), "target", "left")
-    reached = asked.join(impact(edge_table, node_table), "target", "left")
+    reached = asked.join(impact(near, asked.where("target is not null"), node_table), "target", "left")
     return reached.select("ref", F.when(F.col("target").isNull(), "unresolved").otherwise("resolved").alias("outcome"), "target", "type", "layer", "path")
 
 
@@ -167,7 +181,7 @@ def sync_steps(reached: DataFrame) -> DataFrame:
     return reached.where("type = 'source'").select("ref").distinct().select("ref", F.inline(steps))
 
 
-def scope_report(listed: DataFrame | None, edge_table: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
+def scope_report(listed: DataFrame | None, near: Adjacency, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(mode, part, path, title, type)`` of a checklist's references ``(ref)``.
 
     Without references all nodes are the scope (mode ``full``);
@@ -178,7 +192,7 @@ def scope_report(listed: DataFrame | None, edge_table: DataFrame, node_table: Da
     if listed is None or listed.isEmpty():
         return titles.select(F.lit("full").alias("mode"), F.lit("scope").alias("part"), "path", "title", "type")
     seeds = resolve(listed.select("ref"), node_table, aliases).where("target is not null").select(F.col("target").alias("path")).distinct()
-    rows = seeds.withColumn("part", F.lit("seed")).unionByName(scope(seeds, edge_table, node_table).withColumn("part", F.lit("scope")))
+    rows = seeds.withColumn("part", F.lit("seed")).unionByName(scope(seeds, near, node_table).withColumn("part", F.lit("scope")))
     head = listed.sparkSession.createDataFrame([("list", None, None)], "mode string, part string, path string")
     out = head.unionByName(rows.select(F.lit("list").alias("mode"), "part", "path"))
     return out.join(titles, "path", "left").select("mode", "part", "path", "title", "type")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from notegraph.functions import parsing as P
 from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
+from notegraph.operators.graph import Adjacency
 
 #: Sections of a claim that its lookup text holds, the section
 #: that is no search unit, and the names of the whole-body units.
@@ -153,7 +154,7 @@ def knowledge(index: Index, queries: DataFrame, routed: DataFrame, limit: int =
     return _ranked(best, limit, F.asc("rel_path"), F.asc("section"))
 
 
-def related(routed: DataFrame, found: DataFrame, edge_table: DataFrame, node_table: DataFrame, limit: int = 5) -> DataFrame:
+def related(routed: DataFrame, found: DataFrame, near: Adjacency, limit: int = 5) -> DataFrame:
     """``(query_id, path, score, kinds, forced)``: neighbours of the matches.
 
     A note matched in both phases counts twice.  Conflicts of matched claims
@@ -161,31 +162,31 @@ def related(routed: DataFrame, found: DataFrame, edge_table: DataFrame, node_tab
     """
     matched = routed.select("query_id", "rel_path").union(found.select("query_id", "rel_path"))
     known = matched.distinct().toDF("query_id", "path")
-    touching = edge_table.select(F.col("source").alias("rel_path"), F.col("target").alias("path"), "kind").union(edge_table.select("target", "source", "kind"))
-    shown = node_table.where("type not in ('raw', 'source')").select(F.col("id").alias("path"))
-    near = matched.join(touching, "rel_path").join(known, ["query_id", "path"], "left_anti")
-    plain = near.where(~F.col("kind").isin(*CONFLICTS)).groupBy("query_id", "path").agg(F.sum(S.edge_weight(F.col("kind"))).alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    top = _ranked(plain.join(shown, "path", "left_semi"), limit, F.asc("path")).select("query_id", "path", "score", "kinds", F.lit(False).alias("forced"))
-    claims = found.where("note_type = 'claim'").select("query_id", "rel_path").distinct()
-    conflicts = touching.where(F.col("kind").isin(*CONFLICTS))
-    forced = claims.join(conflicts, "rel_path").groupBy("query_id", "path").agg(F.sum(S.edge_weight(F.col("kind"))).alias("score"))
-    every = conflicts.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    extra = forced.join(known, ["query_id", "path"], "left_anti").join(top, ["query_id", "path"], "left_anti").join(shown, "path", "left_semi").join(every, "path")
-    return top.unionByName(extra.select("query_id", "path", "score", "kinds", F.lit(True).alias("forced")))
-
-
-def lookup(index: Index, edge_table: DataFrame, node_table: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+    shown = ~F.coalesce("other_type", F.lit("")).isin("raw", "source", "")
+    disputed = F.col("kind").isin(*CONFLICTS)
+    touching = near.of(matched.withColumnRenamed("rel_path", "node")).where(shown & ~disputed).select("query_id", F.col("other").alias("path"), "kind").join(known, ["query_id", "path"], "left_anti")
+    plain = touching.groupBy("query_id", "path").agg(F.sum(S.edge_weight(F.col("kind"))).alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    top = _ranked(plain, limit, F.asc("path")).select("query_id", "path", "score", "kinds", F.lit(False).alias("forced"))
+    claims = found.where("note_type = 'claim'").select("query_id", F.col("rel_path").alias("node")).distinct()
+    forced = near.of(claims).where(shown & disputed).groupBy("query_id", F.col("other").alias("path")).agg(F.sum(S.edge_weight(F.col("kind"))).alias("score"))
+    extra = forced.join(known, ["query_id", "path"], "left_anti").join(top, ["query_id", "path"], "left_anti")
+    # of a forced note, the kinds of all its conflicts are told
+    every = near.of(extra.select(F.col("path").alias("node")).distinct()).where(disputed).groupBy(F.col("node").alias("path")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return top.unionByName(extra.join(every, "path").select("query_id", "path", "score", "kinds", F.lit(True).alias("forced")))
+
+
+def lookup(index: Index, near: Adjacency, queries: DataFrame, limit: int = 5) -> DataFrame:
     """``(query_id, part, rank, path, section, score, kinds)``, all phases."""
     # a few rows a query, which every later phase reads
     routed = index.keep(routes(index, queries, limit))
     found = index.keep(knowledge(index, queries, routed, limit))
-    near = related(routed, found, edge_table, node_table, limit)
+    beside = related(routed, found, near, limit)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("forced", F.when(F.col("forced"), 0).otherwise(-F.col("score")), "path")).cast("bigint")
     none = F.lit("")
     return (
         routed.select("query_id", F.lit("route").alias("part"), "rank", F.col("rel_path").alias("path"), none.alias("section"), "score", none.alias("kinds"))
         .unionByName(found.select("query_id", F.lit("knowledge").alias("part"), "rank", F.col("rel_path").alias("path"), "section", "score", none.alias("kinds")))
-        .unionByName(near.select("query_id", F.lit("related").alias("part"), order.alias("rank"), "path", none.alias("section"), F.col("score").cast("double").alias("score"), "kinds"))
+        .unionByName(beside.select("query_id", F.lit("related").alias("part"), order.alias("rank"), "path", none.alias("section"), F.col("score").cast("double").alias("score"), "kinds"))
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from notegraph.operators import graph
 from notegraph.operators.lookup import Index
-from notegraph.plans.tables import keeper, state_of
+from notegraph.plans.tables import Keeper, state_of
 from notegraph.sources.notes import parse
 
 CLAIM_FILLER = "claim_type: fact\nsupport_state: supported\nverification_state: source_supported\nscope: all\nboundary_note: none\nclaim_origin: data\n"
@@ -131,6 +131,11 @@ class Vault:
         """The lookup index, made when it is first asked for."""
         return Index(self.notes, self.keep)
 
+    @cached_property
+    def near(self) -> graph.Adjacency:
+        """The edges by either end, made when they are first asked for."""
+        return graph.Adjacency(self.edges, self.nodes, self.keep)
+
 
 _VAULTS: dict[tuple[str, str, int], Vault] = {}
 
@@ -139,7 +144,7 @@ def vault(spark: SparkSession, sf_dir: str) -> Vault:
     """The tables' vault, one for each session and state of the folder."""
     key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, sf_dir))
     if key not in _VAULTS:
-        keep = keeper(spark)
+        keep = Keeper(spark)
         # the texts are a table of their own: else the parser is planned once
         # for each branch of the union
         _VAULTS[key] = Vault(parse(keep(texts(spark, sf_dir))), keep)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,16 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a table and returns a reader of it, so that later plans are short."""
-    root = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+class Keeper:
+    """Writes tables below one folder and returns readers of them, so that later plans are short."""
 
-    def keep(table: DataFrame) -> DataFrame:
-        path = f"{root}/{uuid.uuid4().hex[:8]}"
-        table.write.parquet(path)
-        return spark.read.schema(table.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
 
-    return keep
+    def __call__(self, table: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex[:8]}"
+        table.write.parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
+    def bucketed(self, table: DataFrame, *by: str) -> DataFrame:
+        """As many buckets by ``by`` as a shuffle has partitions, sorted; one file for each."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"kept_{uuid.uuid4().hex}"
+        table.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{self.root}/{name}").saveAsTable(name)
+        return self.spark.table(name)
 
 
 def state_of(spark: SparkSession, folder: str) -> int:

@@ -39,10 +39,10 @@ def test_resolution_precedence(spark):
 
 def test_impact_and_scope(spark):
     v = vault_of(spark, FILES)
-    reached = {(r.layer, r.path.split("/")[-1]) for r in graph.impact(v.edges, v.nodes).where("target like '%s.md'").collect()}
+    reached = {(r.layer, r.path.split("/")[-1]) for r in graph.impact(v.near, v.nodes.select(F.col('id').alias('target')), v.nodes).where("target like '%s.md'").collect()}
     assert reached == {("claims", "a.md"), ("wikis", "w.md"), ("indexes", "_索引.md")}
     seeds = spark.createDataFrame([("知识簇/A/命题/a.md",)], "path string")
-    inside = {r.path.split("/")[-1] for r in graph.scope(seeds, v.edges, v.nodes).collect()}
+    inside = {r.path.split("/")[-1] for r in graph.scope(seeds, v.near, v.nodes).collect()}
     assert inside == {"a.md", "b.md", "c.md", "s.md", "w.md", "_索引.md"}
     assert {r.rel_path for r in graph.orphans(v.notes, v.edges).collect()} == {"知识簇/B/_索引.md"}
 
@@ -61,11 +61,11 @@ def test_lint_rules(spark):
 def test_lookup_shows_forced_conflicts_beyond_the_limit(spark):
     v = vault_of(spark, FILES)
     asked = spark.createDataFrame([(1, "Alpha mechanism"), (2, "zzz")], "query_id int, query string")
-    out = lookup.lookup(v.index, v.edges, v.nodes, asked, limit=1).where("query_id = 1")
+    out = lookup.lookup(v.index, v.near, asked, limit=1).where("query_id = 1")
     rows = [(r.part, r.path.split("/")[-1]) for r in out.orderBy("part", "rank").collect()]
     assert ("knowledge", "a.md") in rows
     assert {p for k, p in rows if k == "related"} == {"w.md", "b.md", "c.md"}
-    assert lookup.lookup(v.index, v.edges, v.nodes, asked).where("query_id = 2").count() == 0
+    assert lookup.lookup(v.index, v.near, asked).where("query_id = 2").count() == 0
 
 
 def test_status_and_changes(spark):
@@ -149,12 +149,12 @@ def test_export_and_baselines(spark, tmp_path):
 def test_outcomes_of_impact_and_scope(spark):
     v = vault_of(spark, FILES)
     refs = spark.createDataFrame([("s",), ("nothing",), ("raw/inbox/q.md",)], "ref string")
-    got = graph.impact_of(refs, v.edges, v.nodes, v.aliases)
+    got = graph.impact_of(refs, v.near, v.nodes, v.aliases)
     rows = {(r.ref, r.outcome, r.layer) for r in got.collect()}
     assert rows == {("s", "resolved", "claims"), ("s", "resolved", "wikis"), ("s", "resolved", "indexes"), ("nothing", "unresolved", None), ("raw/inbox/q.md", "resolved", None)}
     assert [(r.ref, r.step) for r in graph.sync_steps(got).orderBy("step").collect()] == [("s", i) for i in range(1, 6)]
-    assert {r.mode for r in graph.scope_report(None, v.edges, v.nodes, v.aliases).collect()} == {"full"}
-    empty = graph.scope_report(spark.createDataFrame([("nothing",)], "ref string"), v.edges, v.nodes, v.aliases).collect()
+    assert {r.mode for r in graph.scope_report(None, v.near, v.nodes, v.aliases).collect()} == {"full"}
+    empty = graph.scope_report(spark.createDataFrame([("nothing",)], "ref string"), v.near, v.nodes, v.aliases).collect()
     assert [(r.mode, r.part) for r in empty] == [("list", None)]
 
 
@@ -255,4 +255,33 @@ def test_a_checklist_keeps_its_order(spark):
 
 def test_scope_without_a_list_has_raw_items(spark):
     v = vault_of(spark, FILES)
-    assert {r.path for r in graph.scope_report(None, v.edges, v.nodes, v.aliases).collect()} == {r.id for r in v.nodes.collect()}
+    assert {r.path for r in graph.scope_report(None, v.near, v.nodes, v.aliases).collect()} == {r.id for r in v.nodes.collect()}
+
+
+def test_hubs_in_blocks(spark):
+    """A hub's edges are dealt over blocks, and nothing else changes."""
+    edges = spark.createDataFrame([(f"w{i}", "hub", "wikilink") for i in range(50)] + [("hub", "c", "claim_ref"), ("hub", "c", "wikilink")], "source string, target string, kind string")
+    nodes = spark.createDataFrame([(f"w{i}", "wiki") for i in range(50)] + [("hub", "wiki")], "id string, type string")
+    near = graph.Adjacency(edges, nodes, block_edges=8)
+    assert [(r.node, r.blocks) for r in near.hubs.collect()] == [("hub", 7)]
+    assert near.ends.where("node = 'hub'").select("block").distinct().count() > 4
+    got = {(r.other, r.kind, r.out, r.other_type) for r in near.of(spark.createDataFrame([("hub",), ("lost",)], "node string")).collect()}
+    assert got == {(f"w{i}", "wikilink", False, "wiki") for i in range(50)} | {("c", "claim_ref", True, None), ("c", "wikilink", True, None)}
+
+
+def test_frontier_joins_move_no_edges(spark):
+    """Bucketed edges stand still: the plan exchanges the frontier alone."""
+    from notegraph.plans.tables import Keeper
+
+    v = vault_of(spark, FILES)
+    near = graph.Adjacency(v.edges, v.nodes, Keeper(spark))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = near.of(spark.createDataFrame([("知识簇/A/w.md",)], "node string"))
+        joined.collect()
+        plan = joined._jdf.queryExecution().optimizedPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "other_type" in line)
+    assert "Bucketed: true" in scan
