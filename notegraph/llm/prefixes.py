@@ -214,7 +214,8 @@ def verified(prints: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
     prints = scratch.keep(prints, "prints")
     same = ["depth", "f", "g"]
     groups = prints.groupBy(*same).agg(F.min(F.struct("conv_id", "at", "pf", "pg")).alias("rep"), F.count(F.lit(1)).alias("n_convs"))
-    known = scratch.keep(prints.join(groups, same), "known")
+    # written first: a common prefix's rows can then be split among tasks in the join
+    known = scratch.keep(prints.join(scratch.keep(groups, "groups"), same), "known")
     # a representative agrees with itself, and so does a turn that two conversations share
     others = known.where("conv_id <> rep.conv_id")
     odd = others.where("pf <> rep.pf or pg <> rep.pg").select(*same)
