@@ -22,9 +22,13 @@ def nodes(notes: DataFrame) -> DataFrame:
 
 def alias_map(node_table: DataFrame) -> DataFrame:
     """``(key, target, n_owners)``; an ambiguous key's target is null."""
-    keys = node_table.select("id", F.explode(candidate_keys(F.col("id"), F.col("title"), F.col("aliases"))).alias("key"))
-    owners = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.countDistinct("id").alias("n_owners"))
-    return owners.select("key", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"), "n_owners")
+    return owners(node_table.select("id", F.explode(candidate_keys(F.col("id"), F.col("title"), F.col("aliases"))).alias("key")))
+
+
+def owners(keys: DataFrame) -> DataFrame:
+    """``(key, target, n_owners)`` of ``(id, key)``."""
+    ids = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.countDistinct("id").alias("n_owners"))
+    return ids.select("key", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"), "n_owners")
 
 
 def references(notes: DataFrame) -> DataFrame:
@@ -37,6 +41,18 @@ def _tagged(field: str):
     return F.transform(F.col(field), lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), x.alias("ref")))
 
 
+def _forms(texts: DataFrame) -> DataFrame:
+    """What a reference text is tried as: three ids and a key."""
+    texts = texts.withColumn("clean", clean_ref(F.col("ref")))
+    return texts.withColumn("bare", F.when(F.col("clean").endswith(".md"), F.expr("left(clean, length(clean) - 3)"))).withColumn("key", normalize_ref(F.col("clean"))).withColumn("dot", F.when(F.col("clean").startswith("./"), F.expr("substring(clean, 3)")))
+
+
+def tried(texts: DataFrame) -> DataFrame:
+    """``(ref, tries)``: the ids and the key, ``(kind, value)``, by which ``resolve`` looks up ``(ref)``."""
+    tries = F.array(*[F.struct(F.lit("key" if c == "key" else "id").alias("kind"), F.col(c).alias("value")) for c in ("clean", "bare", "dot", "key")])
+    return _forms(texts).select("ref", F.filter(tries, lambda t: t["value"].isNotNull()).alias("tries"))
+
+
 def resolve(refs: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataFrame:
     """``refs`` with ``target``: a node id, or null if missing or ambiguous.
 
@@ -45,8 +61,7 @@ def resolve(refs: DataFrame, node_table: DataFrame, aliases: DataFrame) -> DataF
     once, so a text that many notes hold is one row of the joins; where the
     targets go back to the references, such a text is dealt by salt.
     """
-    texts = refs.select("ref").distinct().withColumn("clean", clean_ref(F.col("ref")))
-    texts = texts.withColumn("bare", F.when(F.col("clean").endswith(".md"), F.expr("left(clean, length(clean) - 3)"))).withColumn("key", normalize_ref(F.col("clean"))).withColumn("dot", F.when(F.col("clean").startswith("./"), F.expr("substring(clean, 3)")))
+    texts = _forms(refs.select("ref").distinct())
     ids = node_table.select("id")
     out = texts.join(ids.withColumnRenamed("id", "own"), F.col("clean") == F.col("own"), "left")
     out = out.join(ids.withColumnRenamed("id", "own_bare"), F.col("bare") == F.col("own_bare"), "left")

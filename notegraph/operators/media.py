@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.parsing import let
+from notegraph.functions.parsing import let, stem
 
 #: Largest gap between frames in seconds, most frames.
 MAX_GAP, MAX_FRAMES = 15.0, 24
@@ -231,18 +231,116 @@ def regions_path(path: Column) -> Column:
     return F.concat(asset_folder(path), F.lit("/ocr_regions.json"))
 
 
+def frame_records(islands: DataFrame) -> DataFrame:
+    """``(video, frame, start_ms, end_ms, image_path, error)`` of ``(video, start_ms, end_ms, error)``.
+
+    Frames are numbered by time from 1; their images are named by number and time.
+    """
+    number = F.row_number().over(Window.partitionBy("video").orderBy("start_ms", "end_ms", F.coalesce("error", F.lit(""))))
+    image = F.concat(asset_folder(F.col("video")), F.format_string("/frame-%04d-", "frame"), time_token(F.col("start_ms")), F.lit(".png"))
+    return islands.withColumn("frame", number).select("video", "frame", "start_ms", "end_ms", image.alias("image_path"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+#: What an anchor says where nothing was recognised, and how
+#: anchors of failed and of empty frames are marked for review.
+NO_TEXT, UNCLEAR, NO_LAYOUT = "未识别到明显文字", "ocr_unclear", "layout_unclear"
+
+
+def anchors(frames: DataFrame, regions: DataFrame) -> DataFrame:
+    """``(video, frame, anchor, text, review, region_ids)`` of ``frame_records`` and their regions.
+
+    Each region ``(video, frame, region_id, bbox, text, review)`` is an
+    anchor; a frame without any has one that tells its error, or that no text
+    was found.  Numbers run on across a video's frames.
+    """
+    rows = frames.select("video", "frame", "error").join(regions, ["video", "frame"], "left")
+    empty, failed = F.col("region_id").isNull(), F.col("error") != ""
+    number = F.row_number().over(Window.partitionBy("video").orderBy("frame", "region_id"))
+    return rows.select(
+        "video",
+        "frame",
+        F.format_string("A%02d", number).alias("anchor"),
+        F.when(~empty, F.col("text")).when(failed, F.col("error")).otherwise(NO_TEXT).alias("text"),
+        F.when(~empty, F.coalesce("review", F.lit(""))).when(failed, UNCLEAR).otherwise(NO_LAYOUT).alias("review"),
+        F.when(empty, F.array().cast("array<string>")).otherwise(F.array("region_id")).alias("region_ids"),
+    )
+
+
+def _in_frames(frames: DataFrame, items: DataFrame, order: str, *columns: str) -> DataFrame:
+    """``frames`` with ``items``: the rows of another table for each frame, in order."""
+    own = items.groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"))
+    return frames.join(own, ["video", "frame"], "left")
+
+
+def _in_videos(rows: DataFrame, *columns: str) -> DataFrame:
+    """``(video, frames)``: a video's frames in order; it has at most ``MAX_FRAMES``, so a row stays small."""
+    return rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", *columns))).alias("frames"))
+
+
 def sidecar(frames: DataFrame, regions: DataFrame, mode: str, compiled_at: str) -> DataFrame:
-    """``(video, sidecar)``: each video's frames and regions as one JSON text.
+    """``(video, sidecar)``: each video's frames and their regions as one JSON text."""
+    shaped = F.transform("items", lambda r, i: F.struct(r["region_id"].alias("region_id"), r["bbox"].alias("bbox"), r["text"].alias("text"), (i + 1).alias("order"), F.nullif(r["review"], F.lit("")).alias("review")))
+    none = F.array().cast("array<struct<region_id:string,bbox:array<double>,text:string,order:int,review:string>>")
+    rows = _in_frames(frames, regions, "region_id", "bbox", "text", "review")
+    rows = rows.select("video", "frame", F.format_string("frame-%04d", "frame").alias("frame_id"), clock(F.col("start_ms")).alias("cover_start"), clock(F.col("end_ms")).alias("cover_end"), "image_path", F.coalesce(shaped, none).alias("regions"))
+    fields = ("frame_id", "cover_start", "cover_end", "image_path", "regions")
+    each = F.transform("frames", lambda f: F.struct(*[f[c].alias(c) for c in fields]))
+    about = F.struct(F.col("video").alias("source_path"), F.lit(mode.replace("-", "_")).alias("mode"), stem(F.col("video")).alias("title"))
+    whole = F.struct(F.lit("1").alias("schema_version"), F.lit(compiled_at).alias("compiled_at"), about.alias("media"), each.alias("frames"))
+    return _in_videos(rows, *fields).select("video", F.to_json(whole).alias("sidecar"))
+
+
+#: Front matter of a compiled note, after its source and before its lists.
+NOTE_TAGS = ("source", VISUAL, "media-compiled")
+NOTE_LISTS = ("see_also", "part_of", "depends_on", "supports", "contradicts")
+
 
-    A video has at most ``MAX_FRAMES`` frames, so a row stays small.
+def compiled_notes(frames: DataFrame, regions: DataFrame, compiled_on: str) -> DataFrame:
+    """``(video, rel_path, text)``: the note of each compiled video.
+
+    It records what each frame says, then, as an appendix, each frame's image
+    and anchors with their marks.  Its front matter reads back through the
+    parser.
     """
-    own = regions.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "bbox", "text", "review"))).alias("rs"))
-    shaped = F.transform(F.coalesce("rs", F.array().cast("array<struct<region_id:string,bbox:array<double>,text:string,review:string>>")), lambda r, i: F.struct(r["region_id"].alias("region_id"), r["bbox"].alias("bbox"), r["text"].alias("text"), (i + 1).alias("order"), r["review"].alias("review")))
-    rows = frames.join(own, "frame_id", "left").select("video", "title", F.struct("cover_start", "frame_id", "cover_end", "image_path", shaped.alias("regions")).alias("f"))
-    videos = rows.groupBy("video").agg(F.max("title").alias("title"), F.array_sort(F.collect_list("f")).alias("fs"))
-    frame = F.transform("fs", lambda f: F.struct(f["frame_id"].alias("frame_id"), f["cover_start"].alias("cover_start"), f["cover_end"].alias("cover_end"), f["image_path"].alias("image_path"), f["regions"].alias("regions")))
-    media = F.struct(F.col("video").alias("source_path"), F.lit(mode).alias("mode"), F.coalesce("title", F.lit("")).alias("title"))
-    return videos.select("video", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(compiled_at).alias("compiled_at"), media.alias("media"), frame.alias("frames"))).alias("sidecar"))
+    noted = anchors(frames, regions)
+    said = regions.groupBy("video", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("region_id", "text"))), lambda r: r["text"]).alias("texts"))
+    rows = _in_frames(frames, noted.withColumn("n", F.substring("anchor", 2, 20).cast("bigint")), "n", "anchor", "text", "review").join(said, ["video", "frame"], "left")
+    rows = _in_videos(rows.withColumn("own", F.coalesce("texts", F.transform("items", lambda a: a["text"]))), "start_ms", "end_ms", "image_path", "items", "own", "texts")
+    samples = F.concat(F.array(stem(F.col("video"))), F.flatten(F.transform("frames", lambda f: F.coalesce(f["texts"], F.array().cast("array<string>")))))
+    chinese = has_cjk(F.array_join(samples, "\n"))
+    day = F.lit(compiled_on).cast("date")
+    head = F.concat(
+        F.lit("---\ntype: source\nstatus: draft\naliases: []\nsource_refs:\n  - "),
+        "video",
+        F.lit("\ntags:\n" + "".join(f"  - {t}\n" for t in NOTE_TAGS) + "confidence: 0.55\nupdated_at: "),
+        day.cast("string"),
+        F.lit("\nreview_after: "),
+        F.date_add(day, 30).cast("string"),
+        F.lit("\n" + "".join(f"{c}: []\n" for c in NOTE_LISTS) + "source_kind: extracted\ntraceability_level: anchor\n---\n\n## "),
+    )
+
+    def line(a: Column) -> Column:
+        return F.concat(F.lit("\n- ["), a["anchor"], F.lit("] "), a["text"])
+
+    def record(f: Column) -> Column:
+        top = F.concat(F.format_string("\n\n### E%02d | ", f["frame"]), keywords(f["own"], F.when(chinese, "zh").otherwise("en")), F.lit("\nTime: "), time_span(f["start_ms"], f["end_ms"]))
+        return F.concat(top, F.array_join(F.transform(f["items"], line), ""))
+
+    def appendix(f: Column) -> Column:
+        top = F.concat(F.format_string("\n\n### Frame %02d\nCovers: ", f["frame"]), time_span(f["start_ms"], f["end_ms"]), F.lit("\nImage: `"), f["image_path"], F.format_string("`\n![Frame %02d](", f["frame"]), f["image_path"], F.lit(")"))
+        marked = F.transform(f["items"], lambda a: F.concat(line(a), F.when(a["review"] != "", F.concat(F.lit("\n  Review: "), a["review"])).otherwise("")))
+        return F.concat(top, F.array_join(marked, ""))
+
+    text = F.concat(
+        head,
+        F.when(chinese, "内容记录").otherwise("Content Records"),
+        F.array_join(F.transform("frames", record), ""),
+        F.lit("\n\n## "),
+        F.when(chinese, "锚点附录").otherwise("Anchor Appendix"),
+        F.array_join(F.transform("frames", appendix), ""),
+        F.lit("\n"),
+    )
+    return rows.select("video", note_path(F.col("video")).alias("rel_path"), text.alias("text"))
 
 
 def number_anchors(counts: DataFrame) -> DataFrame:
@@ -260,3 +358,13 @@ def number_anchors(counts: DataFrame) -> DataFrame:
 def clock(ms: Column) -> Column:
     """Milliseconds as ``HH:MM:SS.mmm``."""
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000).cast("bigint"), F.floor(ms / 60000).cast("bigint") % 60, F.floor(ms / 1000).cast("bigint") % 60, ms % 1000)
+
+
+def time_token(ms: Column) -> Column:
+    """Milliseconds as ``HH-MM-SS-mmm``, for file names."""
+    return F.translate(clock(ms), ":.", "--")
+
+
+def time_span(start: Column, end: Column) -> Column:
+    """A stretch of time, or its one point."""
+    return F.when(start == end, clock(start)).otherwise(F.concat(clock(start), F.lit("-"), clock(end)))

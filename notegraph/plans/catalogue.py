@@ -16,9 +16,10 @@ from notegraph.functions import parsing as P
 from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
 from notegraph.operators import graph, lint, lookup, media, status
-from notegraph.plans.bridge import vault
+from notegraph.plans.bridge import updated_vault, vault
 from notegraph.plans.tables import shared_folder
 from notegraph.sources import export, notes
+from notegraph.streaming import changes
 
 AS_OF = "2024-01-15"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +162,21 @@ def resolve_references(spark, sf_dir):
     return vault(spark, sf_dir).refs.select("rel_path", "field", "ref", "target")
 
 
+@query("incremental_edges", ORACLES["build_edges"])
+def incremental_edges(spark, sf_dir):
+    return updated_vault(spark, sf_dir).edges
+
+
+@query("incremental_references", ORACLES["resolve_references"])
+def incremental_references(spark, sf_dir):
+    return updated_vault(spark, sf_dir).refs.select("rel_path", "field", "ref", "target")
+
+
+@query("incremental_aliases", ORACLES["alias_ambiguity"])
+def incremental_aliases(spark, sf_dir):
+    return updated_vault(spark, sf_dir).aliases.where("target is null").select("key", "n_owners")
+
+
 IMPACT = """, claims as (select target, source path from edges where kind = 'source_ref' and source in (select id from ord) union select id, id from ord),
 wikis as (select distinct claims.target, source path from claims join edges on edges.target = claims.path and source in (select id from cus) union select id, id from cus),
 idx as (select distinct wikis.target, edges.target path from wikis join edges on source = wikis.path and edges.target in (select id from nodes where type = 'index') union select id, id from nodes where type = 'index'),
@@ -362,6 +378,21 @@ def snapshot_changes_legacy(spark, sf_dir):
     return status.changes(*_snapshots(spark, sf_dir, False))
 
 
+@query(
+    "stream_role_changes",
+    "with t as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) before from conversations) select 'c/' || conv_id rel_path, turn, sha256(role) sha256 from t where before is distinct from role",
+)
+def stream_role_changes(spark, sf_dir):
+    """A stream of texts by path, read to its end: a text counts whenever it follows another."""
+    turns = _read(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(turns.schema).parquet(f"{sf_dir}/conversations.parque*")
+    texts = stream.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("rel_path"), F.col("role").alias("text"), F.timestamp_seconds("turn").alias("seen"))
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    told = changes.content_changes(texts).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    told.awaitTermination()
+    return spark.read.schema("rel_path string, sha256 string, seen timestamp").parquet(f"{root}/out").select("rel_path", F.unix_seconds("seen").alias("turn"), "sha256")
+
+
 PROTECTED = "('wikilink', 'part_of', 'claim_ref', 'summary_claim_ref', 'conflict_ref', 'contradicts')"
 FIELD = "case kind when 'wikilink' then 'wikilinks' when 'claim_ref' then 'claim_refs' when 'summary_claim_ref' then 'summary_claim_refs' when 'conflict_ref' then 'conflict_refs' else kind end"
 
@@ -759,3 +790,54 @@ def scope_report_seeds(spark, sf_dir):
     v = vault(spark, sf_dir)
     listed = notes.unticked(spark.createDataFrame([("- [ ] [[c2]]\n- [ ] `s1`\n- [ ] lost\n",)], "text string"))
     return graph.scope_report(listed, v.near, v.nodes, v.aliases).where("part is null or part = 'seed'").drop("type")
+
+
+def _compiled(spark, sf_dir):
+    """Conversations as videos, their turns as frames; a third has no text, a part of it failed."""
+    turns = _read(spark, sf_dir, "conversations").select(F.format_string("raw/inbox/video-visual/talk %d.mp4", "conv_id").alias("video"), "turn", F.trim(F.left(F.translate("text", "\n\r\t", "   "), F.lit(50))).alias("text"))
+    start = (F.col("turn") * 1500).alias("start_ms")
+    frames = media.frame_records(turns.select("video", start, (F.col("turn") * 1500 + F.col("turn") % 2 * 700).alias("end_ms"), F.when(F.col("turn") % 6 == 5, "OCR failed: no text").alias("error")))
+    own = turns.where("turn % 3 <> 2").select("video", (F.col("turn") + 1).cast("int").alias("frame"), F.posexplode(F.array(F.col("text"), F.reverse("text"))).alias("i", "text")).where("i = 0 or frame % 2 = 0")
+    regions = own.select("video", "frame", F.format_string("r%02d", F.col("i") + 1).alias("region_id"), F.array(F.lit(0.0), F.col("i") * 0.5, F.lit(1.0), F.lit(1.0)).alias("bbox"), "text", F.when(F.col("frame") % 4 == 0, "ocr_unclear").alias("review"))
+    return frames, regions
+
+
+#: The turns of a conversation are numbered from 0 without gaps.
+COMPILED = """with t as (select 'raw/inbox/video-visual/talk ' || conv_id || '.mp4' video, 'talk ' || conv_id title, turn, turn + 1 frame, trim(left(translate(text, chr(10) || chr(13) || chr(9), '   '), 50)) as text, case when turn % 6 = 5 then 'OCR failed: no text' else '' end error,
+  '00:' || lpad(cast(turn * 1500 // 60000 as varchar), 2, '0') || ':' || lpad(cast(turn * 1500 // 1000 % 60 as varchar), 2, '0') || '.' || lpad(cast(turn * 1500 % 1000 as varchar), 3, '0') a, turn * 1500 + turn % 2 * 700 e from conversations),
+f as (select *, '00:' || lpad(cast(e // 60000 as varchar), 2, '0') || ':' || lpad(cast(e // 1000 % 60 as varchar), 2, '0') || '.' || lpad(cast(e % 1000 as varchar), 3, '0') b, 'raw/assets/video-visual/' || title || '/frame-' || lpad(cast(frame as varchar), 4, '0') || '-' || translate(a, ':.', '--') || '.png' image from t),
+r as (select video, frame, 'r01' region_id, text, 0.0 y, case when frame % 4 = 0 then 'ocr_unclear' else '' end review from t where turn % 3 <> 2 union all select video, frame, 'r02', reverse(text), 0.5, case when frame % 4 = 0 then 'ocr_unclear' else '' end from t where turn % 3 <> 2 and frame % 2 = 0),
+anchored as (select f.video, f.frame, row_number() over (partition by f.video order by f.frame, region_id) n, case when region_id is not null then r.text when error <> '' then error else '未识别到明显文字' end as text,
+  case when region_id is not null then review when error <> '' then 'ocr_unclear' else 'layout_unclear' end review, coalesce(region_id, '') region_id from f left join r using (video, frame)),
+"""
+
+
+@query("media_anchors", COMPILED + "done as (select 1) select video, frame, 'A' || case when n < 10 then '0' else '' end || n anchor, text, review, region_id region_ids from anchored")
+def media_anchors(spark, sf_dir):
+    return media.anchors(*_compiled(spark, sf_dir)).withColumn("region_ids", F.array_join("region_ids", ","))
+
+
+@query(
+    "media_sidecars",
+    COMPILED
+    + """rs as (select video, frame, string_agg('{"region_id":"' || region_id || '","bbox":[0.0,' || y || ',1.0,1.0],"text":' || to_json(text) || ',"order":' || case y when 0.0 then 1 else 2 end || case when review <> '' then ',"review":"' || review || '"' else '' end || '}', ',' order by region_id) u from r group by video, frame),
+fs as (select video, title, string_agg('{"frame_id":"frame-' || lpad(cast(frame as varchar), 4, '0') || '","cover_start":"' || a || '","cover_end":"' || b || '","image_path":"' || image || '","regions":[' || coalesce(u, '') || ']}', ',' order by frame) u from f left join rs using (video, frame) group by video, title)
+select video, '{"schema_version":"1","compiled_at":"2024-01-15T00:00:00Z","media":{"source_path":"' || video || '","mode":"video_visual","title":"' || title || '"},"frames":[' || u || ']}' sidecar from fs""",
+)
+def media_sidecars(spark, sf_dir):
+    return media.sidecar(*_compiled(spark, sf_dir), media.VISUAL, f"{AS_OF}T00:00:00Z")
+
+
+@query(
+    "media_notes",
+    COMPILED
+    + """lines as (select video, frame, string_agg('- [A' || case when n < 10 then '0' else '' end || n || '] ' || text, chr(10) order by n) said, string_agg('- [A' || case when n < 10 then '0' else '' end || n || '] ' || text || case when review <> '' then chr(10) || '  Review: ' || review else '' end, chr(10) order by n) noted from anchored group by video, frame),
+spans as (select *, case when a = b then a else a || '-' || b end span from f join lines using (video, frame)),
+whole as (select video, title, string_agg('Time: ' || span || chr(10) || said, chr(10) order by frame) records, string_agg('### Frame ' || case when frame < 10 then '0' else '' end || frame || chr(10) || 'Covers: ' || span || chr(10) || 'Image: `' || image || '`' || chr(10) || '![Frame ' || case when frame < 10 then '0' else '' end || frame || '](' || image || ')' || chr(10) || noted, chr(10) || chr(10) order by frame) appendix from spans group by video, title)
+select 'raw/compiled/visual/' || title || '（视觉编译）.md' rel_path, video source_refs, 'source,video-visual,media-compiled' tags, cast(0.55 as double) confidence, '2024-02-14' review_after, records, appendix from whole""",
+)
+def media_notes(spark, sf_dir):
+    """Rendered notes, read back by the parser."""
+    made = notes.parse(media.compiled_notes(*_compiled(spark, sf_dir), AS_OF).select("rel_path", "text"))
+    records = F.regexp_replace(P.section(F.col("body"), "Content Records"), r"(?:\n\n|^)### E[0-9]+ \| [^\n]*", "")
+    return made.select("rel_path", F.array_join("source_refs", ",").alias("source_refs"), F.array_join("tags", ",").alias("tags"), "confidence", "review_after", F.ltrim(records, F.lit("\n")).alias("records"), P.section(F.col("body"), "Anchor Appendix").alias("appendix"))

@@ -76,14 +76,13 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads the named files, a batch of names at a time."""
+    """Reads the named files; one file's content is held at a time."""
     for batch in batches:
-        content = []
-        for uri in batch.column(0).to_pylist():
+        for i, uri in enumerate(batch.column(0).to_pylist()):
             store, path = _opened(uri)
             with store.open_input_stream(path) as f:
-                content.append(f.read())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], names=["path", "modificationTime", "length", "content"])
+                content = pa.array([f.read()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], names=["path", "modificationTime", "length", "content"])
 
 
 def snapshot(files: DataFrame, hashed: bool = True) -> DataFrame:

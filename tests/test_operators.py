@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from notegraph.operators import graph, lint, lookup, media, status
 from notegraph.plans.bridge import Vault
+from notegraph.plans.tables import Keeper
 from notegraph.sources import export
 from notegraph.sources.notes import parse
 from notegraph.streaming import changes
@@ -11,8 +12,13 @@ from notegraph.streaming import changes
 CLAIM = "type: claim\nstatus: draft\nclaim_status: {state}\nconfidence: 0.5\n{more}\n"
 
 
+_MADE = {}
+
+
 def vault_of(spark, files):
-    return Vault(parse(spark.createDataFrame([(k, f"---\n{v}---\nbody of {k}\n") for k, v in files.items()], "rel_path string, text string")))
+    if id(files) not in _MADE:
+        _MADE[id(files)] = Vault(parse(spark.createDataFrame([(k, f"---\n{v}---\nbody of {k}\n") for k, v in files.items()], "rel_path string, text string")), Keeper(spark))
+    return _MADE[id(files)]
 
 
 FILES = {
@@ -103,13 +109,30 @@ def test_names_of_compiled_media(spark):
     path = "raw/inbox/video-visual/a: b/clip? one.v2.mp4"
     row = spark.createDataFrame([(path,)], "p string").select(media.compile_mode(F.col("p")).alias("m"), media.note_path(F.col("p")).alias("n"), media.regions_path(F.col("p")).alias("r")).first()
     assert tuple(row) == ("video-visual", "raw/compiled/visual/a- b/clip- one.v2（视觉编译）.md", "raw/assets/video-visual/a- b/clip- one.v2/ocr_regions.json")
-    frames = spark.createDataFrame([("v", "f1", 0.0, 1.0, "a.png", "x"), ("v", "f2", 2.0, 2.0, "b.png", None)], "video string, frame_id string, cover_start double, cover_end double, image_path string, title string")
-    regions = spark.createDataFrame([("f1", "r01", "你好", [0.0, 0.0, 1.0, 1.0], None), ("f1", "r02", "b", [0.0, 0.0, 1.0, 1.0], "ocr_unclear")], "frame_id string, region_id string, text string, bbox array<double>, review string")
+
+
+def test_compiled_media_with_all_kinds_of_frames(spark):
+    """A frame with regions, an empty and a failed one; the note reads back."""
     import json
 
+    video = "raw/inbox/video-visual/talks/clip one.mp4"
+    frames = media.frame_records(spark.createDataFrame([(video, 12500, 12500, "OCR failed: x"), (video, 0, 1000, None), (video, 3_661_001, 3_662_000, "")], "video string, start_ms bigint, end_ms bigint, error string"))
+    regions = spark.createDataFrame([(video, 1, "r01", [0.0, 0.0, 1.0, 1.0], "你好", None), (video, 1, "r02", [0.0, 0.5, 1.0, 1.0], "b", "ocr_unclear")], "video string, frame int, region_id string, bbox array<double>, text string, review string")
+    got = [(r.frame, r.anchor, r.text, r.review, r.region_ids) for r in media.anchors(frames, regions).orderBy("anchor").collect()]
+    assert got == [(1, "A01", "你好", "", ["r01"]), (1, "A02", "b", "ocr_unclear", ["r02"]), (2, "A03", "OCR failed: x", "ocr_unclear", []), (3, "A04", "未识别到明显文字", "layout_unclear", [])]
     doc = json.loads(media.sidecar(frames, regions, "video-visual", "2024-01-01T00:00:00Z").first().sidecar)
-    assert [f["frame_id"] for f in doc["frames"]] == ["f1", "f2"] and doc["frames"][1]["regions"] == [] and "review" not in doc["frames"][0]["regions"][0]
-    assert doc["frames"][0]["regions"][1] == {"region_id": "r02", "bbox": [0.0, 0.0, 1.0, 1.0], "text": "b", "order": 2, "review": "ocr_unclear"}
+    assert doc["schema_version"] == "1" and doc["media"] == {"source_path": video, "mode": "video_visual", "title": "clip one"}
+    assert [(f["frame_id"], f["cover_start"], f["cover_end"]) for f in doc["frames"]] == [("frame-0001", "00:00:00.000", "00:00:01.000"), ("frame-0002", "00:00:12.500", "00:00:12.500"), ("frame-0003", "01:01:01.001", "01:01:02.000")]
+    assert doc["frames"][2]["image_path"] == "raw/assets/video-visual/talks/clip one/frame-0003-01-01-01-001.png" and doc["frames"][2]["regions"] == []
+    assert doc["frames"][0]["regions"] == [{"region_id": "r01", "bbox": [0.0, 0.0, 1.0, 1.0], "text": "你好", "order": 1}, {"region_id": "r02", "bbox": [0.0, 0.5, 1.0, 1.0], "text": "b", "order": 2, "review": "ocr_unclear"}]
+    made = media.compiled_notes(frames, regions, "2024-01-02")
+    (row,) = made.collect()
+    assert row.rel_path == "raw/compiled/visual/talks/clip one（视觉编译）.md"
+    assert "## 内容记录\n\n### E01 | 你好 / b\nTime: 00:00:00.000-00:00:01.000\n- [A01] 你好\n- [A02] b\n\n### E02 | OCR failed: x\nTime: 00:00:12.500\n- [A03] OCR failed: x\n" in row.text
+    assert "\n## 锚点附录\n\n### Frame 01\nCovers: 00:00:00.000-00:00:01.000\nImage: `raw/assets/video-visual/talks/clip one/frame-0001-00-00-00-000.png`\n![Frame 01](raw/assets/video-visual/talks/clip one/frame-0001-00-00-00-000.png)\n- [A01] 你好\n- [A02] b\n  Review: ocr_unclear\n" in row.text
+    assert row.text.endswith("- [A04] 未识别到明显文字\n  Review: layout_unclear\n")
+    (note,) = parse(made.select(F.lit("知识簇/v.md").alias("rel_path"), "text")).collect()
+    assert (note.note_type, note.status, note.source_refs, note.tags, note.confidence, note.updated_at, note.review_after) == ("source", "draft", [video], ["source", "video-visual", "media-compiled"], 0.55, "2024-01-02", "2024-02-01")
 
 
 def test_export_and_baselines(spark, tmp_path):
@@ -213,7 +236,7 @@ def test_files_to_changes_and_unlinked_notes(spark, tmp_path):
         (vault / name).write_text(text)
     state = str(tmp_path / "state")
     export.snapshot_json(N.snapshot(N.read_files(spark, str(vault)))).select("line").write.text(state)
-    v = Vault(N.parse(N.texts_of(N.read_files(spark, str(vault)))))
+    v = Vault(N.parse(N.texts_of(N.read_files(spark, str(vault)))), Keeper(spark))
     links = str(tmp_path / "links")
     export.manifest_json(v.notes, v.refs).select("line").write.text(links)
     (vault / "知识簇/A/x.md").write_text("see [[z]]")
@@ -222,7 +245,7 @@ def test_files_to_changes_and_unlinked_notes(spark, tmp_path):
     files = N.read_files(spark, str(vault))
     kind, rows = export.tracked_changes(spark, N.snapshot(files), state)
     assert kind == "present" and {r.path: r.change for r in rows.collect()} == {"知识簇/A/x.md": "modified", "知识簇/A/y.md": "removed", "知识簇/A/z.md": "added"}
-    w = Vault(N.parse(N.texts_of(files)))
+    w = Vault(N.parse(N.texts_of(files)), Keeper(spark))
     found = lint.protected(export.read_manifest(spark, links), w.refs, w.notes)
     assert {(r.rel_path, r.rule) for r in found.collect()} == {("知识簇/A/x.md", "protected_link_lost"), ("知识簇/A/y.md", "protected_note_missing")}
 
@@ -271,8 +294,6 @@ def test_hubs_in_blocks(spark):
 
 def test_frontier_joins_move_no_edges(spark):
     """Bucketed edges stand still: the plan exchanges the frontier alone."""
-    from notegraph.plans.tables import Keeper
-
     v = vault_of(spark, FILES)
     near = graph.Adjacency(v.edges, v.nodes, Keeper(spark))
     saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -285,3 +306,40 @@ def test_frontier_joins_move_no_edges(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "other_type" in line)
     assert "Bucketed: true" in scan
+
+
+def test_updates_against_rebuilding(spark):
+    """Random vaults and change sets: keys gain and lose owners, ids come and go."""
+    import random
+
+    rng = random.Random(7)
+    names = ["a", "b", "c", "d", "e"]
+
+    def note():
+        links = " ".join(f"[[{rng.choice(['', './', 'K/'])}{rng.choice(names)}{rng.choice(['', '.md', '|x', '#h'])}]]" for _ in range(3))
+        return f"---\ntype: wiki\ntitle: {rng.choice(names)}\naliases: [{rng.choice(names)}{rng.choice(['', '1'])}]\nsee_also: [{rng.choice(names)}1]\n---\n{links}\n"
+
+    def rows(files):
+        return spark.createDataFrame(list(files.items()), "rel_path string, text string")
+
+    for _ in range(2):
+        paths = [f"知识簇/{f}/{n}.md" for f in ("K", "L") for n in names] + ["raw/a.md"]
+        before = {p: note() for p in rng.sample(paths, 8)}
+        now = {p: t for p, t in before.items() if rng.random() > 0.25} | {p: note() for p in rng.sample(paths, 3)}
+        change = status.changes(*[rows(x).selectExpr("rel_path path", "0 mtime", "0 size", "sha2(text, 256) sha256") for x in (before, now)])
+        keep = Keeper(spark)
+        got, want = Vault(parse(keep(rows(before))), keep).updated(change, rows(now)), Vault(parse(keep(rows(now))), keep)
+        for table in ("notes", "nodes", "aliases", "refs", "edges"):
+            x, y = getattr(got, table), getattr(want, table)
+            assert sorted(map(repr, x.select(*y.columns).collect())) == sorted(map(repr, y.collect())), table
+
+
+def test_a_text_that_comes_back(spark, tmp_path):
+    """A, B, A are three changes, also where each comes with its own micro-batch; late rows tell nothing."""
+    rows = [("p", "A", 1), ("p", "B", 2), ("p", "A", 3), ("p", "A", 4), ("q", None, 1), ("q", "", 2), ("p", "C", None), ("p", "Z", 2)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "rel_path string, text string, at int").select("rel_path", "text", F.timestamp_seconds("at").alias("seen")).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
+    source = spark.readStream.schema("rel_path string, text string, seen timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b*"))
+    q = changes.content_changes(source).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert sorted((r.rel_path, r.seen.second) for r in spark.table("told").collect()) == [("p", 1), ("p", 2), ("p", 3), ("q", 1)]
