@@ -16,7 +16,7 @@ from notegraph.functions import parsing as P
 from notegraph.functions import refs as R
 from notegraph.functions import scoring as S
 from notegraph.operators import graph, lint, lookup, media, status
-from notegraph.plans.bridge import updated_vault, vault
+from notegraph.plans.bridge import texts, updated_vault, vault
 from notegraph.plans.tables import shared_folder
 from notegraph.sources import export, notes
 from notegraph.streaming import changes
@@ -466,6 +466,21 @@ def parse_front_matter(spark, sf_dir):
     return wikis.select("rel_path", "title", F.array_join("tags", ",").alias("tags"), "confidence", "review_after", F.array_join("part_of", ",").alias("part_of"))
 
 
+@query(
+    "vault_files",
+    GRAPH
+    + """, written as (select id, r_name title, '' part_of from reg union all select id, n_name, '知识簇/' || r_name || '/_索引' from nat union all select id, 'supplier source ' || s, '' from sup)
+select id rel_path, title, type note_type, part_of from written join nodes using (id)""",
+)
+def vault_files(spark, sf_dir):
+    """Index and source notes as files, whose names Spark's readers would pass over in part, and read again."""
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    own = texts(spark, sf_dir).where("endswith(rel_path, '/_索引.md') or startswith(rel_path, '_graphify/')")
+    notes.write_files(own, root).write.format("noop").mode("overwrite").save()
+    read = notes.parse(notes.texts_of(notes.read_files(spark, root)))
+    return read.select("rel_path", "title", "note_type", F.array_join("part_of", ",").alias("part_of"))
+
+
 @query("parse_wikilinks", "select page_id, trim(split_part(url, '#', 1)) target from pages where trim(split_part(url, '#', 1)) <> ''")
 def parse_wikilinks(spark, sf_dir):
     body = F.concat(F.lit("see [["), F.col("url"), F.lit("|page]] and [[|none]]"))

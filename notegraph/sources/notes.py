@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -20,59 +21,89 @@ ROOTS = ("知识簇", "_graphify/sources", "_graphify/indexes")
 #: Where a vault keeps files.
 FOLDERS = ("raw", *ROOTS)
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
-LISTED = "path string, is_folder boolean, length bigint, at double"
+LISTED = "path string, is_folder boolean, length bigint, at double, hidden boolean"
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """``(rel_path, size, modified, content)`` of a vault's files.
 
-    Spark's readers pass over names that begin with an underscore or a dot,
-    so such files, and all below such folders, are found by listing the
-    folders, one level after the other, and are fetched by name.  The content
+    Spark's readers pass over names that begin with an underscore or a dot, so
+    such files, and all below such folders, are found by listing, folder by
+    folder, and are fetched one at a time.  A root that only Spark's file
+    systems know (a mount table) is resolved to where it lies.  The content
     column is only read where a later step selects it.
     """
     jvm, root = spark._jvm, root.rstrip("/")
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.makeQualified(path(root)).toString()
-    folders = [f"{base}/{f}" for f in FOLDERS if fs.exists(path(f"{base}/{f}"))]
-    out = _hidden(spark, folders).mapInArrow(_fetch, FILES)
-    if folders:
-        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
-        out = out.unionByName(seen.select("path", "modificationTime", "length", "content"))
-    # paths come with or without an authority: what counts follows the root
-    plain = F.lit(base.split(":", 1)[-1].lstrip("/") + "/")
-    rel = F.substring("path", F.instr("path", plain) + F.length(plain), F.length("path"))
-    return out.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    folders = [f for f in FOLDERS if fs.exists(path(f"{base}/{f}"))]
+    if not folders:
+        return spark.createDataFrame([], "rel_path string, size bigint, modified timestamp, content binary")
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{base}/{f}" for f in folders])
+    parts = [(base, seen), (fs.resolvePath(path(root)).toString(), None)]
+    out = None
+    for place, table in parts:
+        if table is None:
+            table = _hidden(spark, [f"{place}/{f}" for f in folders])
+        # paths come with or without an authority: what counts follows the root
+        plain = F.lit(place.split(":", 1)[-1].lstrip("/") + "/")
+        rel = F.substring("path", F.instr("path", plain) + F.length(plain), F.length("path"))
+        own = table.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _hidden(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``(path, modificationTime, length)`` of files that Spark's readers pass over."""
-    level = spark.createDataFrame([(f, True, False) for f in folders], "path string, is_folder boolean, hidden boolean")
-    files = level.limit(0).select("path", F.lit(0.0).alias("at"), F.lit(0).cast("bigint").alias("length"))
-    while not level.isEmpty():
-        below = level.select("path", "hidden").repartition("path").mapInArrow(_list, f"{LISTED}, hidden boolean").persist()
-        files = files.union(below.where("hidden and not is_folder").select("path", "at", "length"))
-        level = below.where("is_folder")
-    return files.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length")
+    """``(path, modificationTime, length, content)`` of files that Spark's readers pass over.
+
+    The folders in the roots are dealt to tasks, which walk what is below
+    them; the files found are dealt again, so that no task fetches many more
+    than another.
+    """
+    tasks = spark.sparkContext.defaultParallelism * 4
+    roots = spark.createDataFrame([(f, False) for f in folders], "path string, hidden boolean")
+    top = roots.repartition(len(folders), "path").mapInArrow(_list, LISTED)
+    below = top.where("is_folder").select("path", "hidden").repartition(tasks, "path").mapInArrow(_walk, LISTED)
+    files = top.unionByName(below).where("hidden and not is_folder")
+    return files.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length").repartition(tasks, "path").mapInArrow(_fetch, FILES)
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/"))
 
 
+def _entries(uri: str, hidden: bool) -> pa.RecordBatch:
+    """What stands in a folder; below a hidden folder all is hidden."""
+    store, folder = _opened(uri)
+    found = store.get_file_info(fs.FileSelector(folder))
+    cols = (
+        [f"{uri}/{x.base_name}" for x in found],
+        [x.type == fs.FileType.Directory for x in found],
+        [x.size or 0 for x in found],
+        [x.mtime_ns / 1e9 if x.mtime_ns else 0.0 for x in found],
+        [hidden or x.base_name[0] in "_." for x in found],
+    )
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "is_folder", "length", "at", "hidden"])
+
+
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands in each folder ``(path, hidden)``; below a hidden folder all is hidden."""
+    """The entries of each folder ``(path, hidden)``."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
         for uri, hidden in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
-            store, folder = _opened(uri)
-            for x in store.get_file_info(fs.FileSelector(folder)):
-                row = (f"{uri}/{x.base_name}", x.type == fs.FileType.Directory, x.size or 0, x.mtime_ns / 1e9 if x.mtime_ns else 0.0, hidden or x.base_name[0] in "_.")
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "is_folder", "length", "at", "hidden"])
+            yield _entries(uri, hidden)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each folder and of all folders below it, a folder at a time."""
+    for batch in batches:
+        open_folders = list(zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True))
+        while open_folders:
+            found = _entries(*open_folders.pop())
+            inner = found.filter(found.column("is_folder"))
+            open_folders += zip(inner.column("path").to_pylist(), inner.column("hidden").to_pylist(), strict=True)
+            yield found
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +116,32 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], names=["path", "modificationTime", "length", "content"])
 
 
+def write_files(texts: DataFrame, root: str) -> DataFrame:
+    """Writes each ``(rel_path, text)`` as a file below ``root``; ``(rel_path, size)`` of what was written.
+
+    A file gets its name when it is complete, so a task that is run again
+    leaves whole files.
+    """
+    spark = texts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, to = _opened(f"{place}/{rel}")
+                store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                data, draft = (text or "").encode(), f"{to}.{uuid.uuid4().hex}.draft"
+                with store.open_output_stream(draft) as f:
+                    f.write(data)
+                store.move(draft, to)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["rel_path", "size"])
+
+    return texts.select("rel_path", "text").mapInArrow(run, "rel_path string, size bigint")
+
+
 def snapshot(files: DataFrame, hashed: bool = True) -> DataFrame:
     """``(path, mtime, size, sha256)``, times in nanoseconds; the hash is null if not asked for."""
     digest = F.sha2(F.col("content"), 256) if hashed else F.lit(None).cast("string")

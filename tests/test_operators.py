@@ -196,6 +196,13 @@ def test_vault_files_with_any_name(spark, tmp_path):
         (tmp_path / p).write_text(f"---\ntitle: {p}\norigin: here\n---\nbody")
     files = N.read_files(spark, str(tmp_path))
     assert {r.rel_path for r in files.select("rel_path").collect()} == set(paths) - {"other/o.md"}
+    # a mount table, which only Spark's file systems know
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.box.link./in", f"file://{tmp_path}")
+    mounted = N.read_files(spark, "viewfs://box/in")
+    assert {(r.rel_path, bytes(r.content)) for r in mounted.collect()} == {(r.rel_path, bytes(r.content)) for r in files.collect()}
+    assert N.read_files(spark, str(tmp_path / "nothing")).count() == 0
+    assert {(r.rel_path, r.size) for r in N.write_files(spark.createDataFrame([("raw/é.md", "ü"), ("raw/_n/_x.md", None)], "rel_path string, text string"), str(tmp_path / "w")).collect()} == {("raw/é.md", 2), ("raw/_n/_x.md", 0)}
+    assert {(r.rel_path, bytes(r.content)) for r in N.read_files(spark, str(tmp_path / "w")).collect()} == {("raw/é.md", "ü".encode()), ("raw/_n/_x.md", b"")}
     got = {r.rel_path: (r.title, r.origin) for r in N.parse(N.texts_of(files)).collect()}
     assert set(got) == set(paths) - {"raw/assets/z.md", "raw/.DS_Store", "other/o.md"}
     assert got["知识簇/x/_claims/a.md"] == ("知识簇/x/_claims/a.md", "here") and got["raw/inbox/p.bin"] == ("p", "")
