@@ -43,3 +43,41 @@ def test_held_out_accuracy(spark):
     scored = secrets.scan(rows.where("held").withColumn("doc_id", F.lit(1)), trees, f=f)
     right, n = scored.where("size(found) > 0").agg(F.avg(((F.size("secrets") > 0) == (F.col("label") == 1)).cast("double")), F.count(F.lit(1))).first()
     assert n > 1000 and right > 0.95
+
+
+PROBES = {
+    1: ("postgres://admin:S3cr3tPassw0rd@host", "S3cr3tPassw0rd"),
+    2: ("so password=correcthorsebattery it is", "correcthorsebattery"),
+    3: ("la contraseña: girasol77 vale", "girasol77"),
+    4: ("use pwd=xK4t9 now", "xK4t9"),
+    5: ("post to https://hooks.slack.com/services/T0A1B2C3D/B9Z8Y7X6W/abcdEFGH1234ijklMNOP5678 daily", "services/T0A1B2C3D/B9Z8Y7X6W/abcdEFGH1234ijklMNOP5678"),
+    6: ("the secret key is qwzkfjtmpxvbnhrdlsgyceua today", "qwzkfjtmpxvbnhrdlsgyceua"),
+    7: ("token     =      9f8e7d6c5b4a39281706 end", "9f8e7d6c5b4a39281706"),
+}
+CLEAN = {11: "password: none", 12: "see http://cache:80/logo@2x", 13: "token = userProfileCache() is called", 14: "the password=<secret> is asked", 15: "a very straightforwardlyunderstandable word"}
+
+
+def test_secrets_of_every_form(docs_of):
+    rows = {r.doc_id: r for r in secrets.digest(docs_of([(i, t) for i, (t, _) in PROBES.items()] + list(CLEAN.items()))).collect()}
+    for i, (text, secret) in PROBES.items():
+        at = text.index(secret)
+        assert rows[i].spans == f"secret:{at}:{at + len(secret)}", (i, rows[i])
+    assert [i for i in CLEAN if rows[i].n_secrets] == []
+
+
+def test_candidates_against_plain_patterns(spark, docs_of):
+    """What the generators propose is what the same rules find one text at a time."""
+    import regex
+
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = data.union(docs_of([(i, t) for i, (t, _) in PROBES.items()]).select("doc_id", "text")).select("doc_id", "text", secrets.candidates(F.col("text")).alias("c")).collect()
+    for r in rows:
+        want = set()
+        for pattern, group in ((secrets.KEYED, 1), (secrets.IN_URL, 1), (secrets.OPAQUE, 0), (secrets.TOKEN, 0), (secrets.PEM, 0), (secrets.CUT_PEM, 0)):
+            want |= {m.span(group) for m in regex.finditer(pattern.replace("(?iu)", "(?i)"), r.text or "")}
+        assert {(x.start, x.end) for x in r.c} == want, r.doc_id
+
+
+def test_the_dictionary_is_the_corpus_own(docs_of):
+    known = secrets.dictionary(docs_of([(1, "Zymurgy zymurgy of it"), (2, None), (3, "zymurgy ale")]), secrets.Forest(words=1, least=2))
+    assert " zymurgy " in known and " ale " not in known and " password " in known
