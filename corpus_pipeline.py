@@ -41,8 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced."""
     forest = secrets.Forest()
-    trees = secrets.fit(secrets.labelled_findings(spark, forest.findings), forest)
-    return secrets.redact(docs, trees, f=forest)
+    known = secrets.dictionary(docs, forest)
+    trees = secrets.fit(secrets.labelled_findings(spark, forest.findings), forest, known)
+    return secrets.redact(docs, trees, f=forest, known_words=known)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
