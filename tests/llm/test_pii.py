@@ -75,3 +75,46 @@ def test_redact_keeps_columns(docs_of, spark):
     out = pii.redact(docs_of([(1, "é write a@b.cd or +1 (244) 555-4688."), (2, None), (3, "")]), model)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id: r.text for r in out.collect()} == {1: "é write <EMAIL> or <PHONE>.", 2: None, 3: ""}
+
+
+PROBES = [
+    ("write to " + "a" * 80 + " (at) mail.org soon", "email", "a" * 80 + " (at) mail.org"),
+    ("mail me: john dot smith at gmail dot com today", "email", "john dot smith at gmail dot com"),
+    ("contact x[at]y-z.co.uk now", "email", "x[at]y-z.co.uk"),
+    ("call me at 020 7946 0958 today", "phone", "020 7946 0958"),
+    ("tel. 06 12 34 56 78 merci", "phone", "06 12 34 56 78"),
+    ("her ssn is 123 45 6789 they say", "ssn", "123 45 6789"),
+]
+OTHERS = ["we look at home.page daily", "on 2024-01-15 it rained", "sizes 10 20 30 40 are sold", "order no. 499-555-6503", "ips 10.20.30.40", "so 1 2 3 at 4 5 6"]
+
+
+def test_wide_forms_are_found_and_lookalikes_left(docs_of):
+    rows = {r.doc_id: r for r in pii.digest(docs_of(list(enumerate([t for t, _, _ in PROBES] + OTHERS)))).collect()}
+    for i, (text, kind, hit) in enumerate(PROBES):
+        at = text.index(hit)
+        assert f"{kind}:{at}:{at + len(hit)}" in rows[i].spans.split(","), (text, rows[i].spans)
+    assert [OTHERS[i - len(PROBES)] for i in range(len(PROBES), len(PROBES) + len(OTHERS)) if rows[i].n_added] == []
+
+
+def test_candidates_against_plain_patterns(spark, docs_of):
+    import regex
+
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs_of(list(enumerate([t for t, _, _ in PROBES] + OTHERS + TEXTS))).select("doc_id", "text").union(data)
+    n = 0
+    for r in docs.select("text", pii.candidates(F.coalesce("text", F.lit(""))).alias("c")).collect():
+        want = [(kind, *m.span()) for kind, pattern, _ in pii.WIDER for m in regex.finditer(pattern, r.text or "") if kind != "phone" or 7 <= len(regex.sub("[^0-9]", "", m[0])) <= 12]
+        assert [(x.kind, x.start, x.end) for x in r.c] == want
+        n += len(want)
+    assert n > 20
+
+
+def test_thresholds_and_recall_on_held_out_findings(spark):
+    b = pii.Boost()
+    model = pii.fit(pii.labelled_findings(spark, b.findings), b)
+    assert set(model[1]) >= {"phone", "ssn", "iban", "email"} and len(set(model[1].values())) > 1
+    rows = pii.labelled_findings(spark, 3 * b.findings).where(F.substring("text", 18, 1) != " ").withColumn("i", F.monotonically_increasing_id()).where(f"i % 3 = 2")
+    found = pii.find(rows, model, b=b)
+    hit = F.exists("more", lambda x: x["kind"] == F.col("kind"))
+    recall, wrong = found.agg(F.avg(F.when(F.col("label") == 1, hit.cast("double"))), F.avg(F.when(F.col("label") == 0, (F.size("more") > 0).cast("double")))).first()
+    assert recall >= 0.9 and wrong <= 0.1, (recall, wrong, model[1])
