@@ -448,10 +448,10 @@ def export_parts(spark, sf_dir):
     return export.verify(spark, path).where("part not like '%.md'").drop("bytes")
 
 
-@query("parse_callouts", "select conv_id, turn, trim(text) as said from conversations where text not like '%' || chr(10) || '%'")
+@query("parse_callouts", "select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) as said from conversations")
 def parse_callouts(spark, sf_dir):
-    body = F.concat(F.lit("before\n> [!note] 快速把握\n> "), F.col("text"), F.lit("\n\nafter\n> not this"))
-    return _read(spark, sf_dir, "conversations").where(~F.col("text").contains("\n")).select("conv_id", "turn", P.callout(body, "快速把握").alias("said"))
+    body = F.concat(F.lit("before\n> [!note] 快速把握\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n\nafter\n> not this"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", P.callout(body, "快速把握").alias("said"))
 
 
 @query("dedupe_refs", "with w as (select doc_id, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) pos from documents), f as (select doc_id, word, min(pos) pos from w where word <> '' group by doc_id, word) select doc_id, count(*) n, md5(string_agg(word, ' ' order by pos)) words from f group by doc_id")
@@ -698,11 +698,11 @@ def region_filter(spark, sf_dir):
 
 @query(
     "bbox_normalize",
-    """with b as (select l_orderkey k, l_linenumber n, cast(l_quantity as int) q, l_suppkey % 900 + 2 s from lineitem where l_orderkey % 5 = 0)
+    """with b as (select l_orderkey k, l_linenumber n, cast(l_quantity as int) q, l_suppkey % 900 + 2 s from lineitem)
 select distinct k, n, q, s, case n % 4 when 0 then 0.0 else round(least(q, s) / 1000.0, 4) end x1, case n % 4 when 0 then 0.0 when 1 then round(q / 500.0, 4) when 2 then round(least(q, s) / 500.0, 4) else round(least(q, s) / 500.0, 4) end y1, n % 4 = 0 missing from b""",
 )
 def bbox_normalize(spark, sf_dir):
-    b = _read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), (F.col("l_suppkey") % 900 + 2).alias("s"))
+    b = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), (F.col("l_suppkey") % 900 + 2).alias("s"))
     shape = (
         F.when(F.col("n") % 4 == 0, F.lit('"nothing"'))
         .when(F.col("n") % 4 == 1, F.format_string('{"x1": %d, "y1": %d, "x2": %d, "y2": 400}', "q", "q", "s"))
