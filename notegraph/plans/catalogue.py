@@ -448,6 +448,36 @@ def export_parts(spark, sf_dir):
     return export.verify(spark, path).where("part not like '%.md'").drop("bytes")
 
 
+def _fixed(*lines: str) -> str:
+    return " union all ".join(f"select '{line}' as line" for line in lines)
+
+
+@query(
+    "summary_page",
+    EVERY
+    + f""", linked as (select path, count(*) degree from (select source path from edges union all select target from edges) t join nodes on path = id where type <> 'raw' group by path order by degree desc, path limit 10)
+{_fixed("# Graph Summary", "", f"Generated: {AS_OF}", "", "## Counts", "", "## Node Types", "", "## Statuses", "", "## Top Linked Notes", "", "## Health Signals")}
+union all select '- Nodes: ' || count(*) from nodes union all select '- Edges: ' || count(*) from edges
+union all select '- ' || type || ': ' || count(*) from nodes group by type union all select '- ' || status || ': ' || count(*) from nodes group by status
+union all select '- `' || path || '`: ' || degree from linked
+union all select '- Stale wiki notes: ' || count(*) from found where rule = 'review_due' union all select '- Orphan wiki notes: ' || count(*) from every where rule = 'orphan'""",
+)
+def summary_page(spark, sf_dir):
+    v = vault(spark, sf_dir)
+    return export.summary_page(v.notes, v.nodes, v.edges, AS_OF).select("line")
+
+
+@query(
+    "pending_page",
+    RAW_STATE
+    + f"""{_fixed("# Pending raw items", "", f"Generated: {AS_OF}", "", "## Summary", "", "## raw")}
+union all select '- Pending items: ' || count(*) from raws where state <> 'processed' union all select '- Processed raw refs: ' || count(*) from sup where s % 3 <> 0
+union all select '- [ ] `' || rel_path || '`' from raws where state <> 'processed'""",
+)
+def pending_page(spark, sf_dir):
+    return export.pending_page(vault(spark, sf_dir).notes, AS_OF).select("line")
+
+
 @query("parse_callouts", "select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) as said from conversations")
 def parse_callouts(spark, sf_dir):
     body = F.concat(F.lit("before\n> [!note] 快速把握\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n\nafter\n> not this"))
