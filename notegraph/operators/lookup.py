@@ -77,8 +77,8 @@ class Index:
 
     ``units`` are ``(unit, is_route, rel_path, note_type, section, stacks,
     low)``, ``postings`` ``(word, unit, is_route)``, ``grams`` ``(gram,
-    word)`` of distinct words, ``sizes`` ``(gram, n)``.  Postings are sorted
-    by word in ranges that split a word which very many units hold.
+    word)`` of distinct words, ``sizes`` ``(gram, n)``.  Postings stay where
+    their units are, so a word that very many units hold is in many files.
     """
 
     def __init__(self, notes: DataFrame, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist):
@@ -88,8 +88,7 @@ class Index:
         inside = units(notes).select(F.lit(False).alias("is_route"), "rel_path", "note_type", "section", stacks, F.lower("text").alias("low"))
         self.units = keep(about.unionByName(inside).select(F.monotonically_increasing_id().alias("unit"), "*"))
         words = F.array_distinct(F.flatten(F.transform(F.concat("stacks", F.array("low")), _words)))
-        held = self.units.select(F.explode(words).alias("word"), "unit", "is_route")
-        self.postings = keep(held.repartitionByRange("word", "unit").sortWithinPartitions("word", "unit"))
+        self.postings = keep(self.units.select(F.explode(words).alias("word"), "unit", "is_route"))
         one, three = F.lit(1), F.lit(3)
         self.grams = keep(self.postings.select("word").distinct().select(F.explode(_grams(F.col("word"), one, three)).alias("gram"), "word"))
         self.sizes = keep(self.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))

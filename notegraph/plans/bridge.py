@@ -149,7 +149,12 @@ _VAULTS: dict[tuple[str, str, str, int], Vault] = {}
 
 def vault(spark: SparkSession, sf_dir: str) -> Vault:
     """The tables' vault, one for each session and state of the folder."""
-    return _once(spark, sf_dir, "whole", lambda keep: Vault(parse(keep(texts(spark, sf_dir))), keep))
+    return _once(spark, sf_dir, "whole", lambda keep: Vault(parse(_dealt(keep(texts(spark, sf_dir)))), keep))
+
+
+def _dealt(table: DataFrame) -> DataFrame:
+    """A kept table's rows on all cores: notes take long to parse for their bytes."""
+    return table.repartition(4 * table.sparkSession.sparkContext.defaultParallelism)
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[Keeper], Vault]) -> Vault:
@@ -187,6 +192,6 @@ def updated_vault(spark: SparkSession, sf_dir: str) -> Vault:
     def make(keep: Keeper) -> Vault:
         now = keep(texts(spark, sf_dir))
         before = keep(earlier_texts(now, spark, sf_dir))
-        return Vault(parse(before), keep).updated(status.changes(snapshot(before), snapshot(now)), now)
+        return Vault(parse(_dealt(before)), keep).updated(status.changes(snapshot(before), snapshot(now)), now)
 
     return _once(spark, sf_dir, "updated", make)
