@@ -36,3 +36,26 @@ def test_one_or_no_domain_and_empty_tables(spark, docs_of):
     assert mixing.mix(docs_of([]), labelled, {"a": 0.5, "b": 0.5}).count() == 0
     clash = docs.withColumn("mix_rate", F.lit("x")).withColumn("posterior", F.lit("x"))
     assert mixing.mix(clash, labelled, {"a": 0.5, "b": 0.5}).where("posterior = 'x' and mix_rate = 1").count() == 4
+
+
+def test_rates_against_plain_projected_gradient(spark):
+    """The rates are those of numpy's projected gradient over all documents, and the targets are met."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = mixing.mix(docs, mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet")), mixing.TARGETS, carry=["doc_id"]).toPandas()
+    p, t = out[[f"mix_p_{d}" for d in sorted(mixing.TARGETS)]].to_numpy(), out["mix_tokens"].to_numpy(float)
+    assert np.abs(p.sum(axis=1) - 1).max() < 1e-9 and docs.count() == len(out)
+    m, total, have = mixing.Mixture(), t.sum(), p.T @ t
+    want = np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)]) * total
+    rate, step, last = np.ones(len(t)), m.step, np.inf
+    for _ in range(m.iterations):
+        miss = (p.T @ (t * rate) - want) / total
+        size = np.linalg.norm(miss)
+        if size < m.tolerance:
+            break
+        step, last = (step / 2 if size > last else step), size
+        rate = np.maximum(0, rate - p @ (step * miss * total / have))
+    assert np.abs(rate - out["mix_rate"].to_numpy()).max() < 1e-6
+    assert np.abs(p.T @ (t * rate) - want).max() / total < 0.01
