@@ -859,7 +859,7 @@ anchored as (select f.video, f.frame, row_number() over (partition by f.video or
 
 @query("media_anchors", COMPILED + "done as (select 1) select video, frame, 'A' || case when n < 10 then '0' else '' end || n anchor, text, review, region_id region_ids from anchored")
 def media_anchors(spark, sf_dir):
-    return media.anchors(*_compiled(spark, sf_dir)).withColumn("region_ids", F.array_join("region_ids", ","))
+    return media.anchors(*_compiled(spark, sf_dir)).withColumn("frame", F.col("frame").cast("bigint")).withColumn("region_ids", F.array_join("region_ids", ","))
 
 
 @query(
