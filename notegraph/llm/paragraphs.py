@@ -72,8 +72,8 @@ def split_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for doc_id, row_key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 at = 0
                 for place, line in enumerate((text or "").split("\n")):
-                    # a word has a character and a blank at least
-                    words = len(line.split()) if len(line) >= 2 * min_words - 1 else 0
+                    # a word has a character and a blank at least; bytes split at the six ASCII blanks
+                    words = len(line.encode().split()) if len(line) >= 2 * min_words - 1 else 0
                     if words >= min_words:
                         for c, x in zip(cols, (n, doc_id, row_key, place, at, at + len(line), words, line), strict=True):
                             c.append(x)

@@ -3,7 +3,7 @@ import re
 from itertools import combinations
 
 from notegraph.llm.minhash import MinMax, near_duplicates
-from notegraph.llm.paragraphs import remove_repeats, repeated_paragraphs
+from notegraph.llm.paragraphs import remove_repeats, repeated_paragraphs, split_paragraphs
 
 
 def shingles(text, k=5):
@@ -150,3 +150,10 @@ def test_runs_inside_and_across_lines(docs_of):
         if i != 10:
             assert (left[i] or "").split() == [x for k, x in enumerate(w) if k not in gone.get((i, t), set())], i
     assert left[10] == texts[10] and left[14] is None
+
+
+def test_other_blanks_part_no_words(docs_of):
+    """A line's words are counted as they are hashed: at the six ASCII blanks alone."""
+    line = "\u00a0".join(f"w{i}" for i in range(60))
+    docs = docs_of([(1, line), (2, "\x0b".join(f"w{i}" for i in range(60)))])
+    assert [(r.doc_id, r.n_words) for r in split_paragraphs(docs).collect()] == [(2, 60)]
