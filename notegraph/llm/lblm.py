@@ -5,23 +5,26 @@ inside its class from the class before: the context vector is ``c1 * r[w1] +
 c2 * r[w2]`` (elementwise), a class scores its inner product with it plus a
 bias, and so does a word among those of its class.  The most frequent words
 are classes of their own; the other listed words, by frequency, share classes
-of ``tail`` words; unlisted words share one class, inside which a word has its
-smoothed corpus frequency.
+of ``tail`` words.  All words beyond the list are dealt by hash to at most
+``buckets`` buckets, which are modelled as listed words are, so that the
+context counts for every word; inside its bucket a word has its smoothed
+corpus frequency, and one share is left for words that the corpus lacks.
 
 Parameters are fitted with noise-contrastive estimation over every training
 token, in ``rounds`` rounds that each take their own part of the texts.  A
 round's texts are dealt by hash to shards of about ``shard_tokens`` tokens;
 each shard runs minibatch steps from the last round's parameters, and the
-results are averaged (a word of a shared class over the shards that hold it).
+results are averaged (a word of a shared class over the shards that hold it), in a tree
+whose depth grows with the shards: no task adds up more than ``fan_in``.
 Shards depend on the texts alone, so scores don't change with the partitions,
 and a shard is as long at any size of the corpus.  The normaliser of every
 context is computed once with batched matrix products, so that the scores are
 true log-probabilities.
 
-Corpus counts are Spark aggregations.  The counts of at most ``head`` listed
-words (a fixed number; the least count comes from a histogram of counts)
-travel with the tasks; occurrences of all other words are joined with the
-count table by word.
+Corpus counts are Spark aggregations over every word.  The counts of at most
+``head`` listed words (a fixed number; the least count comes from a histogram
+of counts) and of the buckets travel with the tasks; occurrences of all other
+words are joined with the count table by word.
 
 Defined results: null or empty text has the end token only; a null
 ``doc_id`` counts as the empty text when documents are held out; repeated
@@ -42,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.llm.scratch import Scratch
-from notegraph.llm.shingles import lower, text_blocks, word_hashes
+from notegraph.llm.shingles import block_words, lower, text_blocks, word_hashes
 from notegraph.llm.text import ascii_lower, words
 
 END = ""
@@ -53,6 +56,7 @@ class LogBilinear:
     """Sizes and steps of the model; all are fixed, none grows with the data."""
 
     head: int = 200_000
+    buckets: int = 65_536
     classes: int = 1024
     dim: int = 16
     noise: int = 32
@@ -82,9 +86,10 @@ def token_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 class Lookup:
-    """Word hash to index of a fixed list, by open addressing."""
+    """Word hash to index of a fixed list, by open addressing, or to a bucket beyond it."""
 
-    def __init__(self, items: list[str]):
+    def __init__(self, items: list[str], buckets: int):
+        self.size, self.buckets = len(items), buckets
         # a list of words hashes as one text; END has no bytes and index 0
         _, _, h = word_hashes(np.frombuffer(" ".join(items).encode(), np.uint8))
         self.bits = max(4, int(2 * len(h)).bit_length())
@@ -111,12 +116,17 @@ class Lookup:
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def index(self, h: np.ndarray) -> np.ndarray:
+        """1 + i for the i-th word of the list; a bucket's index comes after all of those."""
+        found = self.find(h)
+        return np.where(found >= 0, found, self.size + (h % np.uint64(self.buckets)).astype(np.int32)) + 1
+
 
 def encoded(column: pa.Array, lookup: Lookup) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of texts as (first row, word indices, bytes, starts, ends).
 
     Each text's words are followed by the end token, whose start is -1; an
-    index is 0 for the end token, 1 + i for the i-th word, -1 if unlisted.
+    index is 0 for the end token, else that of ``Lookup.index``.
     """
     for first, raw, at in text_blocks(column):
         data = np.full(len(raw) + len(at) - 1, 32, np.uint8)
@@ -124,15 +134,14 @@ def encoded(column: pa.Array, lookup: Lookup) -> Iterator[tuple[int, np.ndarray,
         keep[at[1:] + np.arange(len(at) - 1)] = False
         data[keep] = lower(raw)
         start, end, h = word_hashes(data)
-        found = lookup.find(h)
-        found = np.where(found >= 0, found + 1, -1)
+        found = lookup.index(h)
         stops = np.searchsorted(start, at[1:] + np.arange(1, len(at)))
         yield first, np.insert(found, stops, 0), data, np.insert(start, stops, -1), np.insert(end, stops, -1)
 
 
 @dataclass
 class Vocabulary:
-    """Classes of the listed words, and what is known of them before training."""
+    """Classes of listed words and buckets, and what is known of them before training."""
 
     own: int
     table: np.ndarray
@@ -140,14 +149,13 @@ class Vocabulary:
     tail_log: np.ndarray
 
     @staticmethod
-    def of(c: np.ndarray, unlisted: float, m: LogBilinear) -> Vocabulary:
-        """From the listed words' counts, most frequent first; index -1 is that of all others."""
-        own = min(m.classes - 1, len(c))
-        table = np.concatenate((np.arange(own), own + np.arange(len(c) - own) // m.tail)).astype(np.int64)
-        table = np.append(table, table[-1] + 1)
-        weight = np.bincount(table, np.append(c, unlisted)) + m.smooth
-        within = np.bincount(table[own:-1], c[own:] + m.smooth, len(weight))[table[own:-1]]
-        return Vocabulary(own, table, np.log(weight / weight.sum()), np.log((c[own:] + m.smooth) / within))
+    def of(c: np.ndarray, buckets: np.ndarray, m: LogBilinear) -> Vocabulary:
+        """From the listed words' counts, most frequent first, and the buckets' counts."""
+        own, every = min(m.classes - 1, len(c)), np.append(c, buckets)
+        table = np.concatenate((np.arange(own), own + np.arange(len(every) - own) // m.tail)).astype(np.int64)
+        weight = np.bincount(table, every) + m.smooth
+        within = np.bincount(table[own:], every[own:] + m.smooth, len(weight))[table[own:]]
+        return Vocabulary(own, table, np.log(weight / weight.sum()), np.log((every[own:] + m.smooth) / within))
 
     def sizes(self) -> np.ndarray:
         """Words of each class."""
@@ -336,9 +344,10 @@ def train(docs: DataFrame, lookup, start: Params, words: Vocabulary, n_tokens: i
         last = docs.sparkSession.sparkContext.broadcast(now)
 
         each = pieces.where(F.col("round") == turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
-        # a tree: no task reads more than its part of the shards, the last one fan_in rows
-        if shards > m.fan_in:
-            each = each.repartition(m.fan_in).mapInArrow(_averaged, SUMS)
+        left = shards
+        while left > m.fan_in:
+            left = -(-left // m.fan_in)
+            each = each.repartition(left).mapInArrow(_averaged, SUMS)
         rows = each.repartition(1).mapInArrow(_averaged, SUMS).collect()
         if rows:
             now = now.copy()
@@ -382,10 +391,9 @@ class Scorer:
         """Normalised natural log-probability of each class in its context."""
         return (self.one[w1, w] + self.two[w2, w] + self.b[w] - self.norm[w1, w2]).astype(np.float64)
 
-
     def log_within(self, word: np.ndarray, of: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of words of shared classes among those."""
-        row = of - (len(self.b) - 1 - len(self.within))
+        row = of - (len(self.b) - len(self.within))
         return ((self.u[word] * self.q[before]).sum(1) + self.v[word] - self.within[row, before]).astype(np.float64)
 
 
@@ -403,41 +411,62 @@ def within_norms(p: Params, sizes: np.ndarray | None) -> np.ndarray:
     return out
 
 
-SCORED = "doc_id bigint, row string, n_tokens bigint, head_known bigint, head_base double, class_log double, n_rest bigint, rest array<struct<word:string,n:bigint>>"
+SCORED = "doc_id bigint, row string, n_tokens bigint, head_known bigint, head_base double, class_log double, rest array<struct<word:string,n:bigint>>"
+
+
+def bucket_counts(counts: DataFrame, lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each bucket of unlisted words of ``counts(word, c)``."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, h, edges in block_words(batch.column("word")):
+                beyond = lookup.value.index(h) - 1 - lookup.value.size
+                rows = np.flatnonzero(beyond >= 0)
+                c = batch.column("c").slice(first, len(edges) - 1).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(beyond[rows], pa.int32()), c], names=["bucket", "c"])
 
+    n, v = (np.zeros(lookup.value.buckets) for _ in range(2))
+    for r in counts.select("word", "c").mapInArrow(place, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[r["bucket"]], v[r["bucket"]] = r["n"], r["v"]
+    return n, v
 
-def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, scorer: Scorer, words: Vocabulary) -> DataFrame:
-    """Per row: what the listed words add up to, and all other words."""
-    log_c, scorer, words = (docs.sparkSession.sparkContext.broadcast(x) for x in (log_c, scorer, words))
+
+def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, log_buckets: np.ndarray, scorer: Scorer, words: Vocabulary) -> DataFrame:
+    """Per row: what the listed words and the buckets add up to, and all other words.
+
+    ``log_buckets`` is each bucket's sum of smoothed counts.
+    """
+    log_c, log_buckets, scorer, words = (docs.sparkSession.sparkContext.broadcast(x) for x in (log_c, log_buckets, scorer, words))
     kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             for _, found, data, start, end in encoded(batch.column(1), lookup.value):
                 w = words.value.table[found]
                 w1, w2 = context(w)
                 logs = scorer.value.log_prob(w, w1, w2)
                 inside = np.flatnonzero(found >= words.value.own)
                 logs[inside] += scorer.value.log_within(found[inside] - words.value.own, w[inside], w1[inside])
-                known = found >= 0
-                base = np.where(known, log_c.value[found], 0.0)
+                known = found < len(log_c.value)
+                gone = np.flatnonzero(~known)
+                logs[gone] -= log_buckets.value[found[gone] - len(log_c.value)]
+                base = np.append(log_c.value, 0.0)[np.minimum(found, len(log_c.value))]
                 edges = np.concatenate(([0], np.flatnonzero(found == 0) + 1))
                 # each text ends with its end token, so no segment is empty
-                sums = [np.add.reduceat(x, edges[:-1]) for x in (known.astype(np.int64), base, logs, (~known).astype(np.int64))]
+                sums = [np.add.reduceat(x, edges[:-1]) for x in (known.astype(np.int64), base, logs)]
                 text = data.tobytes()
-                gone = np.flatnonzero(~known)
                 cut = np.searchsorted(gone, edges)
                 for i in range(len(edges) - 1):
                     bag = Counter(text[start[j] : end[j]] for j in gone[cut[i] : cut[i + 1]])
-                    cols[5].append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
+                    cols[4].append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
                 cols[0] += np.diff(edges).tolist()
-                for c, x in zip(cols[1:5], sums, strict=True):
+                for c, x in zip(cols[1:4], sums, strict=True):
                     c += x.tolist()
             rows = [f"{task}-{seen + i}" for i in range(batch.num_rows)]
             seen += batch.num_rows
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), kind)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return docs.mapInArrow(run, SCORED)
@@ -471,20 +500,22 @@ def lm_scores(docs: DataFrame, m: LogBilinear = LogBilinear()) -> DataFrame:
     ends = counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
     top = listed(counts.where(F.col("word") != END), m.head)
     c = np.array([ends] + [r["c"] for r in top], np.float64)
-    rest_n, rest_v = n - c.sum(), v - (len(c) if ends else len(c) - 1)
-    vocabulary = Vocabulary.of(c, rest_n, m)
-    lookup = docs.sparkSession.sparkContext.broadcast(Lookup([r["word"] for r in top]))
+    beyond = v - (len(c) if ends else len(c) - 1)
+    lookup = docs.sparkSession.sparkContext.broadcast(Lookup([r["word"] for r in top], min(m.buckets, max(1, beyond))))
+    bucket_n, bucket_v = bucket_counts(counts.where(F.col("word") != END), lookup)
+    vocabulary = Vocabulary.of(c, bucket_n, m)
     start = Params.start(vocabulary.log_noise, m, vocabulary.tail_log)
     fitted = train(training, lookup, start, vocabulary, n, m) if n else start
     log_c = np.log10(c + m.smooth)
-    scorer = Scorer.of(fitted, vocabulary.sizes()[vocabulary.own : -1])
-    scored = scratch.keep(score_heads(docs, lookup, log_c, scorer, vocabulary), "scored")
+    scorer = Scorer.of(fitted, vocabulary.sizes()[vocabulary.own :])
+    log_buckets = np.log(bucket_n + m.smooth * (bucket_v + 1))
+    scored = scratch.keep(score_heads(docs, lookup, log_c, log_buckets, scorer, vocabulary), "scored")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     seen = rest.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rest_known"), F.sum(F.col("n") * (F.log10(F.col("c") + m.smooth) - F.log10(F.lit(m.smooth)))).alias("more"))
     unlisted = F.aggregate("rest", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     # an unlisted word that the corpus lacks has log10(smooth); the join adds the rest
     rest_log = unlisted * float(np.log10(m.smooth)) + F.coalesce("more", F.lit(0.0))
-    all_log, rest_all = float(np.log10(n + m.smooth * (v + 1))), float(np.log10(rest_n + m.smooth * (rest_v + 1)))
+    all_log = float(np.log10(n + m.smooth * (v + 1)))
     return scored.join(seen, "row", "left").select(
         "doc_id",
         held_out(F.col("doc_id"), m.held_out_mod).alias("held_out"),
@@ -492,5 +523,5 @@ def lm_scores(docs: DataFrame, m: LogBilinear = LogBilinear()) -> DataFrame:
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
         (F.col("head_base") + rest_log - F.col("n_tokens") * all_log).alias("base_score"),
-        (F.col("class_log") / float(np.log(10)) + rest_log - F.col("n_rest") * rest_all).alias("score"),
+        (F.col("class_log") / float(np.log(10)) + rest_log).alias("score"),
     )

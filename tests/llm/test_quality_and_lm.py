@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from notegraph.llm import lblm, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,26 +86,51 @@ def test_model_beats_the_base_whatever_the_partitions(spark):
 
 
 def test_scores_are_normalised():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     m = lblm.LogBilinear(dim=4, tail=10, classes=8)
-    words = lblm.Vocabulary.of(np.sort(rng.integers(1, 99, 40))[::-1].astype(float), 25.0, m)
+    words = lblm.Vocabulary.of(np.sort(rng.integers(1, 99, 40))[::-1].astype(float), np.array([9.0, 0.0, 16.0]), m)
     p = lblm.Params.start(words.log_noise, m, words.tail_log)
     own = lblm.Trainer(p, words, m, (1,))
-    found = rng.integers(-1, 40, 5000)
+    found = rng.integers(0, 43, 5000)
     w = words.table[found]
     own.learn(found, w, *lblm.context(w))
-    s = lblm.Scorer.of(p, words.sizes()[words.own : -1])
+    s = lblm.Scorer.of(p, words.sizes()[words.own :])
     for w1, w2 in ((0, 0), (3, 7), (9, 1)):
         n = len(p.b)
-        before = np.full(n, w1)
-        logs = s.log_prob(np.arange(n), before, np.full(n, w2))
+        logs = s.log_prob(np.arange(n), np.full(n, w1), np.full(n, w2))
         assert abs(np.exp(logs).sum() - 1) < 1e-4
-        tail = np.arange(len(p.v))
-        of = words.table[words.own : -1]
-        each = np.bincount(of, np.exp(s.log_within(tail, of, np.full(len(of), w1))))
-        assert np.allclose(each[words.own : -1] if len(each) == n else each[words.own :], 1, atol=1e-4)
+        of = words.table[words.own :]
+        each = np.bincount(of, np.exp(s.log_within(np.arange(len(p.v)), of, np.full(len(of), w1))))
+        assert len(p.v) == 43 - words.own and np.allclose(each[words.own :], 1, atol=1e-4)
+
+
+def test_words_beyond_the_list_count_in_their_context(spark, docs_of):
+    # 60 rare words beyond a list of 4: half follow "left", half follow "right"
+    rows = [(i, " ".join(f"{side} {side[0]}{(i * 7 + j) % 30}" for j in range(30) for side in (("left", "right") if j % 2 else ("right", "left")))) for i in range(200)]
+    m = lblm.LogBilinear(head=4, classes=4, buckets=16, tail=8, shard_tokens=4_000, batch=256)
+    vocabulary = ["left", "right", *(f"{s}{k}" for s in "lr" for k in range(30))]
+    asked = [(1000 + k, w) for k, w in enumerate([*vocabulary, "neverseen"])] + [(2000 + k, "left " + w) for k, w in enumerate([*vocabulary, "neverseen"])]
+    asked = [(i if held(i) else next(j for j in range(i * 1000, i * 1000 + 999) if held(j)), t) for i, t in asked]
+    score = {r.doc_id: r.score for r in lblm.lm_scores(docs_of(rows + asked), m).collect()}
+    after = {t.split()[-1]: 10 ** score[i] for i, t in asked if t.startswith("left ")}
+    alone = {t: 10 ** score[i] for i, t in asked if " " not in t}
+    mean = lambda x, side: np.mean([x[f"{side}{k}"] for k in range(30)])
+    # the context moves words beyond the list, though they share buckets
+    assert mean(after, "l") / mean(after, "r") > 1.2 * mean(alone, "l") / mean(alone, "r")
+    assert all(x > 0 for x in [*after.values(), *alone.values()]) and after["neverseen"] < min(after[f"l{k}"] for k in range(30))
+
+
+def test_buckets_hold_every_word_beyond_the_list(spark):
+    table = spark.createDataFrame([(f"w{i}", 1 + i) for i in range(900)], "word string, c bigint").repartition(5)
+    lookup = lblm.Lookup([f"w{i}" for i in range(600, 900)], 32)
+    n, v = lblm.bucket_counts(table, spark.sparkContext.broadcast(lookup))
+    assert v.sum() == 600 and n.sum() == sum(range(1, 601)) and (v > 0).all()
+
+
+def test_averages_come_through_a_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in lblm.lm_scores(docs, lblm.LogBilinear(shard_tokens=2_000, fan_in=k)).collect()} for k in (3, 64))
+    assert max(abs(a[i] - b[i]) / max(1, abs(a[i])) for i in a) < 1e-3
 
 
 def test_listed_words_are_bounded(spark):
