@@ -13,8 +13,8 @@ corpus frequency, and one share is left for words that the corpus lacks.
 Parameters are fitted with noise-contrastive estimation over every training
 token, in ``rounds`` rounds that each take their own part of the texts.  A
 round's texts are dealt by hash to shards of about ``shard_tokens`` tokens;
-each shard runs minibatch steps from the last round's parameters, and the
-results are averaged (a word of a shared class over the shards that hold it), in a tree
+each shard runs minibatch steps, shorter towards its end, from the last
+round's parameters, and the results are averaged (a word of a shared class over the shards that hold it), in a tree
 whose depth grows with the shards: no task adds up more than ``fan_in``.
 Shards depend on the texts alone, so scores don't change with the partitions,
 and a shard is as long at any size of the corpus.  The normaliser of every
@@ -63,8 +63,10 @@ class LogBilinear:
     tail: int = 512
     tail_dim: int = 8
     tail_noise: int = 2
-    batch: int = 8192
+    batch: int = 1024
     step: float = 0.1
+    tail_step: float = 0.05
+    decay: float = 0.95
     rounds: int = 2
     shard_tokens: int = 2_000_000
     piece: int = 65_536
@@ -204,7 +206,11 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive Adagrad steps; noise classes are shared by a batch."""
+    """Noise-contrastive Adagrad steps; noise classes are shared by a batch.
+
+    ``left`` is the share of the step that is left: it falls by ``decay``
+    over a shard, so that the last batches add little noise.
+    """
 
     def __init__(self, p: Params, words: Vocabulary, m: LogBilinear, salt: tuple[int, ...]):
         self.p, self.m, self.words = p, m, words
@@ -215,7 +221,7 @@ class Trainer:
         self.rng = np.random.default_rng((m.seed, *salt))
         self.square = [np.full_like(x, 1e-2) for x in (*p.common(), p.u, p.v)]
         self.seen = np.zeros(len(p.v), np.int64)
-        self.tokens = 0
+        self.tokens, self.left = 0, 1.0
 
     def learn(self, found: np.ndarray, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
         p, n, k = self.p, len(self.p.b), self.m.noise
@@ -236,7 +242,7 @@ class Trainer:
         g_c = np.stack(((g_q * r1).sum(0), (g_q * r2).sum(0)))
         for x, g, s in zip((p.r, p.t, p.b, p.c), (g_r, g_t, g_b, g_c), self.square, strict=False):
             s += g * g
-            x -= self.m.step * g / np.sqrt(s)
+            x -= self.m.step * self.left * g / np.sqrt(s)
         self.tokens += len(w)
         inside = found >= self.words.own
         if inside.any():
@@ -257,10 +263,10 @@ class Trainer:
         g_v = np.bincount(at.ravel(), g.ravel(), len(rows)).astype(np.float32)
         g_q = _scatter(before, np.einsum("nk,nkd->nd", g, u), len(p.q))
         self.square[4] += g_q * g_q
-        p.q -= self.m.step * g_q / np.sqrt(self.square[4])
+        p.q -= self.m.tail_step * self.left * g_q / np.sqrt(self.square[4])
         for x, gx, s in ((p.u, g_u, self.square[5]), (p.v, g_v, self.square[6])):
             s[rows] += gx * gx
-            x[rows] -= self.m.step * gx / np.sqrt(s[rows])
+            x[rows] -= self.m.tail_step * self.left * gx / np.sqrt(s[rows])
         np.add.at(self.seen, word, 1)
 
 
@@ -317,6 +323,7 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
         texts = group.column("words").take(pa.array(order))
         own = Trainer(last.value.copy(), words.value, m, (turn, group.column("shard")[0].as_py()))
         size, held = 0, []
+        every = sum(len(x.as_buffer()) for x in texts) // 4
         for i, text in enumerate(texts):
             held.append(np.frombuffer(text.as_buffer(), np.int32))
             size += len(held[-1])
@@ -325,6 +332,7 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
                 w = words.value.table[found]
                 w1, w2 = context(w)
                 for at in range(0, len(w), m.batch):
+                    own.left = 1 - m.decay * own.tokens / every
                     own.learn(*(x[at : at + m.batch] for x in (found, w, w1, w2)))
                 size, held = 0, []
         at = np.flatnonzero(own.seen)

@@ -85,6 +85,12 @@ def test_model_beats_the_base_whatever_the_partitions(spark):
     assert max(abs(got[0][i] - got[1][i]) / max(1, abs(got[0][i])) for i in got[0]) < 1e-3
 
 
+def test_production_settings_beat_the_base_on_held_out_documents(spark):
+    rows = lblm.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    # 0.1 in the decimal logarithm of each token's probability
+    assert rows["sum(score)"] > rows["sum(base_score)"] + 0.1 * rows["sum(n_tokens)"]
+
+
 def test_scores_are_normalised():
     rng = np.random.default_rng(0)
     m = lblm.LogBilinear(dim=4, tail=10, classes=8)
