@@ -231,13 +231,12 @@ class Trainer:
         log_k = np.float32(np.log(k))
         true = (q * p.t[w]).sum(1) + p.b[w] - log_k - self.log_noise[w]
         false = q @ p.t[drawn].T + p.b[drawn] - log_k - self.log_noise[drawn]
-        g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+        g_true = -1 / (1 + np.exp(np.minimum(true, 30)))
+        g_false = 1 / (1 + np.exp(np.minimum(-false, 30)))
         g_q = g_true[:, None] * p.t[w] + g_false @ p.t[drawn]
-        g_t = _scatter(w, g_true[:, None] * q, n)
-        np.add.at(g_t, drawn, g_false.T @ q)
-        g_b = np.bincount(w, g_true, n).astype(np.float32)
-        np.add.at(g_b, drawn, g_false.sum(0))
+        target = np.concatenate((w, drawn))
+        g_t = _scatter(target, np.concatenate((g_true[:, None] * q, g_false.T @ q)), n)
+        g_b = np.bincount(target, np.concatenate((g_true, g_false.sum(0))), n).astype(np.float32)
         g_r = _scatter(np.concatenate((w1, w2)), np.concatenate((g_q * p.c[0], g_q * p.c[1])), n)
         g_c = np.stack(((g_q * r1).sum(0), (g_q * r2).sum(0)))
         for x, g, s in zip((p.r, p.t, p.b, p.c), (g_r, g_t, g_b, g_c), self.square, strict=False):
@@ -267,7 +266,8 @@ class Trainer:
         for x, gx, s in ((p.u, g_u, self.square[5]), (p.v, g_v, self.square[6])):
             s[rows] += gx * gx
             x[rows] -= self.m.tail_step * self.left * gx / np.sqrt(s[rows])
-        np.add.at(self.seen, word, 1)
+        at, times = np.unique(word, return_counts=True)
+        self.seen[at] += times
 
 
 PIECES = "round int, shard int, key bigint, part int, words binary"
