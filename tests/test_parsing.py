@@ -113,3 +113,20 @@ def test_files(spark, tmp_path):
     assert set(got) == {"知识簇/温室/页 a.md", "知识簇/温室/_索引.md", "raw/inbox/a.bin", "_graphify/sources/s.markdown"}
     assert got["raw/inbox/a.bin"] is None
     assert notes.snapshot(files).where("sha256 is null").count() == 0
+
+
+def test_blanks_are_those_of_the_expressions(spark):
+    """Stripping without an expression takes off the same characters."""
+    every = spark.range(1, 0xFFFF).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    text = F.concat("c", F.lit("x y"), "c", "c")
+    assert every.where(P.strip(text) != F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).count() == 0
+    assert every.where(P.strip(F.concat("c", "c")) == "").count() == len(P.BLANKS) == 25
+
+
+def test_blanks_around_keys_and_dashes(spark):
+    head = "a: \u3000\n - \u2003one \n  - 'two' \n \t\n # note\nb:\t True \nc: [x , \"y\",]\u00a0\nd:\n\ne: -1.5\nf: /\n- \ng: '\n"
+    row = spark.createDataFrame([(head,)], "head string").select(P.front_matter_fields(F.col("head")).alias("f")).first().f
+    assert {k: (v.kind, v.scalar, v["items"]) for k, v in row.items()} == {
+        "a": ("list", None, ["one", "two"]), "b": ("bool", "True", None), "c": ("list", None, ["x", "y", ""]), "d": ("list", None, []),
+        "e": ("float", "-1.5", None), "f": ("str", "/", None), "g": ("str", "", None),
+    }
