@@ -350,3 +350,25 @@ def test_a_text_that_comes_back(spark, tmp_path):
     q = changes.content_changes(source).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert sorted((r.rel_path, r.seen.second) for r in spark.table("told").collect()) == [("p", 1), ("p", 2), ("p", 3), ("q", 1)]
+
+
+def test_tables_are_made_when_asked_for(spark):
+    """A query that needs no references or edges makes none."""
+    made = []
+
+    def keep(table):
+        made.append(set(table.columns))
+        return table.persist()
+
+    rows = [("知识簇/A/c1.md", "---\ntype: wiki\ntitle: one\npart_of: [o1]\n---\nred text\n"), ("知识簇/A/命题/o1.md", "---\ntype: claim\ntitle: claim\n---\nred claim\n")]
+    table = lambda rows: spark.createDataFrame(rows, "rel_path string, text string")
+    v = Vault(parse(table(rows)), keep)
+    assert len(made) == 1
+    change = spark.createDataFrame([("知识簇/A/c1.md", "modified")], "path string, change string")
+    assert v.updated(change, table(rows)).aliases.where("key = 'one'").count() == 1
+    asked = spark.createDataFrame([(1, "red")], "query_id int, query string")
+    assert [r.rel_path for r in lookup.routes(v.index, asked).collect()] == ["知识簇/A/c1.md"]
+    assert sum("unit" in c and "low" in c for c in made) == 1
+    steps = lookup.next_steps(asked, lookup.first_matches(v.index, asked)).collect()
+    assert [(r.outcome, r.start) for r in steps] == [("knowledge", "知识簇/A/c1.md")]
+    assert not any("ref" in c or "source" in c for c in made)
