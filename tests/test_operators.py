@@ -372,3 +372,20 @@ def test_tables_are_made_when_asked_for(spark):
     steps = lookup.next_steps(asked, lookup.first_matches(v.index, asked)).collect()
     assert [(r.outcome, r.start) for r in steps] == [("knowledge", "知识簇/A/c1.md")]
     assert not any("ref" in c or "source" in c for c in made)
+
+
+def test_owners_take_one_shuffle(spark):
+    out = graph.owners(spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("b", "y"), ("b", "y")], "id string, key string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect())) == [("x", None, 2), ("y", "b", 1)]
+
+
+def test_values_are_taken_apart_where_asked_for(spark, tmp_path):
+    from notegraph.sources.notes import heads, typed
+
+    texts = spark.createDataFrame([(k, f"---\n{v}---\nbody of {k}\n") for k, v in FILES.items()], "rel_path string, text string")
+    heads(texts).write.parquet(str(tmp_path / "heads"))
+    notes = typed(spark.read.parquet(str(tmp_path / "heads")))
+    assert sorted(map(repr, notes.collect())) == sorted(map(repr, parse(texts).collect()))
+    counted = graph.nodes(notes).groupBy("type", "status").count()
+    assert "ReadSchema: struct<note_type:string,status:string>" in counted._jdf.queryExecution().executedPlan().toString()
