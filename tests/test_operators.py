@@ -389,3 +389,43 @@ def test_values_are_taken_apart_where_asked_for(spark, tmp_path):
     assert sorted(map(repr, notes.collect())) == sorted(map(repr, parse(texts).collect()))
     counted = graph.nodes(notes).groupBy("type", "status").count()
     assert "ReadSchema: struct<note_type:string,status:string>" in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_reach_what_the_adjacency_reaches(spark):
+    """Edges as they stand, typed or not, give what the index gives."""
+    v = vault_of(spark, FILES)
+    seeds = v.nodes.select(F.col("id").alias("target"))
+    asked = v.nodes.select(F.col("id").alias("node"))
+    rows = lambda table: sorted(map(repr, table.select(*sorted(table.columns)).collect()))
+    for ends in (graph.Ends(v.edges, v.nodes, v.keep), graph.Ends(v.typed, v.nodes, v.keep)):
+        assert rows(ends.of(asked)) == rows(v.near.of(asked)) != []
+        assert rows(graph.impact(ends, seeds, v.nodes)) == rows(graph.impact(v.near, seeds, v.nodes))
+        assert rows(graph.scope(asked.toDF("path"), ends, v.nodes)) == rows(graph.scope(asked.toDF("path"), v.near, v.nodes))
+
+
+def test_seeds_ask_for_no_edges(spark):
+    """The seeds of a list are told from nodes and the asked keys alone, ambiguous ones too."""
+    made = []
+
+    def keep(table):
+        made.append(set(table.columns))
+        return table.persist()
+
+    texts = spark.createDataFrame([(k, f"---\n{v}---\nbody\n") for k, v in FILES.items()], "rel_path string, text string")
+    v = Vault(parse(texts), keep)
+    listed = spark.createDataFrame([("a",), ("_索引",), ("Third",), ("lost",), ("./知识簇/A/w.md",)], "ref string")
+    got = graph.scope_report(listed, None, v.nodes, graph.asked_aliases(v.nodes, listed))
+    assert sorted(r.path.split("/")[-1] for r in got.where("part = 'seed'").collect()) == ["a.md", "c.md", "w.md"]
+    assert got.where("part is null").count() == 1 and got.count() == 4
+    assert not any("ref" in c or "source" in c for c in made)
+
+
+def test_hot_texts_are_dealt(spark, monkeypatch):
+    """References of a text that many notes hold get its target; forms that a text lacks join nothing."""
+    v = vault_of(spark, FILES)
+    refs = spark.createDataFrame([(f"n{i}", "see_also", 0, r) for i in range(20) for r in ("b", "lost", "./知识簇/A/w.md", "", "_索引")], "rel_path string, field string, pos int, ref string")
+    want = sorted(map(repr, graph.resolve(refs, v.nodes, v.aliases).collect()))
+    monkeypatch.setattr(graph, "SALT_ROWS", 3)
+    got = graph.resolve(refs, v.nodes, v.aliases)
+    assert sorted(map(repr, got.collect())) == want and len(want) == 100
+    assert {r.ref for r in got.where("target is not null").collect()} == {"b", "./知识簇/A/w.md"}
