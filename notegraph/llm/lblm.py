@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,6 +219,7 @@ class Trainer:
         self.cdf = np.cumsum(np.exp(words.log_noise))
         sizes = words.sizes()
         self.first, self.size = np.cumsum(sizes) - sizes - words.own, sizes
+        self.log_size = np.log(np.maximum(sizes, 1) / m.tail_noise).astype(np.float32)
         self.rng = np.random.default_rng((m.seed, *salt))
         self.square = [np.full_like(x, 1e-2) for x in (*p.common(), p.u, p.v)]
         self.seen = np.zeros(len(p.v), np.int64)
@@ -229,11 +231,12 @@ class Trainer:
         r1, r2 = p.r[w1], p.r[w2]
         q = p.c[0] * r1 + p.c[1] * r2
         log_k = np.float32(np.log(k))
-        true = (q * p.t[w]).sum(1) + p.b[w] - log_k - self.log_noise[w]
-        false = q @ p.t[drawn].T + p.b[drawn] - log_k - self.log_noise[drawn]
+        t_true, t_false = p.t[w], p.t[drawn]
+        true = (q * t_true).sum(1) + p.b[w] - log_k - self.log_noise[w]
+        false = q @ t_false.T + p.b[drawn] - log_k - self.log_noise[drawn]
         g_true = -1 / (1 + np.exp(np.minimum(true, 30)))
         g_false = 1 / (1 + np.exp(np.minimum(-false, 30)))
-        g_q = g_true[:, None] * p.t[w] + g_false @ p.t[drawn]
+        g_q = g_true[:, None] * t_true + g_false @ t_false
         target = np.concatenate((w, drawn))
         g_t = _scatter(target, np.concatenate((g_true[:, None] * q, g_false.T @ q)), n)
         g_b = np.bincount(target, np.concatenate((g_true, g_false.sum(0))), n).astype(np.float32)
@@ -254,7 +257,7 @@ class Trainer:
         noise = self.first[of][:, None] + (self.rng.random((len(word), k)) * size).astype(np.int64)
         every = np.concatenate((word[:, None], noise), 1)
         q, u = p.q[before], p.u[every]
-        z = np.einsum("nd,nkd->nk", q, u) + p.v[every] + np.log(size / k).astype(np.float32)
+        z = np.einsum("nd,nkd->nk", q, u) + p.v[every] + self.log_size[of][:, None]
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g[:, 0] -= 1
         rows, at = np.unique(every, return_inverse=True)
@@ -266,19 +269,29 @@ class Trainer:
         for x, gx, s in ((p.u, g_u, self.square[5]), (p.v, g_v, self.square[6])):
             s[rows] += gx * gx
             x[rows] -= self.m.tail_step * self.left * gx / np.sqrt(s[rows])
-        at, times = np.unique(word, return_counts=True)
-        self.seen[at] += times
 
 
 PIECES = "round int, shard int, key bigint, part int, words binary"
 SUMS = "n bigint, common binary, at binary, seen binary, moved binary"
 
 
-def _pieces(docs: DataFrame, lookup, shards: int, m: LogBilinear) -> DataFrame:
-    """Texts as word indices, cut at ``piece`` words, with their round and shard."""
+def _spot(key: np.ndarray, part: int) -> np.ndarray:
+    """Where a text's part falls among rounds and shards."""
+    return (key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part * 0xBF58476D1CE4E5B9 % 2**64)) >> np.uint64(20)
+
+
+def _pieces(docs: DataFrame, lookup, shards: int, m: LogBilinear, turn: int) -> DataFrame:
+    """Texts of a round as word indices, cut at ``piece`` words, with their shard.
+
+    A text of fewer than ``piece`` bytes is one piece, so that it is only
+    encoded in the round of that piece.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(0).to_numpy()
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero((sizes >= m.piece) | (_spot(keys, 0) % np.uint64(m.rounds) == turn))))
             keys = batch.column(0).to_numpy()
             for first, found, *_ in encoded(batch.column(1), lookup.value):
                 ends = np.flatnonzero(found == 0) + 1
@@ -287,9 +300,12 @@ def _pieces(docs: DataFrame, lookup, shards: int, m: LogBilinear) -> DataFrame:
                     key = int(keys[first + i])
                     for part, at in enumerate(range(a, b, m.piece)):
                         spot = (key * 0x9E3779B97F4A7C15 + part * 0xBF58476D1CE4E5B9) % 2**64 >> 20
-                        rows.append((spot % m.rounds, spot // m.rounds % shards, key, part, found[at : min(at + m.piece, b)].astype(np.int32).tobytes()))
+                        if spot % m.rounds != turn:
+                            continue
+                        rows.append((turn, spot // m.rounds % shards, key, part, found[at : min(at + m.piece, b)].astype(np.int32).tobytes()))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["round", "shard", "key", "part", "words"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["round", "shard", "key", "part", "words"])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(cut, PIECES)
 
@@ -331,6 +347,7 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
                 found = np.concatenate(held)
                 w = words.value.table[found]
                 w1, w2 = context(w)
+                own.seen += np.bincount(found[found >= words.value.own] - words.value.own, minlength=len(own.seen))
                 for at in range(0, len(w), m.batch):
                     own.left = 1 - m.decay * own.tokens / every
                     own.learn(*(x[at : at + m.batch] for x in (found, w, w1, w2)))
@@ -346,12 +363,11 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
 def train(docs: DataFrame, lookup, start: Params, words: Vocabulary, n_tokens: int, m: LogBilinear) -> Params:
     """Parameters fitted over all of ``docs``."""
     shards = max(1, -(-n_tokens // (m.rounds * m.shard_tokens)))
-    pieces = _pieces(docs, lookup, shards, m)
     words, now = docs.sparkSession.sparkContext.broadcast(words), start
     for turn in range(m.rounds):
         last = docs.sparkSession.sparkContext.broadcast(now)
 
-        each = pieces.where(F.col("round") == turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
+        each = _pieces(docs, lookup, shards, m, turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
         left = shards
         while left > m.fan_in:
             left = -(-left // m.fan_in)

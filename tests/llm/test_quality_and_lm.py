@@ -143,3 +143,19 @@ def test_listed_words_are_bounded(spark):
     table = spark.createDataFrame([(f"w{i}", 1 + (i % 7) ** 3) for i in range(700)], "word string, c bigint")
     got = lblm.listed(table, 250)
     assert len(got) == 200 and {r["c"] for r in got} == {126, 217} and lblm.listed(table.where("c = 1"), 50) == []
+
+
+def test_texts_are_encoded_in_their_round_alone(spark, docs_of):
+    """Every piece comes once over all rounds, where its key and part put it, long texts too."""
+    m = lblm.LogBilinear(piece=8)
+    docs = docs_of([(i, None if i == 3 else " ".join(f"w{j}" for j in range(i * 3))) for i in range(12)])
+    lookup = spark.sparkContext.broadcast(lblm.Lookup(["w1", "w2"], 4))
+    rows = [(turn, r) for turn in range(m.rounds) for r in lblm._pieces(docs, lookup, 3, m, turn).collect()]
+    keys = {r.key: (r.text or "") for r in docs.selectExpr("xxhash64(doc_id, text) key", "text").collect()}
+    assert sorted((r.key, r.part) for _, r in rows) == sorted((k, p) for k, t in keys.items() for p in range(-(-(len(t.split()) + 1) // 8)))
+    for turn, r in rows:
+        spot = (r.key * 0x9E3779B97F4A7C15 + r.part * 0xBF58476D1CE4E5B9) % 2**64 >> 20
+        assert r.round == turn == spot % m.rounds and r.shard == spot // m.rounds % 3
+    short = docs_of([(i, "a b") for i in range(40)])
+    seen = [lblm._pieces(short, lookup, 1, m, turn).count() for turn in range(m.rounds)]
+    assert sum(seen) == 40 and min(seen) > 0
