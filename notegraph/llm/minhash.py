@@ -167,21 +167,23 @@ def _star(buckets: DataFrame, p: MinMax) -> DataFrame:
     return _paired(hubs.select("key", (-F.col("h.minus")).alias("u"), F.col("h.component").alias("c"), F.col("h.n").alias("m")), buckets, p)
 
 
-def _settle(buckets: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
+def _settle(buckets: DataFrame, sets: DataFrame, p: MinMax, scratch: Scratch) -> DataFrame:
     """Links between different components of one bucket, ``(u, v)``.
 
     Buckets with the same hub are one group.  Its nodes outside the hub's
     component are compared with each other and with the hub's component, in
     blocks of about ``block_nodes`` nodes and ``block_items`` shingles: a row
     holds two blocks, and only links leave it, so no row is made for a pair.
+    Tables that several joins read are written first: one plan of all joins
+    repeats them, and the driver plans it anew after each of its shuffles.
     """
     h = F.max(F.struct("degree", "id", "component")).alias("h")
     mixed = buckets.groupBy("key").agg(h, F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    nodes = buckets.join(mixed.select("key", "h").hint("merge"), "key").select(F.col("h.id").alias("hub"), (F.col("component") != F.col("h.component")).alias("apart"), "id", "n", "component").distinct()
+    nodes = scratch.keep(buckets.join(mixed.select("key", "h").hint("merge"), "key").select(F.col("h.id").alias("hub"), (F.col("component") != F.col("h.component")).alias("apart"), "id", "n", "component").distinct(), "apart")
     n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / p.block_nodes, F.sum("n") / p.block_items)).cast("int")
-    counts = nodes.groupBy("hub", "apart").agg(n_blocks.alias("blocks"))
+    counts = scratch.keep(nodes.groupBy("hub", "apart").agg(n_blocks.alias("blocks")), "counts")
     placed = nodes.join(counts.hint("merge"), ["hub", "apart"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    blocks = placed.join(sets.hint("merge"), "id").groupBy("hub", "apart", "block").agg(F.collect_list(F.struct("id", "component", "items")).alias("nodes"))
+    blocks = scratch.keep(placed.join(sets.hint("merge"), "id").groupBy("hub", "apart", "block").agg(F.collect_list(F.struct("id", "component", "items")).alias("nodes")), "blocks")
     own = counts.where("apart").select("hub", F.col("blocks").alias("a"))
     rest = counts.where("not apart").select("hub", F.col("blocks").alias("b"))
     tasks = own.join(rest.hint("merge"), "hub", "left").select("hub", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), "a", F.coalesce("b", F.lit(0)).alias("b"))
@@ -227,7 +229,7 @@ def link_nodes(buckets: DataFrame, sets: DataFrame, p: MinMax, scratch: Scratch)
         return None
     links = scratch.keep(confirm(pairs, sets, p), "links")
     labels = None if links.isEmpty() else scratch.keep(components(links, scratch), "labels")
-    rest = scratch.keep(_settle(_labelled(buckets, labels), sets, p).where("u <> v"), "links")
+    rest = scratch.keep(_settle(_labelled(buckets, labels), sets, p, scratch).where("u <> v"), "links")
     if rest.isEmpty():
         return labels
     if labels is not None:

@@ -4,6 +4,7 @@ from itertools import combinations
 
 from notegraph.llm.minhash import MinMax, near_duplicates
 from notegraph.llm.paragraphs import remove_repeats, repeated_paragraphs, split_paragraphs
+from notegraph.llm.scratch import Scratch
 
 
 def shingles(text, k=5):
@@ -67,6 +68,28 @@ def test_chains_and_odd_rows(docs_of):
     assert got(near_duplicates(docs_of(rows), MinMax(max_broadcast_ids=0))) == brute(rows)
 
 
+def test_no_plan_repeats_the_joins_before_it(docs_of, monkeypatch):
+    """The driver plans each written table by itself: no step is one plan of all shuffles before it."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            own[rng.randrange(120)] = f"y{rng.random()}"
+        rows.append((i, " ".join(own)))
+    shuffles, keep = {}, Scratch.keep
+
+    def counted(self, df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles[name] = max(shuffles.get(name, 0), len(re.findall(r"\bExchange ", plan)))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    assert got(near_duplicates(docs_of(rows))) == brute(rows)
+    assert shuffles["links"] and max(shuffles.values()) <= 12, shuffles
+
+
 def test_empty_and_lone_tables(docs_of):
     assert got(near_duplicates(docs_of([]))) == {}
     assert got(near_duplicates(docs_of([(7, "only one text of a few words")]))) == {7: (3, 7)}
