@@ -15,7 +15,8 @@ token, in ``rounds`` rounds that each take their own part of the texts.  A
 round's texts are dealt by hash to shards of about ``shard_tokens`` tokens;
 each shard runs minibatch steps, shorter towards its end, from the last
 round's parameters, and the results are averaged (a word of a shared class over the shards that hold it), in a tree
-whose depth grows with the shards: no task adds up more than ``fan_in``.
+whose depth grows with the shards: no group adds up more than ``fan_in``
+rows, and a row holds the common parameters or ``sum_words`` words.
 Shards depend on the texts alone, so scores don't change with the partitions,
 and a shard is as long at any size of the corpus.  The normaliser of every
 context is computed once with batched matrix products, so that the scores are
@@ -72,6 +73,7 @@ class LogBilinear:
     shard_tokens: int = 2_000_000
     piece: int = 65_536
     fan_in: int = 64
+    sum_words: int = 8192
     held_out_mod: int = 10
     smooth: float = 0.1
     seed: int = 11
@@ -272,7 +274,7 @@ class Trainer:
 
 
 PIECES = "round int, shard int, key bigint, part int, words binary"
-SUMS = "n bigint, common binary, at binary, seen binary, moved binary"
+SUMS = "shard int, part int, n bigint, common binary, at binary, seen binary, moved binary"
 
 
 def _spot(key: np.ndarray, part: int) -> np.ndarray:
@@ -310,25 +312,32 @@ def _pieces(docs: DataFrame, lookup, shards: int, m: LogBilinear, turn: int) ->
     return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(cut, PIECES)
 
 
-def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of shards' parameters as one row, weighted by tokens and by each word's count."""
-    total, common, seen, moved = 0, None, None, None
-    for batch in batches:
-        for n, c, at, k, x in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            c, at, k = np.frombuffer(c, np.float64), np.frombuffer(at, np.int32), np.frombuffer(k, np.int32).astype(np.int64)
-            x = np.frombuffer(x, np.float32).reshape(len(at), -1)
-            if common is None:
-                common, seen, moved = np.zeros_like(c), np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
-            if len(at) and at[-1] >= len(seen):
-                more = int(at[-1]) + 1 - len(seen)
-                seen, moved = np.append(seen, np.zeros(more, np.int64)), np.vstack((moved, np.zeros((more, x.shape[1]))))
-            total, common = total + n, common + c
-            seen[at] += k
-            moved[at] += x * k[:, None]
-    if total:
-        at = np.flatnonzero(seen)
-        mean = (moved[at] / seen[at][:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (common, at.astype(np.int32), np.minimum(seen[at], 2**31 - 1).astype(np.int32), mean))], names=["n", "common", "at", "seen", "moved"])
+def _sums(shard: int, rows: list[tuple]) -> pa.Table:
+    """Rows ``(part, n, common, at, seen, moved)`` of one shard."""
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    cols = [pa.array([shard] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
+    return pa.table(cols, names=[x.split()[0] for x in SUMS.split(", ")])
+
+
+def _averaged(group: pa.Table) -> pa.Table:
+    """One part of several shards as one row, weighted by tokens and by each word's count."""
+    group = group.sort_by("shard")
+    into, part = (group.column(c)[0].as_py() for c in ("into", "part"))
+    each = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in group.column(name)]
+    if not part:
+        return _sums(into, [(0, pc.sum(group.column("n")).as_py(), sum(each("common", np.float64)).tobytes(), b"", b"", b"")])
+    ats = each("at", np.int32)
+    words = np.unique(np.concatenate(ats))
+    seen, moved = np.zeros(len(words), np.int64), 0
+    for at, k, x in zip(ats, each("seen", np.int32), each("moved", np.float32), strict=True):
+        x = x.reshape(len(at), -1)
+        if not seen.any():
+            moved = np.zeros((len(words), x.shape[1]))
+        spot = np.searchsorted(words, at)
+        seen[spot] += k
+        moved[spot] += x * k[:, None].astype(np.int64)
+    mean = (moved / seen[:, None]).astype(np.float32)
+    return _sums(into, [(part, 0, b"", words.tobytes(), np.minimum(seen, 2**31 - 1).astype(np.int32).tobytes(), mean.tobytes())])
 
 
 def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.Table]:
@@ -352,10 +361,14 @@ def _fitter(turn: int, last, words, m: LogBilinear) -> Callable[[pa.Table], pa.T
                     own.left = 1 - m.decay * own.tokens / every
                     own.learn(*(x[at : at + m.batch] for x in (found, w, w1, w2)))
                 size, held = 0, []
-        at = np.flatnonzero(own.seen)
-        moved = np.hstack((own.p.u[at], own.p.v[at][:, None]))
         common = np.concatenate([x.ravel() for x in own.p.common()]).astype(np.float64) * own.tokens
-        return pa.table({"n": pa.array([own.tokens], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("common", common), ("at", at.astype(np.int32)), ("seen", own.seen[at].astype(np.int32)), ("moved", moved))}})
+        rows = [(0, own.tokens, common.tobytes(), b"", b"", b"")]
+        for part, first in enumerate(range(0, len(own.seen), m.sum_words), 1):
+            at = first + np.flatnonzero(own.seen[first : first + m.sum_words])
+            if len(at):
+                moved = np.hstack((own.p.u[at], own.p.v[at][:, None]))
+                rows.append((part, 0, b"", *(x.tobytes() for x in (at.astype(np.int32), own.seen[at].astype(np.int32), moved))))
+        return _sums(group.column("shard")[0].as_py(), rows)
 
     return fit
 
@@ -369,20 +382,22 @@ def train(docs: DataFrame, lookup, start: Params, words: Vocabulary, n_tokens: i
 
         each = _pieces(docs, lookup, shards, m, turn).select("shard", "key", "part", "words").groupBy("shard").applyInArrow(_fitter(turn, last, words, m), SUMS)
         left = shards
-        while left > m.fan_in:
+        while True:
+            each = each.withColumn("into", F.floor(F.col("shard") / m.fan_in).cast("int")).groupBy("part", "into").applyInArrow(_averaged, SUMS)
+            if left <= m.fan_in:
+                break
             left = -(-left // m.fan_in)
-            each = each.repartition(left).mapInArrow(_averaged, SUMS)
-        rows = each.repartition(1).mapInArrow(_averaged, SUMS).collect()
-        if rows:
-            now = now.copy()
-            flat, spot = np.frombuffer(rows[0]["common"], np.float64) / rows[0]["n"], 0
-            for x in now.common():
-                x[...] = flat[spot : spot + x.size].reshape(x.shape)
-                spot += x.size
-            at = np.frombuffer(rows[0]["at"], np.int32)
-            moved = np.frombuffer(rows[0]["moved"], np.float32).reshape(len(at), -1)
-            if len(at):
+        now = now.copy()
+        for r in each.collect():
+            if r["part"]:
+                at = np.frombuffer(r["at"], np.int32)
+                moved = np.frombuffer(r["moved"], np.float32).reshape(len(at), -1)
                 now.u[at], now.v[at] = moved[:, :-1], moved[:, -1]
+            else:
+                flat, spot = np.frombuffer(r["common"], np.float64) / r["n"], 0
+                for x in now.common():
+                    x[...] = flat[spot : spot + x.size].reshape(x.shape)
+                    spot += x.size
     return now
 
 
@@ -465,9 +480,10 @@ def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, log_buckets: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), 0
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for _, found, data, start, end in encoded(batch.column(1), lookup.value):
+            # a block's rows leave at once, so that no more of its other words are held
+            for first, found, data, start, end in encoded(batch.column(1), lookup.value):
                 w = words.value.table[found]
                 w1, w2 = context(w)
                 logs = scorer.value.log_prob(w, w1, w2)
@@ -481,17 +497,14 @@ def score_heads(docs: DataFrame, lookup, log_c: np.ndarray, log_buckets: np.ndar
                 # each text ends with its end token, so no segment is empty
                 sums = [np.add.reduceat(x, edges[:-1]) for x in (known.astype(np.int64), base, logs)]
                 text = data.tobytes()
-                cut = np.searchsorted(gone, edges)
+                cut, rest = np.searchsorted(gone, edges), []
                 for i in range(len(edges) - 1):
                     bag = Counter(text[start[j] : end[j]] for j in gone[cut[i] : cut[i + 1]])
-                    cols[4].append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
-                cols[0] += np.diff(edges).tolist()
-                for c, x in zip(cols[1:4], sums, strict=True):
-                    c += x.tolist()
-            rows = [f"{task}-{seen + i}" for i in range(batch.num_rows)]
-            seen += batch.num_rows
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCORED.split(", ")])
+                    rest.append([{"word": k.decode("utf-8", "replace"), "n": v} for k, v in bag.items()])
+                rows = [f"{task}-{seen + i}" for i in range(len(rest))]
+                seen += len(rest)
+                cols = (np.diff(edges), *sums, rest)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rest)), pa.array(rows, pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return docs.mapInArrow(run, SCORED)
 

@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from notegraph.llm import lblm, quality_rules
 
@@ -139,6 +141,33 @@ def test_averages_come_through_a_tree(spark):
     assert max(abs(a[i] - b[i]) / max(1, abs(a[i])) for i in a) < 1e-3
 
 
+def test_a_row_of_sums_is_bounded(spark):
+    """A shard's sums leave in rows of bounded size, however many words it saw."""
+    m = lblm.LogBilinear(batch=4096)
+    words = lblm.Vocabulary.of(np.ones(60_000), np.zeros(0), m)
+    start = lblm.Params.start(words.log_noise, m, words.tail_log)
+    texts = np.arange(60_000, dtype=np.int32)
+    group = pa.table({"shard": pa.array([3], pa.int32()), "key": [5], "part": pa.array([0], pa.int32()), "words": [texts.tobytes()]})
+    out = lblm._fitter(0, SimpleNamespace(value=start), SimpleNamespace(value=words), m)(group)
+    assert max(sum(len(x) for x in r.values() if isinstance(x, bytes)) for r in out.to_pylist()) < 600_000
+    at = np.concatenate([np.frombuffer(x, np.int32) for x in out.column("at").to_pylist() if x])
+    assert at.tolist() == list(range(60_000 - words.own)) and set(out.column("shard").to_pylist()) == {3}
+
+
+def test_parts_are_averaged_by_count(spark):
+    """Each word's mean is weighted by its count, over the shards that hold it."""
+    pack = lambda x, kind: np.array(x, kind).tobytes()
+    rows = [lblm._sums(s, [(2, 0, b"", pack(at, np.int32), pack(n, np.int32), pack(x, np.float32))]) for s, at, n, x in ((7, [4, 9], [1, 2], [[1, 2], [3, 4]]), (6, [5, 9], [5, 6], [[5, 6], [7, 8]]))]
+    group = pa.concat_tables(rows).append_column("into", pa.array([1, 1], pa.int32()))
+    (r,) = lblm._averaged(group).to_pylist()
+    assert (r["shard"], r["part"]) == (1, 2) and np.frombuffer(r["at"], np.int32).tolist() == [4, 5, 9]
+    assert np.frombuffer(r["seen"], np.int32).tolist() == [1, 5, 8]
+    assert np.frombuffer(r["moved"], np.float32).reshape(3, 2).tolist() == [[1, 2], [5, 6], [6, 7]]
+    rows = [lblm._sums(s, [(0, n, pack(x, np.float64), b"", b"", b"")]) for s, n, x in ((0, 10, [1, 2]), (1, 20, [3, 4]))]
+    (r,) = lblm._averaged(pa.concat_tables(rows).append_column("into", pa.array([0, 0], pa.int32()))).to_pylist()
+    assert r["n"] == 30 and np.frombuffer(r["common"], np.float64).tolist() == [4, 6]
+
+
 def test_listed_words_are_bounded(spark):
     table = spark.createDataFrame([(f"w{i}", 1 + (i % 7) ** 3) for i in range(700)], "word string, c bigint")
     got = lblm.listed(table, 250)
