@@ -429,3 +429,37 @@ def test_hot_texts_are_dealt(spark, monkeypatch):
     got = graph.resolve(refs, v.nodes, v.aliases)
     assert sorted(map(repr, got.collect())) == want and len(want) == 100
     assert {r.ref for r in got.where("target is not null").collect()} == {"b", "./知识簇/A/w.md"}
+
+
+def test_units_that_no_query_tells_apart_are_scored_once(spark, monkeypatch):
+    """Lookups by groups of alike units give what scoring every query on every unit gives."""
+    from pyspark.sql import Window
+
+    from notegraph.functions import scoring as S
+
+    page = "---\ntype: wiki\ntitle: page {i}\ntags: [{t}]\n---\n# P\n\n## 主线解释\nall of {t} and {w}\n\n## H\n{w}\n"
+    rows = [(f"知识簇/{'AB'[i % 2]}/c{i}.md", page.format(i=i, t=("red", "blue")[i % 3 == 0], w=("one", "page", "a-b")[i % 3])) for i in range(40)]
+    rows += [(f"知识簇/A/命题/o{i}.md", f"---\ntype: claim\ntitle: claim {i}\nstatement: red {i % 4}\n---\nbody\n") for i in range(30)]
+    rows += [("_graphify/sources/k.md", "---\ntype: claim\ntitle: claim k\npart_of: [知识簇/A/c1]\n---\nred page\n"), ("知识簇/A/c4.md", rows[4][1])]
+    keep = Keeper(spark)
+    notes = keep(parse(spark.createDataFrame(rows, "rel_path string, text string")))
+    asked = spark.createDataFrame([(1, "Page 3"), (2, "red"), (2, "red"), (3, "nowhere"), (None, "red"), (4, None), (5, "a-b, of red red"), (6, "c"), (7, "page 3 claim 12 k"), (7, "blue"), (8, "A/c1.md"), (9, "")], "query_id int, query string")
+    clusters = lookup.note_clusters(notes)
+    score = lambda body: S.match_score(F.col("query"), F.col("title"), F.col("rel_path"), F.col("aliases"), F.col("tags"), body)
+    told = lambda table, *cols: sorted(map(repr, table.select(*cols).collect()))
+    about = notes.where("note_type in ('index', 'wiki')").crossJoin(asked.where("query_id is not null"))
+    each = lookup.units(notes).crossJoin(asked.where("query_id is not null")).withColumn("score", score(F.col("text"))).where("score > 0")
+    first = Window.partitionBy("query_id", "rel_path", "note_type").orderBy(F.desc("score"), S.section_priority(F.col("note_type"), F.col("section")), F.desc("section"))
+    every = about.withColumn("score", score(lookup._joined(*lookup._route_parts()))).where("score > 0")
+    each, every, index = keep(each), keep(every), lookup.Index(notes, keep)
+    for few, limit in ((64, 3), (0, 2)):
+        monkeypatch.setattr(lookup, "FEW_TERMS", few)
+        routed = keep(lookup.routes(index, asked, limit))
+        shown = ("query_id", "rel_path", "score", "rank")
+        assert told(routed, *shown) == told(lookup._ranked(every, limit, F.asc("rel_path")), *shown) != []
+        wanted = lookup.clusters_of(routed)
+        inside = each.join(wanted.select("query_id").distinct(), "query_id", "left_anti").unionByName(each.join(clusters.join(wanted, "cluster").select("query_id", "rel_path").distinct(), ["query_id", "rel_path"], "left_semi"), allowMissingColumns=True)
+        best = inside.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+        shown = ("query_id", "rel_path", "section", "score", "rank")
+        assert told(lookup.knowledge(index, asked, routed, limit), *shown) == told(lookup._ranked(best, limit, F.asc("rel_path"), F.asc("section")), *shown) != []
+    assert index.hits(asked.where("query_id = 2").limit(1), False, 1).count() < 30 < each.where("query_id = 2").count()
