@@ -463,3 +463,32 @@ def test_units_that_no_query_tells_apart_are_scored_once(spark, monkeypatch):
         shown = ("query_id", "rel_path", "section", "score", "rank")
         assert told(lookup.knowledge(index, asked, routed, limit), *shown) == told(lookup._ranked(best, limit, F.asc("rel_path"), F.asc("section")), *shown) != []
     assert index.hits(asked.where("query_id = 2").limit(1), False, 1).count() < 30 < each.where("query_id = 2").count()
+
+
+def test_an_update_makes_no_alias_table(spark):
+    """References of changed notes ask for their keys alone."""
+    made = []
+
+    def keep(table):
+        made.append(set(table.columns))
+        return table.persist()
+
+    table = lambda files: spark.createDataFrame([(k, f"---\n{v}---\nbody\n") for k, v in files.items()], "rel_path string, text string")
+    now = {"知识簇/A/n.md": "type: wiki\ntitle: Third\nclaim_refs: [a, Third, o]\n", "知识簇/A/命题/o.md": CLAIM.format(state="active", more="title: Alpha mechanism")}
+    change = spark.createDataFrame([(k, "added") for k in now], "path string, change string")
+    new = Vault(parse(table(FILES)), keep).updated(change, table(now))
+    got = {(r.ref, (r.target or "").split("/")[-1]) for r in new.refs.where("rel_path = '知识簇/A/n.md'").collect()}
+    assert got == {("a", "a.md"), ("Third", ""), ("o", "o.md")}
+    assert not any("n_owners" in c for c in made)
+
+
+def test_field_rules_take_a_claims_values_once(spark):
+    """A claim's value is written out a few times in the plan, not once for each use of its text."""
+    from notegraph.sources.notes import heads, typed
+
+    texts = spark.createDataFrame([("知识簇/A/命题/o.md", "---\ntype: claim\nsupport_state: poor\nclaim_status: [active]\nreview_after: none\n---\nx\n"), ("知识簇/A/w.md", "---\ntype: wiki\nsupport_state: poor\nreview_after: 2024-1-2\n---\nx\n")], "rel_path string, text string")
+    notes = typed(Keeper(spark)(heads(texts)))
+    found = lint.field_rules(notes, "2024-01-15")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[support_state]") < 10
+    got = {(r.rel_path[-4:], r.rule, r.detail) for r in found.where("rule not like 'missing%'").collect()}
+    assert got == {("o.md", "invalid_support_state", "poor"), ("o.md", "confidence_missing", ""), ("o.md", "invalid_claim_status", "['active']"), ("w.md", "confidence_missing", ""), ("w.md", "review_due", "2024-1-2")}
